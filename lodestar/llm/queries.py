@@ -67,6 +67,25 @@ with valid as (select * from (select *, row_number() over (partition by query_id
 )
 
 
+# -- problem 4: near-duplicates ----------------------------------------------------------------
+def _near_duplicates(spark: SparkSession, d: str, shingle: int, least: float):
+    from lodestar.llm.neardup import NearDuplicates
+
+    docs = load(spark, d, "documents").select(F.lit("documents").alias("kind"), F.col("doc_id").alias("key"), "text")
+    chunks = load(spark, d, "processed_chunks").select(F.lit("processed_chunks").alias("kind"), F.col("chunk_ord").alias("key"), "text")
+    return NearDuplicates(docs.unionByName(chunks), shingle, least)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    found = _near_duplicates(spark, d, 3, 0.6).pairs()
+    return found.select(F.col("kind").alias("record_kind"), F.col("a").alias("key_a"), F.col("b").alias("key_b"))
+
+
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    found = _near_duplicates(spark, d, 5, 0.8).members()
+    return found.select(F.col("kind").alias("record_kind"), "key", F.col("rep").alias("class_key"), "links")
+
+
 # -- problem 8: token ids ----------------------------------------------------------------------
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from lodestar.llm.bpe import encode_column
@@ -74,6 +93,14 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(load(spark, d, "documents"), "doc_id", "text")
 
 
+# -- problem 9: leaked evaluation texts ----------------------------------------------------------
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from lodestar.llm.leaks import find_leaks
+
+    hits = find_leaks(load(spark, d, "documents"), "doc_id", "text", load(spark, d, "eval_items"), "item_id", "expected_answer")
+    return hits.select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
