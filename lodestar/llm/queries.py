@@ -86,6 +86,14 @@ def p4_members(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("kind").alias("record_kind"), "key", F.col("rep").alias("class_key"), "links")
 
 
+# -- problem 5: nearest vectors ----------------------------------------------------------------
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from lodestar.llm.knn_graph import nearest
+
+    near = nearest(load(spark, d, "vector_persist"), "vec_id", "vectors_i8", 384, 5).filter("cos >= 0.6")
+    return near.select(F.least("vec_id", "neighbour").alias("vec_a"), F.greatest("vec_id", "neighbour").alias("vec_b")).distinct()
+
+
 # -- problem 8: token ids ----------------------------------------------------------------------
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from lodestar.llm.bpe import encode_column
