@@ -109,6 +109,22 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("doc_id", "item_id")
 
 
+# -- problem 10: personal information ------------------------------------------------------------
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    from lodestar.llm.pii import scan
+
+    return scan(load(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    each = _scanned(spark, d).select("doc_id", F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("pii_kind"), s["value"].alias("pii_value"))))).alias("p"))
+    return each.select("doc_id", "p.pii_kind", "p.pii_value")
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return _scanned(spark, d).select("doc_id", F.col("redacted").alias("text"), F.size("spans").cast("bigint").alias("n_spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
