@@ -27,7 +27,7 @@ from lodestar.runtime import materialize
 
 #: Documented bound of the sample the pivots are fitted on.
 SAMPLE = 20_000
-SHARD_ROWS = 4096
+SHARD_ROWS = 2048
 DEGREE, BEAM, ALPHA = 32, 32, 1.2
 _BLOCK = 512
 
@@ -249,8 +249,7 @@ def nearest(
 
     packed = materialize(usable.mapInArrow(pack, "id bigint, v binary").groupBy("id").agg(F.min("v").alias("v")), "vectors")
     n = packed.count()
-    cells = max(1, -(-2 * n * overlap // shard_rows) if n > shard_rows else 1)
-    cells = min(cells, sample // 8)
+    cells = max(1, min(-(-2 * n * overlap // shard_rows), sample // 8))
     if cells == 1:
         pivots = np.zeros((1, dims), dtype=np.float32)
     else:
