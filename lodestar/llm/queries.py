@@ -10,6 +10,26 @@ from pyspark.sql import functions as F
 from lodestar.runtime import load
 
 
+# -- problems 1 and 7: page lines ----------------------------------------------------------------
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from lodestar.llm.pagelines import Pages
+
+    return Pages(load(spark, d, "raw_pages")).furniture()
+
+
+def p1_body(spark: SparkSession, d: str) -> DataFrame:
+    from lodestar.llm.pagelines import Pages, main_text
+
+    pages = load(spark, d, "raw_pages")
+    return main_text(pages, Pages(pages))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from lodestar.llm.pagelines import Pages
+
+    return Pages(load(spark, d, "raw_pages")).spam().select("crawl_id")
+
+
 # -- problem 2: term frequencies ---------------------------------------------------------------
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from lodestar.llm.term_counts import build_from_history
