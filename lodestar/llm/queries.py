@@ -114,6 +114,22 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("vec_id", "neighbour").alias("vec_a"), F.greatest("vec_id", "neighbour").alias("vec_b")).distinct()
 
 
+# -- problem 6: markup -------------------------------------------------------------------------
+def _style_trees(spark: SparkSession, d: str):
+    from lodestar.llm.markup import StyleTrees
+
+    docs = load(spark, d, "documents").withColumn("site", F.element_at(F.split("source", "/"), -1))
+    return StyleTrees(docs, "doc_id", "text", "site")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _style_trees(spark, d).languages()
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    return _style_trees(spark, d).clean()
+
+
 # -- problem 8: token ids ----------------------------------------------------------------------
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from lodestar.llm.bpe import encode_column
