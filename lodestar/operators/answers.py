@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window, WindowSpec
 
 from lodestar.functions import lexicon as L
@@ -102,7 +103,7 @@ def shortest_span(words: list[str], norms: list[str], need: list[str]) -> tuple[
     return best
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def span_text(sentence: pd.Series, tokens: pd.Series) -> pd.Series:
     """The shortest covering span of a sentence, or the sentence if a token is missing."""
     import re

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window, WindowSpec
 
 from lodestar.config import WEB_OVERRIDES, WEB_WEIGHTS, Weights
@@ -55,7 +56,7 @@ def min_window(positions: list[list[int]]) -> int:
     return best
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def proximity(tokens: pd.Series, positions: pd.Series, query: pd.Series) -> pd.Series:
     """1 / (1 + shortest window over all query tokens), 0 with fewer than two tokens or one missing.
 
