@@ -75,8 +75,13 @@ def token_positions(clean, lang) -> Column:
     """array<struct<token, pos>>: positions count every word, stop words leave gaps."""
     g = _c(lang)
     words = split_words(clean)
-    all_ = F.transform(words, lambda w, i: F.struct(stem(w, g).alias("token"), i.alias("pos")))
-    return F.filter(all_, lambda x: ~is_stop(x["token"], g))
+
+    # one branch per language, so that the language is tested once a text and not once a word
+    def branch(rx: str | None, stop: list[str]) -> Column:
+        token = lambda w: F.regexp_replace(w, rx, "$1") if rx else w
+        return F.filter(F.transform(words, lambda w, i: F.struct(token(w).alias("token"), i.alias("pos"))), lambda x: ~x["token"].isin(stop) if stop else F.lit(True))
+
+    return F.when(g == "en", branch(STEM_EN, L.STOP_EN)).when(g == "es", branch(STEM_ES, L.STOP_ES)).when(g == "hi", branch(None, L.STOP_HI)).otherwise(branch(None, []))
 
 
 def position_map(clean, lang) -> Column:

@@ -190,7 +190,7 @@ def fn_slugify(s, d):
     return load(s, d, "raw_pages").select("crawl_id", T.slugify("title").alias("slug"))
 
 
-@query(f"select crawl_id, trim(regexp_replace(text, '{S.WS}+', ' ', 'g')) clean from raw_pages")
+@query(f"select crawl_id, trim(regexp_replace(text, '{S.WS}+', ' ', 'g'), ' ') clean from raw_pages")
 def fn_clean_ws(s, d):
     return load(s, d, "raw_pages").select("crawl_id", T.clean_ws("text").alias("clean"))
 
@@ -220,7 +220,7 @@ def fn_norm_url(s, d):
 
 
 @query(
-    rf"with a as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(text, '{S.WS}+', ' ', 'g')), '\[[^\]]*\]', '', 'g'), '\( *\)', '', 'g'), '{S.WS}+', ' ', 'g')) t from documents where text is not null)"
+    rf"with a as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(text, '{S.WS}+', ' ', 'g'), ' '), '\[[^\]]*\]', '', 'g'), '\( *\)', '', 'g'), '{S.WS}+', ' ', 'g'), ' ') t from documents where text is not null)"
     r" select doc_id, substr(case when regexp_extract(t, '^(.*?[.!?])(?:\s|$)', 1) <> '' then regexp_extract(t, '^(.*?[.!?])(?:\s|$)', 1) else t end, 1, 220) answer from a"
 )
 def fn_clean_answer(s, d):
@@ -265,7 +265,7 @@ def chunk_build(s, d):
     return _built(s, d).select("chunk_id", F.md5(F.col("clean").cast("binary")).alias("clean"), "lang", F.array_join("tokens", " ").alias("tokens"))
 
 
-@query(f"with {S.chunks()} select chunk_id id, text from ck where chunk_no % 3 <> 0 and trim(text) <> ''")
+@query(f"with {S.chunks()} select chunk_id id, text from ck where chunk_no % 3 <> 0 and trim(text, ' ') <> ''")
 def prj_live(s, d):
     c = _chunks(s, d)
     return chunking.live(c, c.filter("chunk_no % 3 = 0"))
@@ -370,7 +370,7 @@ def jn_feedback(s, d):
     return feedback.boosts(q.select("query", "doc_id"), g, q).select("query", "doc_id", F.round("feedback", 9).alias("feedback"))
 
 
-@query("select source, count(*) docs, coalesce(sum(strlen(text)), 0)::bigint bytes, count(*) filter (text is null or trim(text) = '') empty from documents group by source")
+@query("select source, count(*) docs, coalesce(sum(strlen(text)), 0)::bigint bytes, count(*) filter (text is null or trim(text, ' ') = '') empty from documents group by source")
 def ag_health(s, d):
     x = _docs(s, d).groupBy("source")
     return x.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("bigint").alias("bytes"), F.count(F.when(F.col("text").isNull() | (F.trim("text") == ""), 1)).alias("empty"))
@@ -476,10 +476,10 @@ def snk_pack(s, d):
     return shards.assign(_docs(s, d), "doc_id", 128).select("doc_id", "shard")
 
 
-@query("with b as (select source, sum(coalesce(strlen(text), 0)) bytes from documents group by 1), r as (select source, bytes, sum(bytes) over (order by source rows unbounded preceding) running, row_number() over (order by source) rn from b) select source, cast(bytes as bigint) bytes, cast(running as bigint) running from r where running <= 100000 or rn = 1")
+@query("with b as (select source, sum(coalesce(strlen(text), 0)) bytes from documents group by 1), r as (select source, bytes, sum(bytes) over (order by source rows unbounded preceding) running, row_number() over (order by source) rn from b) select source, cast(bytes as bigint) bytes, cast(running as bigint) running from r where running <= 400000 or rn = 1")
 def wn_runbytes(s, d):
     b = _docs(s, d).groupBy("source").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("bigint").alias("bytes"))
-    return shards.within_budget(b, 100_000, "source").select("source", "bytes", "running")
+    return shards.within_budget(b, 400_000, "source").select("source", "bytes", "running")
 
 
 @query("select query, epoch_us(max(scored_at)) as last from score_breakdown where trim(coalesce(query, '')) <> '' group by query order by last desc, query limit 10")
