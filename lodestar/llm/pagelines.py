@@ -40,7 +40,7 @@ _FOOT = re.compile(
     r"(?i)^(?:©|\(c\) \d|copyright\b)|\ball rights reserved\b|\btous droits réservés\b|\balle rechte vorbehalten\b|\btodos los derechos\b|^powered by \S+(?: \S+)?$|^betrieben mit \S+$|^propulsé par \S+(?: \S+)?$|^con la tecnología de\b|"
     r"\bsite (?:by|réalisé par)\b|^sitio creado por\b|^this page was served in\b|^you are visitor number\b|^vous êtes le visiteur\b|^es usted el visitante\b|^sie sind besucher\b|^subscribe to our newsletter\b|^abonnez-vous\b|^suscríbase\b|^newsletter abonnieren$|"
     r"^follow us:|^suivez-nous\b|^síganos\b|^folgen sie uns\b|^share this:|^partager ?:|^compartir ?:|^teilen ?:|^back to top\b|^haut de page$|^volver arriba$|^nach oben$|^skip to content$|^aller au contenu$|^saltar al contenido$|^zum inhalt springen$|"
-    r"^print this page$|^imprimer cette page$|^imprimir esta página$|^seite drucken$|^reading time: \d+|^temps de lecture|^tiempo de lectura|^lesezeit|^last updated:|^dernière mise à jour|^última actualización|^zuletzt geändert|^like \(\d+\)|"
+    r"^print this page$|^imprimer cette page$|^imprimir esta página$|^seite drucken$|^reading time: \d+|^temps de lecture|^tiempo de lectura|^lesezeit|^last updated:|^dernière mise à jour|^última actualización|^zuletzt geändert|^actualizado el\b|^mis à jour le\b|^aktualisiert am\b|^stand: ?\d|^updated on\b|^like \(\d+\)|"
     r"^loading…?$|^toggle navigation$|^advertisement$|^publicité$|^publicidad$|^anzeige$|^content is available under\b|^contenu sous licence|^contenido bajo licencia|^inhalt unter|^registered charity\b|^← |^accept all\b|^allow\s+decline$|^ok, got it$|^tout accepter\b|^aceptar\b|^alle akzeptieren\b|^see the cookie list\b"
 )
 #: Fixed: headers of sidebars and link blocks.
