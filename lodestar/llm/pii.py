@@ -170,7 +170,8 @@ _ES_HINTS = ("calle ", "avenida ", "plaza ", "paseo ", "camino ", "carrer ", "ro
 _TITLES = r"(?:Mrs?|Ms|Miss|Dr|Prof|Mme|Mlle|Sra?|Srta|Frau|Herrn?|Señora?|Don|Doña|Sir|Dame|MRS?|MS|DR|PROF|MME|FRAU|HERR|SRA?|mrs?|ms|dr|prof|mme|frau|herr|sra?)"
 _TITLE = rf"(?:{_TITLES}\.?|M\.)[ ]"
 _NOT_TITLE = rf"(?!(?:{_TITLES}|M)\b)"
-_W = r"[^\W\d_]{2,}(?:['’-][^\W\d_]{2,})*"
+#: A word of a name; words that join or follow names are none.
+_W = r"(?!(?:et|y|and|und|of|at|for|on|to|by|gave|said|asked|reported|habite|wohnt|vive)\b)[^\W\d_]{2,}(?:['’-][^\W\d_]{2,})*"
 _INI = r"[^\W\d_]\."
 #: A name of two parts (either order) or with initials; or a surname alone after a form of address.
 _FULL = rf"{_NOT_TITLE}(?:{_W},[ ]{_W}(?:[ ]{_INI})?|{_W}(?:[ ]{_INI})*[ ]{_W}|(?:{_INI}[ ])+{_W})"

@@ -30,6 +30,7 @@ def values(text):
         ("Witness A. Loskova gave tax id 00-4949049", [("person_name", "A. Loskova"), ("id_number", "00-4949049")]),
         ("The Clara Bridge and Lake Martin appear. The Milby Council reported that it rained.", []),
         ("Forwarded by Ann Lee <hugo_smith@host.example>", [("person_name", "Ann Lee"), ("email", "hugo_smith@host.example")]),
+        ("Signé : Sra. Wultström et Henrik Hivin\n", [("person_name", "Wultström"), ("person_name", "Henrik Hivin")]),
         ("", []),
         ("Follow @name77 at 255 MHz", []),
     ],
