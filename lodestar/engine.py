@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections import OrderedDict
 
 from pyspark.sql import DataFrame
@@ -23,8 +24,10 @@ def retrieve(chunks: DataFrame, post: DataFrame, df: DataFrame, corpus: DataFram
 class Engine:
     """``search`` answers one query, ``search_many`` a table of them."""
 
-    def __init__(self, index: Index, cache: int = 100):
-        self.index, self.cache, self._hits = index, cache, OrderedDict()
+    def __init__(self, index: Index, cache: int = 100, ttl: float | None = None, drop_phrases: tuple[str, ...] = ()):
+        """``cache`` results are kept, for ``ttl`` seconds if given; results holding one of ``drop_phrases`` are left out."""
+        self.index, self.cache, self.ttl, self.drop_phrases = index, cache, ttl, drop_phrases
+        self._hits: OrderedDict = OrderedDict()
 
     def search_many(self, queries: DataFrame, spell: bool = True, keep: int | None = None) -> dict[str, DataFrame]:
         """{plan, ranked, results, answers} as DataFrames.
@@ -44,8 +47,11 @@ class Engine:
         c = ranking.candidates(hits, sem)
         ranked = ranking.rank(ranking.combine(ranking.features(c, ix.chunks(), plan), cfg.weights))
         live = ranked.join(ix.deleted(), "chunk_id", "left_anti").select("query_id", "chunk_id", "bm25", "semantic", "exact", "phrase", "proximity", "score")
-        top = ranking.rank(live, keep or cfg.results_k)
         texts = ix.chunks().select("chunk_id", "text")  # the text is fetched last, for the kept rows only
+        if self.drop_phrases:
+            noise = F.greatest(*[F.lower("text").contains(p.lower()) for p in self.drop_phrases], F.lit(False))
+            live = live.join(texts, "chunk_id").filter(~noise).drop("text")
+        top = ranking.rank(live, keep or cfg.results_k)
         with_text = top.join(texts, "chunk_id").join(plan.select("query_id", "tokens"), "query_id").withColumn("snippet", T.snippet("text", "tokens", cfg.snippet_chars))
         scores = answers.sentence_scores(with_text, plan)
         best = answers.best_answers(scores, 3)
@@ -56,15 +62,15 @@ class Engine:
         if not query.strip():
             return {"answer": None, "answers": [], "results": []}
         key = (" ".join(query.lower().split()), self.index.version)
-        if key in self._hits:
+        if key in self._hits and (self.ttl is None or time.monotonic() - self._hits[key][0] <= self.ttl):
             self._hits.move_to_end(key)
-            return self._hits[key]
+            return self._hits[key][1]
         spark = self.index.spark
         out = self.search_many(spark.createDataFrame([(0, query)], "query_id int, text string"))
         res = [{"id": r.chunk_id, "text": r.snippet, "score": r.score} for r in out["results"].orderBy("rank").collect()]
         ans = [{"text": r.answer, "confidence": r.confidence, "source": r.source} for r in out["answers"].orderBy("place").collect()]
         first = ans[0] if ans else {"text": res[0]["text"], "confidence": 0.35, "source": res[0]["id"]} if res else None
-        self._hits[key] = {"answer": first, "answers": ans, "results": res}
+        self._hits[key] = (time.monotonic(), {"answer": first, "answers": ans, "results": res})
         while len(self._hits) > self.cache:
             self._hits.popitem(last=False)
-        return self._hits[key]
+        return self._hits[key][1]

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from lodestar.config import Config
 from lodestar.functions.text import normalize
+from lodestar.operators.shards import number_rows
 
 
 # -- embedding ---------------------------------------------------------------------------------
@@ -100,8 +101,7 @@ def systematic_sample(vectors: DataFrame, key: str, v: str, size: int) -> np.nda
     """Every floor(n / size)-th vector by key, at most ``size``: a bounded sample for training."""
     n = vectors.count()
     step = max(1, n // size)
-    w = Window.orderBy(key)
-    picked = vectors.select(key, v) if step == 1 else vectors.select(key, v).withColumn("rn", F.row_number().over(w)).filter((F.col("rn") - 1) % step == 0)
+    picked = vectors.select(key, v) if step == 1 else number_rows(vectors.select(key, v), key).filter(F.col("row_no") % step == 0)
     rows = picked.orderBy(key).limit(size).select(v).collect()
     return np.array([r[0] for r in rows], dtype=np.float64)
 

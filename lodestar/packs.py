@@ -33,7 +33,7 @@ def manifest_rows(spark: SparkSession, manifest: dict) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, root: str, lang: str = "en", per_shard: int | None = None, cfg: Config = Config(), base: str = "") -> dict:
     """One index per run of ``per_shard`` documents, listed in the manifest under the language."""
     per_shard = per_shard or cfg.shard_docs
-    placed = materialize(shards.assign(docs.select("doc_id", "text"), "doc_id", per_shard), "pack")
+    placed = materialize(shards.assign(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("o")), "o", per_shard).drop("o"), "pack")
     sizes = {r.shard: (r.n, r.b) for r in placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()}  # one row a shard
     entries = []
     for name in sorted(sizes):

@@ -491,7 +491,7 @@ def wn_history(s, d):
 def wn_sample(s, d):
     e = load(s, d, "embeddings")
     step = max(1, e.count() // 100)
-    return e.select("vec_id", F.row_number().over(Window.orderBy("vec_id")).alias("rn")).filter((F.col("rn") - 1) % step == 0).orderBy("vec_id").limit(100).select("vec_id")
+    return shards.number_rows(e.select("vec_id"), "vec_id").filter(F.col("row_no") % step == 0).orderBy("vec_id").limit(100).select("vec_id")
 
 
 @query("select distinct link as url from (select unnest(links) link from raw_pages) where link is not null union select distinct url from raw_pages where url is not null")
@@ -696,6 +696,19 @@ def api_search(s, d):
     return out["results"].select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "snippet")
 
 
+@query(f"with {S.built()} select lang, count(*) chunks, count(distinct doc_id) docs, cast(sum(len(tokens)) as bigint) tokens from cb group by lang")
+def api_health(s, d):
+    ix, docs = _small_index(s, d)
+    ix.add(docs)
+    return ix.live().groupBy("lang").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("doc_id").alias("docs"), F.sum(F.size("tokens")).cast("bigint").alias("tokens"))
+
+
+@query(f"with {S.chunks()} select chunk_id, text from ck where cast(doc_id as bigint) % 5 <> 0 and not contains(lower(text), 'museum') and trim(text, ' ') <> ''")
+def flt_noise_phrase(s, d):
+    c = _chunks(s, d).join(_docs(s, d).filter("doc_id % 5 = 0").select(F.col("doc_id").cast("string").alias("doc_id")), "doc_id", "left_anti")
+    return c.filter(~F.lower("text").contains("museum") & (F.trim("text") != "")).select("chunk_id", "text")
+
+
 @query()
 def src_json_any(s, d):
     from lodestar.runtime import write_small_text
