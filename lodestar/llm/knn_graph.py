@@ -2,9 +2,10 @@
 
 1. Pivots are fitted on a bounded sample (``SAMPLE`` vectors by hash order); every vector is indexed,
    in its ``overlap`` nearest pivots' cells, and also asks its question there.
-2. A cell with more members than ``shard_rows`` is salted into sub-shards by hash: each holds a
-   bounded part of the members, and every query of the cell visits each of them.  A pivot may attract
-   a third of all vectors without any task holding more than a shard.
+2. Equal vectors are one node.  A cell with more members than ``shard_rows`` is salted into sub-shards
+   by hash: each holds a bounded part of the members, and every query of the cell visits each of them,
+   in blocks.  A pivot may attract a third of all vectors without any task holding more than a shard
+   and a block of queries.
 3. In each shard a directed graph is built: greedy beam searches propose neighbours, relaxed distance
    pruning (``alpha``) keeps diverse edges, reverse edges are added and pruned alike.
 4. Beam search over the finished graph answers the shard's queries; the candidates are scored exactly
@@ -202,20 +203,23 @@ def _answer(k: int, beam: int, degree: int, alpha: float):
         ids = shard.column("id").to_numpy()
         q8 = np.frombuffer(b"".join(shard.column("v").to_pylist()), dtype=np.int8).reshape(len(ids), -1)
         own = shard.column("owned").to_numpy(zero_copy_only=False)
+        asks = shard.column("asks").to_numpy(zero_copy_only=False)
         order = np.lexsort((ids, ~own))
-        ids, q8, own = ids[order], q8[order], own[order]
+        ids, q8, own, asks = ids[order], q8[order], own[order], asks[order]
         n = int(own.sum())
         out_q, out_i, out_s = [], [], []
         if n:
             g = Graph(unit(q8[:n]), degree, beam, alpha)
-            for i in range(0, len(ids), _BLOCK):
-                part = q8[i : i + _BLOCK]
+            at = np.flatnonzero(asks)
+            for i in range(0, len(at), _BLOCK):
+                rows = at[i : i + _BLOCK]
+                part = q8[rows]
                 found, _ = g.search(unit(part), min(beam, n))
                 s = exact_cosine(part, q8[np.maximum(found, 0)])
                 other = ids[np.maximum(found, 0)]
-                s[(found < 0) | (other == ids[i : i + _BLOCK, None])] = -np.inf
+                s[(found < 0) | (other == ids[rows, None])] = -np.inf
                 best = np.lexsort((other, -s), axis=1)[:, :k]
-                out_q.append(np.repeat(ids[i : i + _BLOCK], best.shape[1]))
+                out_q.append(np.repeat(ids[rows], best.shape[1]))
                 out_i.append(np.take_along_axis(other, best, 1).ravel())
                 out_s.append(np.take_along_axis(s, best, 1).ravel())
         cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
@@ -247,7 +251,11 @@ def nearest(
             raw = flat.reshape(-1, dims)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in raw], pa.binary())], names=["id", "v"])
 
-    packed = materialize(usable.mapInArrow(pack, "id bigint, v binary").groupBy("id").agg(F.min("v").alias("v")), "vectors")
+    every = materialize(usable.mapInArrow(pack, "id bigint, v binary").groupBy("id").agg(F.min("v").alias("v")), "vectors")
+    # equal vectors are one node, named by its smallest id; the first k + 1 ids are all that ties can ask for
+    first = every.withColumn("rn", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("rn") <= k + 1)
+    nodes = materialize(first.groupBy("v").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("ids")), "nodes")
+    packed = nodes.select("id", "v")
     n = packed.count()
     cells = max(1, min(-(-2 * n * overlap // shard_rows), sample // 8))
     if cells == 1:
@@ -268,15 +276,39 @@ def nearest(
 
     routed = materialize(packed.mapInArrow(route, "id bigint, cells array<int>"), "cells")
     load = routed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
-    parts = load.select("cell", F.ceil(F.col("m") / shard_rows).cast("int").alias("parts"))  # at most sample / 8 rows
-    asked = (
+    # at most sample / 8 rows
+    parts = load.select("cell", F.ceil(F.col("m") / shard_rows).cast("int").alias("parts"), F.ceil(F.col("m") / (8 * shard_rows)).cast("int").alias("blocks"))
+    placed = (
         packed.join(routed, "id")
         .select("id", "v", F.explode("cells").alias("cell"))
         .join(F.broadcast(parts), "cell")
-        .select("id", "v", "cell", F.pmod(F.xxhash64("id", "cell"), "parts").cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        .select("id", "v", "cell", "part", (F.col("mine") == F.col("part")).alias("owned"))
+        .select("id", "v", "cell", "parts", "blocks", F.pmod(F.xxhash64("id", "cell"), "parts").cast("int").alias("mine"), F.pmod(F.xxhash64("cell", "id"), "blocks").cast("int").alias("ask"))
     )
-    found = asked.groupBy("cell", "part").applyInArrow(_answer(k, beam, degree, alpha), "q bigint, nb bigint, cos double")
-    w = Window.partitionBy("q").orderBy(F.col("cos").desc(), "nb")
-    best = found.groupBy("q", "nb").agg(F.max("cos").alias("cos")).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
+    # a shard of a crowded cell answers its questions in blocks, each with the shard's members, so that no group outgrows a task
+    visits = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.col("parts") - 1),
+            lambda p: F.transform(
+                F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: (b == F.col("ask")) | (p == F.col("mine"))),
+                lambda b: F.struct(p.alias("part"), b.alias("block"), (p == F.col("mine")).alias("owned"), (b == F.col("ask")).alias("asks")),
+            ),
+        )
+    )
+    asked = placed.select("id", "v", "cell", F.explode(visits).alias("x")).select("id", "v", "cell", "x.part", "x.block", "x.owned", "x.asks")
+    found = asked.groupBy("cell", "part", "block").applyInArrow(_answer(k, beam, degree, alpha), "q bigint, nb bigint, cos double")
+    between = top_neighbours(found.groupBy("q", "nb").agg(F.max("cos").alias("cos")), k)
+    # back to rows: a member's neighbours are its own copies and the first copies of the neighbouring nodes
+    ids = nodes.select(F.col("id").alias("node"), "ids")
+    near = between.join(ids, between.nb == ids.node).select(F.col("q").alias("node"), "cos", F.explode("ids").alias("nb"))
+    near = near.unionByName(nodes.filter(F.size("ids") > 1).select(F.col("id").alias("node"), F.lit(1.0).alias("cos"), F.explode("ids").alias("nb")))
+    members = every.join(nodes.select("v", F.col("id").alias("node")), "v").select(F.col("id").alias("q"), "node")
+    # lists are cut to k + 1 a node before they meet its members
+    short = top_neighbours(near.withColumnRenamed("node", "q"), k + 1).withColumnRenamed("q", "node")
+    best = top_neighbours(members.join(short, "node").filter(F.col("q") != F.col("nb")).select("q", "nb", "cos"), k)
     return best.select(F.col("q").alias(key), F.col("nb").alias("neighbour"), "cos")
+
+
+def top_neighbours(df: DataFrame, k: int) -> DataFrame:
+    """The k rows of the largest ``cos`` per ``q``, ties to the smaller ``nb``."""
+    w = Window.partitionBy("q").orderBy(F.col("cos").desc(), "nb")
+    return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
