@@ -49,3 +49,15 @@ def test_bad_vectors_copies_and_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert nearest(df, "vec_id", "v", 24).count() == 0
     assert nearest(spark.createDataFrame([(1, [1] * 24, 0, 0)], SCHEMA), "vec_id", "v", 24).count() == 0
+
+
+def test_a_third_of_all_vectors_is_one_vector(spark):
+    rows = vectors(240)
+    rows += [(1000 + i, rows[7][1]) for i in range(120)]
+    r, n, m = recall(spark, rows, shard_rows=40, sample=200)
+    assert r >= 0.95 and n == m
+
+
+def test_crowded_cells_answer_in_blocks(spark):
+    r, n, m = recall(spark, vectors(700, centres=1), shard_rows=20, sample=16, overlap=2)  # two cells, both visited
+    assert r >= 0.9 and n == m
