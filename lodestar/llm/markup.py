@@ -1,11 +1,12 @@
 """Markup residue: which languages a text holds, and clean text that keeps its structure.
 
-Every text is parsed into nodes (language, kind, content).  Nodes of one site are merged into a style
-tree: per host, a node's path is its language and kind, its presentation the set of forms it takes,
-its content the texts that fill it.  A path's importance is the normalised entropy of its contents
-over the site's documents: contents that change from document to document are worth keeping, ones
-that stay the same are template.  Repeated contents of low-importance paths are removed from every
-document of the site; all other nodes are rendered as clean text.
+Every text is parsed into nodes (language, kind, content), which tell its languages, and into branches:
+the elements of its markup as a tree, each with its root-to-leaf path, its text and its span in the source.
+Branches of one site are merged into a style tree: per host, a path is held without and with the places of
+its steps among their siblings (from the front, from the back), its content the texts that fill it.  A path's
+importance is the normalised entropy of its contents over the site's documents: contents that change from
+document to document are worth keeping, ones that stay the same are template.  Repeated branches of
+low-importance paths are cut out of the source by their span before it is rendered as clean text.
 
 Rendering: headings stand on a line of their own after "# ", list items after "- " or their number,
 table rows as cells joined by tabs, code between lines of three backticks, formulas between dollar signs.
@@ -15,7 +16,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 import xxhash
@@ -83,10 +87,10 @@ _MD_REFDEF = re.compile(r"^\[[^\]\n]+\]:[ \t]+\S+.*$", re.M)
 _HINT = re.compile(r"[<&\\`$]|\[\[|\{\{|''|\*\S|__|~~|\]\(|\]\[|(?:\A|\n)(?:#|>|\||={3}|-{3}|==)|- \[")
 
 
-def parse(text: str) -> tuple[str, list[tuple[str, str, str]]]:
-    """(clean text, nodes): nodes are (language, kind, content)."""
-    nodes: list[tuple[str, str, str]] = []
-    if not _HINT.search(text):
+def parse(text: str, known: list[tuple[str, str, str]] | None = None) -> tuple[str, list[tuple[str, str, str]]]:
+    """(clean text, nodes): nodes are (language, kind, content); ``known`` are those of the whole text if this is what is left of it."""
+    nodes: list[tuple[str, str, str]] = list(known or ())
+    if not nodes and not _HINT.search(text):
         return text, nodes
     kept: list[str] = []
 
@@ -244,54 +248,251 @@ def languages(text: str | None) -> set[str]:
     return {n[0] for n in parse(text)[1]} if text else set()
 
 
+# -- branches ------------------------------------------------------------------------------------
+_VOID = frozenset("area base br col embed frame hr img input link meta wbr".split())
+_BLOCK = frozenset("address article aside blockquote body center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: What an opening tag ends, and the elements that it cannot reach beyond.
+_ENDED = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}} | {x: {"p"} for x in _BLOCK}
+_WALL = frozenset("article aside blockquote body div dl fieldset footer form header html main nav ol section select table ul".split())
+_NAMED = re.compile(r"\b(class|id)\s*=\s*[\"']?([^\"'<>]*[^\"'<>\s/])", re.I)
+_REF = re.compile(r"<ref(?=[\s>])[^<>/]*>.*?</ref\s*>|<ref(?=[\s/])[^<>]*/>", re.S)
+_SPANS = (
+    ("wiki", "ref", _REF), ("wiki", "table", _WIKI_TABLE), ("wiki", "link", _WIKI_LINK), ("wiki", "emphasis", _WIKI_QUOTE), ("wiki", "heading", _WIKI_HEAD),
+    ("latex", "quote", _LATEX_QUOTE), ("latex", "heading", _LATEX_HEAD), ("latex", "reference", _LATEX_REF), ("latex", "emphasis", _LATEX_WRAP),
+    ("markdown", "heading", _MD_HEAD), ("markdown", "heading", _MD_SETEXT), ("markdown", "image", _MD_IMAGE), ("markdown", "link", _MD_LINK), ("markdown", "inline code", _MD_CODE),
+    ("markdown", "bold", _MD_BOLD), ("markdown", "strike", _MD_STRIKE), ("markdown", "emphasis", _MD_EM),
+)
+
+
+def _unix(text: str) -> str:
+    return text.replace("\x00", "").replace("\r\n", "\n").replace("\r", "\n")
+
+
+def _elements(t: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, language, step) of every element; code, formulas, scripts and comments are closed to what looks like markup in them."""
+    out: list[tuple[int, int, str, str]] = []
+    hide = lambda m: re.sub(r"[^\n]", "\x01", m.group())
+    seen = t
+
+    def leaf(rx, lang, kind):
+        nonlocal seen
+
+        def take(m):
+            out.append((*m.span(), lang or next(x for x in LANGUAGES if m.groupdict().get(x) is not None), kind or (m.lastindex and m.group(1) or "comment").lower()))
+            return hide(m)
+
+        seen = rx.sub(take, seen)
+
+    leaf(_DROPPED, "html", None)
+    leaf(_COMMENT, "html", None)
+    leaf(_CODE, None, "code")
+    leaf(_MATH, None, "formula")
+    while (m := _WIKI_TEMPLATE.search(seen)) is not None:  # innermost first
+        found = list(_WIKI_TEMPLATE.finditer(seen))
+        out += [(*m.span(), "wiki", "template") for m in found]
+        seen = _WIKI_TEMPLATE.sub(hide, seen)
+    for lang, kind, rx in _SPANS:
+        out += [(*m.span(), lang, kind) for m in rx.finditer(seen)]
+    stack: list[tuple[int, str, str]] = []
+
+    def close(n: int, end: int) -> None:
+        while len(stack) > n:
+            start, _, step = stack.pop()
+            out.append((start, end, "html", step))
+
+    for m in _TAG.finditer(seen):
+        name = m.group(1).lower()
+        if m.group().startswith("</"):
+            n = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][1] == name), None)
+            if n is not None:
+                start, _, step = stack[n]
+                close(n + 1, m.start())
+                stack.pop()
+                out.append((start, m.end(), "html", step))
+            continue
+        if name in _ENDED:
+            n = None
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][1] in _ENDED[name]:
+                    n = i
+                elif stack[i][1] in _WALL:
+                    break
+            if n is not None:
+                close(n, m.start())
+        if name not in _VOID:
+            marks = sorted((k.lower(), re.sub(r"\d+", "0", " ".join(v.lower().split()))) for k, v in _NAMED.findall(m.group()))
+            stack.append((m.start(), name, name + "".join((".", "#")[k == "id"] + v for k, v in marks)))
+    close(0, len(t))
+    return out
+
+
+def branches(text: str) -> list[tuple[int, int, str, tuple[str, str, str], str]]:
+    """(start, end, language, paths, content) of every branch of a text with markup; spans count in its Unix form.
+
+    The paths are the steps from the root, then the same with each step's place among its like siblings
+    from the front and from the back.  Text beside elements is a branch of its own, at the root line by line.
+    """
+    t = _unix(text)
+    spans = sorted(set(_elements(t)), key=lambda x: (x[0], -x[1]))
+    if not spans:
+        return []
+    kids: list[list[int]] = [[]]
+    nodes = [(0, len(t), "", "")]
+    open_ = [0]
+    for s in spans:
+        while len(open_) > 1 and nodes[open_[-1]][1] <= s[0]:
+            open_.pop()
+        if s[1] > nodes[open_[-1]][1] or s[0] == s[1]:  # crosses another one
+            continue
+        nodes.append(s)
+        kids.append([])
+        kids[open_[-1]].append(len(nodes) - 1)
+        open_.append(len(nodes) - 1)
+    for i in range(len(nodes)):
+        if i and (not kids[i] or nodes[i][2] != "html"):
+            continue
+        start, end, lang, _ = nodes[i]
+        edges = [start, *(e for k in kids[i] for e in nodes[k][:2]), end]
+        for x, y in zip(edges[::2], edges[1::2]):
+            for m in re.finditer(r"[^\n]+" if i == 0 else r"(?s).+", t[x:y]):
+                if _TAG.sub("", m.group()).strip():
+                    inner = [m.start() + x, m.end() + x]
+                    if i:  # the element's own tags belong to it
+                        inner[0] += next((g.end() for g in [_TAG.match(m.group())] if g), 0)
+                        inner[1] -= next((len(g.group()) for g in [re.search(r"</[^<>]*>\Z", m.group())] if g), 0)
+                    nodes.append((*inner, lang or "html", "#text"))
+                    kids.append([])
+                    kids[i].append(len(nodes) - 1)
+        kids[i].sort(key=lambda k: nodes[k][0])
+    out = []
+    todo = [(0, ("", "", ""))]
+    while todo:
+        i, above = todo.pop()
+        total = Counter(nodes[k][3] for k in kids[i])
+        count: Counter = Counter()
+        for k in kids[i]:
+            start, end, lang, step = nodes[k]
+            count[step] += 1
+            paths = tuple(f"{a}/{x}" if a else x for a, x in zip(above, (step, f"{step}[{count[step]}]", f"{step}[-{total[step] + 1 - count[step]}]")))
+            body = t[start:end]
+            if lang == "html" and step not in ("script", "style", "comment", "code"):
+                body = html.unescape(_TAG.sub(" ", body))
+            if body := " ".join(body.split()):
+                out.append((start, end, lang, paths, body))
+            todo.append((k, paths))
+    return out
+
+
+#: Where a line of a page ends, and the branches that are lines of their own.
+_EDGE = re.compile(rf"\n|</?(?:{'|'.join(sorted(_BLOCK | {'br', 'dd', 'dt', 'li', 'tr'}))})(?=[\s/>])[^<>]*>", re.I)
+_STANDS = re.compile(rf"(?:{'|'.join(sorted(_BLOCK | {'comment', 'dd', 'dt', 'heading', 'li', 'script', 'style', 'table', 'tbody', 'template', 'tfoot', 'thead', 'tr'}))})(?![\w ])")
+_WORDY = re.compile(r"[^\W_]")
+
+
+def _digest(s: str) -> int:
+    return xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace")) - (1 << 63)
+
+
+def cut(text: str, gone: set[tuple[str, str, int]]) -> str:
+    """Clean text without the branches whose (language, path, content hash) is in ``gone``.
+
+    What stands within a line (links, emphasis, cells, text beside elements) goes only if the rest of the line goes.
+    """
+    nodes = parse(text)[1]
+    found = [(s, e, paths[0].rsplit("/", 1)[-1]) for s, e, lang, paths, body in branches(text) if any((lang, p, _digest(body)) in gone for p in paths)]
+    if not found:
+        return parse(text)[0]
+    t = _unix(text)
+    gaps = bytearray(len(t))
+    for s, e, _ in found:
+        gaps[s:e] = b"\1" * (e - s)
+    edges = [0, *sorted({x for m in _EDGE.finditer(t) for x in m.span()}), len(t)]
+    whole = [not _WORDY.search(_TAG.sub("", "".join(c for c, g in zip(t[x:y], gaps[x:y]) if not g))) for x, y in zip(edges, edges[1:])]
+    spans = []
+    for s, e, step in found:
+        if _STANDS.match(step) or all(whole[max(0, bisect_right(edges, s) - 1) : bisect_left(edges, e)]):
+            spans.append((s, e))
+    at, kept = 0, []
+    for s, e in sorted(spans):
+        kept.append(t[at : max(s, at)])
+        at = max(at, e)
+    return parse("".join([*kept, t[at:]]), nodes)[0]
+
+
 class StyleTrees:
-    """Nodes of every text merged by site.
+    """Branches of every text merged by site.
 
     Defined results: null and empty texts have no nodes and stay as they are; a null site is a site of
-    its own; repeated rows count once per key; texts without markup come out unchanged; other columns are not read.
+    its own; a key counts once, equal texts of a site count once, null keys not at all; texts without markup come out
+    unchanged; other columns are not read.
     """
 
     def __init__(self, docs: DataFrame, key: str, text: str, site: str):
         self.key = key
         self.src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"))
-        kt = self.src.schema[0].dataType.simpleString()
+        self.kt = self.src.schema[0].dataType.simpleString()
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """(k, langs) of the texts with markup."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                langs = [sorted(languages(t.as_py())) for t in b.column(1)]
+                rows = pa.array([i for i, x in enumerate(langs) if x], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([x for x in langs if x], pa.list_(pa.string()))], names=["k", "langs"])
+
+        return materialize(self.src.filter("t is not null").mapInArrow(run, f"k {self.kt}, langs array<string>"), "nodes")
+
+    @cached_property
+    def tree(self) -> DataFrame:
+        """(k, site, doc, nodes): a document's distinct (lang, kind, content), kind being a path; doc is the hash of its text."""
         item = pa.struct([("lang", pa.string()), ("kind", pa.string()), ("content", pa.int64())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out, keep = [], []
+                out, keep, doc = [], [], []
                 for i, t in enumerate(b.column(1)):
-                    found = parse(t.as_py() or "")[1]
-                    if found:
+                    t = t.as_py()
+                    if t and parse(t)[1] and (found := {(lang, p, h) for _, _, lang, paths, body in branches(t) for h in [_digest(body)] for p in paths}):
                         keep.append(i)
-                        out.append([{"lang": x, "kind": y, "content": xxhash.xxh3_64_intdigest(c.encode("utf-8", "replace")) - (1 << 63)} for x, y, c in found])
+                        doc.append(_digest(t))
+                        out.append([{"lang": x, "kind": y, "content": c} for x, y, c in sorted(found)])
                 rows = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), pa.array(out, pa.list_(item))], names=["k", "site", "nodes"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), pa.array(doc, pa.int64()), pa.array(out, pa.list_(item))], names=["k", "site", "doc", "nodes"])
 
-        self.nodes = materialize(self.src.filter("t is not null").mapInArrow(run, f"k {kt}, site string, nodes array<struct<lang:string,kind:string,content:bigint>>"), "nodes")
+        return materialize(self.src.filter("t is not null").mapInArrow(run, f"k {self.kt}, site string, doc bigint, nodes array<struct<lang:string,kind:string,content:bigint>>"), "tree")
 
     def languages(self) -> DataFrame:
         """(key, markup): one row per language whose nodes a document holds."""
-        return self.nodes.select(F.col("k").alias(self.key), F.explode(F.array_distinct("nodes.lang")).alias("markup")).distinct()
+        return self.nodes.select(F.col("k").alias(self.key), F.explode("langs").alias("markup")).distinct()
+
+    @cached_property
+    def forms(self) -> DataFrame:
+        """(site, lang, kind, content, c): documents that hold a content under a path."""
+        voters = self.tree.groupBy("site", "doc").agg(F.min("k").alias("k")).groupBy("k").agg(F.min(F.struct("site", "doc")).alias("v")).select("k", "v.site", "v.doc")
+        each = self.tree.join(voters, ["site", "doc", "k"], "left_semi").dropDuplicates(["site", "doc"])
+        rows = each.select("site", F.explode("nodes").alias("n")).select("site", "n.lang", "n.kind", "n.content")
+        return materialize(rows.groupBy("site", "lang", "kind", "content").agg(F.count(F.lit(1)).alias("c")), "forms")
 
     def importance(self) -> DataFrame:
         """(site, lang, kind, docs, forms, importance): entropy of a path's contents, 1 for a path seen in one document."""
-        each = self.nodes.select("k", "site", F.explode("nodes").alias("n")).select("k", "site", "n.lang", "n.kind", "n.content").distinct()
-        forms = each.groupBy("site", "lang", "kind", "content").agg(F.count(F.lit(1)).alias("c"))
-        total = forms.groupBy("site", "lang", "kind").agg(F.sum("c").alias("uses"), F.count(F.lit(1)).alias("forms"), F.sum(F.col("c") * F.log2("c")).alias("clogc"))
-        docs = each.select("k", "site", "lang", "kind").distinct().groupBy("site", "lang", "kind").agg(F.count(F.lit(1)).alias("docs"))
+        docs = self.tree.select("site", "doc", F.explode(F.array_distinct(F.transform("nodes", lambda n: F.struct(n["lang"].alias("lang"), n["kind"].alias("kind"))))).alias("n"))
+        docs = docs.select("site", "doc", "n.lang", "n.kind").distinct().groupBy("site", "lang", "kind").agg(F.count(F.lit(1)).alias("docs"))
+        return self._entropy().join(docs, ["site", "lang", "kind"]).select("site", "lang", "kind", "docs", "forms", "importance")
+
+    def _entropy(self) -> DataFrame:
+        total = self.forms.groupBy("site", "lang", "kind").agg(F.sum("c").alias("uses"), F.count(F.lit(1)).alias("forms"), F.sum(F.col("c") * F.log2("c")).alias("clogc"))
         entropy = F.log2("uses") - F.col("clogc") / F.col("uses")
-        imp = F.when((F.col("docs") < 2) | (F.col("uses") < 2), 1.0).otherwise(entropy / F.log2("uses"))
-        return total.join(docs, ["site", "lang", "kind"]).select("site", "lang", "kind", "docs", "forms", F.round(imp, 9).alias("importance"))
+        return total.withColumn("importance", F.round(F.when(F.col("uses") < 2, 1.0).otherwise(entropy / F.log2("uses")), 9))
 
     def clean(self, least: float = 0.4, repeats: int = 3) -> DataFrame:
-        """(key, text): clean text; contents seen in at least ``repeats`` documents under a path less important than ``least`` are removed."""
-        each = self.nodes.select("k", "site", F.explode("nodes").alias("n")).select("k", "site", "n.lang", "n.kind", "n.content").distinct()
-        common = each.groupBy("site", "lang", "kind", "content").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= repeats)
-        low = self.importance().filter(F.col("importance") < least).select("site", "lang", "kind")
-        drop = each.join(common.join(low, ["site", "lang", "kind"]), ["site", "lang", "kind", "content"]).groupBy("k").agg(F.collect_set(F.concat_ws("/", "lang", "kind", "content")).alias("drop"))
+        """(key, text): clean text; contents seen in at least ``repeats`` documents under a path less important than ``least`` are cut out."""
+        low = self._entropy().filter(F.col("importance") < least).select("site", "lang", "kind")
+        common = materialize(self.forms.filter(F.col("c") >= repeats).join(low, ["site", "lang", "kind"]).select("site", "lang", "kind", "content"), "common")
+        each = self.tree.select("k", "site", F.explode("nodes").alias("n")).select("k", "site", "n.lang", "n.kind", "n.content")
+        drop = each.join(common, ["site", "lang", "kind", "content"]).groupBy("k").agg(F.collect_set(F.struct("lang", "kind", "content")).alias("drop"))
         full = self.src.join(drop, "k", "left").select("k", "t", "drop")
-        kt = self.src.schema[0].dataType.simpleString()
         key = self.key
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,11 +501,8 @@ class StyleTrees:
                 for t, gone in zip(b.column(1), b.column(2).to_pylist()):
                     t = t.as_py()
                     if t:
-                        t, found = parse(t)
-                        for lang, kind, c in found if gone else ():
-                            if c and f"{lang}/{kind}/{xxhash.xxh3_64_intdigest(c.encode('utf-8', 'replace')) - (1 << 63)}" in gone:
-                                t = t.replace(c, "")
+                        t = cut(t, {(g["lang"], g["kind"], g["content"]) for g in gone}) if gone else parse(t)[0]
                     out.append(t)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=[key, "text"])
 
-        return full.mapInArrow(run, f"`{key}` {kt}, text string")
+        return full.mapInArrow(run, f"`{key}` {self.kt}, text string")

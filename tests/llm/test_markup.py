@@ -1,6 +1,6 @@
 import pytest
 
-from lodestar.llm.markup import StyleTrees, languages, parse
+from lodestar.llm.markup import StyleTrees, branches, languages, parse
 
 
 @pytest.mark.parametrize(
@@ -56,3 +56,16 @@ def test_site_template_is_removed_and_edge_rows(spark):
     assert clean[3][0].startswith("# Head 3") and "Body number 3" in clean[3][0]
     empty = StyleTrees(spark.createDataFrame([], "doc_id bigint, text string, site string"), "doc_id", "text", "site")
     assert empty.languages().count() == 0 and empty.clean().count() == 0
+
+
+def test_branches_leave_by_span(spark):
+    page = lambda i, x: f"<div class=\"top\"><b>Same banner</b> <a href='/'>Home</a></div>\n<p>Keep {x} in H<sub>2</sub>O here</p>\n<p>Powered by {x}</p>\n<p>All rights kept</p>\n<pre>&lt;p&gt; and <p> {i}</pre>"
+    rows = [(i, page(i, x), "w.test") for i, x in enumerate(["oak", "tin", "clay", "slate"])]
+    rows += [(10 + i, f"# Town {x}\n\n**Same banner** [Home](/)\n\nThe **{x}** mill says Same banner.", "md.test") for i, x in enumerate(["oak", "tin", "clay", "slate"])]
+    rows += [(20 + i, rows[0][1], "copies.test") for i in range(4)]
+    st = StyleTrees(spark.createDataFrame(rows, "doc_id bigint, text string, site string"), "doc_id", "text", "site")
+    got = {r.doc_id: r.text for r in st.clean().collect()}
+    assert got[1] == "Keep tin in H2O here\n\nPowered by tin\n\n`<p> and  1`"
+    assert got[12] == "# Town clay\n\nThe clay mill says Same banner."
+    assert got[20] == got[23] and "Same banner" in got[20] and "All rights kept" in got[20]
+    assert {x[3][0] for x in branches("<ul><li>a<li><b>b</b> c</ul>")} == {"ul", "ul/li", "ul/li/b", "ul/li/#text"}
