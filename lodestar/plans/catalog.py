@@ -734,7 +734,7 @@ def src_crawl(s, d):
     from lodestar.sources import crawl
 
     p = load(s, d, "raw_pages")
-    return crawl.crawl(p, p.filter("crawl_id % 50 = 0").select("url"), max_depth=1).select("url", "depth")
+    return crawl.crawl(p, p.select("url"), limit=None).select("url", "depth")
 
 
 @query()

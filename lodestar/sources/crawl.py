@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,25 +25,42 @@ def allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     return u.join(rules, (F.col("_h") == rules.host) & F.col("_p").startswith(rules.rule), "left_anti").drop("_h", "_p")
 
 
-def crawl(snapshot: DataFrame, seeds: DataFrame, rules: DataFrame | None = None, max_depth: int = 3, limit: int = 10_000) -> DataFrame:
-    """(url, title, text, links, depth): pages reachable from the seeds, nearest first, at most ``limit``.
+def resolved(pages: DataFrame) -> DataFrame:
+    """(url) of every link of (url, links), taken against its page, without fragments; only http and https."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = set()
+            for base, links in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for x in links or ():
+                    try:
+                        out.add(urljoin(base, x or "").split("#")[0])
+                    except ValueError:
+                        continue
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(u for u in out if u.lower().startswith(("http://", "https://"))), pa.string())], names=["url"])
+
+    return pages.select("url", "links").mapInArrow(run, "url string")
+
+
+def crawl(snapshot: DataFrame, seeds: DataFrame, rules: DataFrame | None = None, max_depth: int = 3, limit: int | None = 10_000) -> DataFrame:
+    """(url, title, text, links, depth): pages reachable from the seeds, nearest first, at most ``limit`` unless that is None.
 
     Each level joins the frontier with the snapshot and removes what has been seen; its result is
     written before the next level, so that plans and lineages stay short.
     """
-    pages = snapshot.withColumn("_u", normalize_url("url")).dropDuplicates(["_u"])
+    pages = snapshot.filter(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("_u", normalize_url("url")).dropDuplicates(["_u"])
     seen = materialize(seeds.select(normalize_url("url").alias("url")).distinct(), "seen")
     frontier, out = seen, None
     for depth in range(max_depth + 1):
         ok = frontier if rules is None else allowed(frontier, rules)
-        level = pages.join(ok.withColumnRenamed("url", "_u"), "_u").filter(F.trim(F.coalesce("text", F.lit(""))) != "").select("url", "title", "text", "links", F.lit(depth).alias("depth"))
+        level = pages.join(ok.withColumnRenamed("url", "_u"), "_u").select("url", "title", "text", "links", F.lit(depth).alias("depth"))
         level = materialize(level, "level")
         out = level if out is None else out.unionByName(level)
         if depth == max_depth:
             break
-        found = level.select(F.explode("links").alias("url")).select(normalize_url("url").alias("url")).filter("url rlike '^https?://'").distinct()
+        found = resolved(level).distinct()
         frontier = materialize(found.join(seen, "url", "left_anti"), "frontier")
-        if frontier.isEmpty() or out.count() >= limit:
+        if frontier.isEmpty() or limit is not None and out.count() >= limit:
             break
         seen = seen.unionByName(frontier)
-    return out.orderBy("depth", "url").limit(limit)
+    return out if limit is None else out.orderBy("depth", "url").limit(limit)

@@ -84,3 +84,14 @@ def test_crawl(spark):
     seeds = spark.createDataFrame([("http://a/1",)], "url string")
     assert [(r.url, r.depth) for r in crawl.crawl(snap, seeds, rules).collect()] == [("http://a/1", 0), ("http://a/2", 1), ("http://b/4", 2)]
     assert crawl.crawl(snap, seeds, rules, max_depth=1).count() == 2
+
+
+def test_crawl_follows_relative_links_and_every_page_comes_out(spark, tmp_path):
+    rows = [(7, "http://a/x/1", "t", "x", ["2?p=1", "/z#top", "../y", "mailto:m@a", None, "//b/4"]), (8, "http://a/x/2?p=1", "t", "x", None), (9, "http://a/z", "t", " ", []), (10, "http://a/z", "t", "x", []), (11, "http://a/y", "t", "x", []), (12, "http://b/4", "t", "x", [])]
+    snap = spark.createDataFrame(rows, "crawl_id bigint, url string, title string, text string, links array<string>")
+    got = {(r.url, r.depth) for r in crawl.crawl(snap, snap.filter("crawl_id = 7").select("url")).collect()}
+    assert got == {("http://a/x/1", 0), ("http://a/x/2?p=1", 1), ("http://a/z", 1), ("http://a/y", 1), ("http://b/4", 1)}
+    snap.write.parquet(str(tmp_path / "raw_pages.parquet"))
+    from lodestar.plans.catalog import queries
+
+    assert {r.url for r in queries()["src_crawl"](spark, str(tmp_path)).collect()} == {u for u, _ in got}
