@@ -49,8 +49,7 @@ class Engine:
         live = ranked.join(ix.deleted(), "chunk_id", "left_anti").select("query_id", "chunk_id", "bm25", "semantic", "exact", "phrase", "proximity", "score")
         texts = ix.chunks().select("chunk_id", "text")  # the text is fetched last, for the kept rows only
         if self.drop_phrases:
-            noise = F.greatest(*[F.lower("text").contains(p.lower()) for p in self.drop_phrases], F.lit(False))
-            live = live.join(texts, "chunk_id").filter(~noise).drop("text")
+            live = ranking.without_phrases(live.join(texts, "chunk_id"), self.drop_phrases).drop("text")
         top = ranking.rank(live, keep or cfg.results_k)
         with_text = top.join(texts, "chunk_id").join(plan.select("query_id", "tokens"), "query_id").withColumn("snippet", T.snippet("text", "tokens", cfg.snippet_chars))
         scores = answers.sentence_scores(with_text, plan)

@@ -160,3 +160,8 @@ def rank_simple(cands: DataFrame, bm25: float = 0.7, semantic: float = 0.3) -> D
     """The demo profile: two weights over scores normalised on the union."""
     out = cands.withColumn("nb", min_max("bm25_raw", web=True)).withColumn("ns", min_max("semantic_raw", web=True))
     return rank(out.withColumn("score", F.col("nb") * bm25 + F.col("ns") * semantic))
+
+
+def without_phrases(rows: DataFrame, phrases: tuple[str, ...], text: str = "text") -> DataFrame:
+    """The rows whose text holds none of the phrases, whatever the case."""
+    return rows.filter(~F.greatest(*[F.lower(text).contains(p.lower()) for p in phrases], F.lit(False), F.lit(False)))

@@ -706,7 +706,17 @@ def api_health(s, d):
 @query(f"with {S.chunks()} select chunk_id, text from ck where cast(doc_id as bigint) % 5 <> 0 and not contains(lower(text), 'museum') and trim(text, ' ') <> ''")
 def flt_noise_phrase(s, d):
     c = _chunks(s, d).join(_docs(s, d).filter("doc_id % 5 = 0").select(F.col("doc_id").cast("string").alias("doc_id")), "doc_id", "left_anti")
-    return c.filter(~F.lower("text").contains("museum") & (F.trim("text") != "")).select("chunk_id", "text")
+    return ranking.without_phrases(c, ("museum",)).filter(F.trim("text") != "").select("chunk_id", "text")
+
+
+#: The reference's phrases of its demo texts, and one that the test corpus holds.
+NOISE = ("bm25 is a ranking function", "stopwords are common words", "exact match and phrase match", "museum")
+
+
+@query(f"with {S.chunks()} select chunk_id, text from ck where " + " and ".join(f"not contains(lower(text), '{p}')" for p in NOISE))
+def flt_noise_phrase_all(s, d):
+    """The filter over the passages of all documents."""
+    return ranking.without_phrases(_chunks(s, d), NOISE).select("chunk_id", "text")
 
 
 @query()

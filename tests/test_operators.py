@@ -161,3 +161,17 @@ def test_evaluation(spark):
 def test_spans_and_answers():
     assert answers.shortest_span(["a", "b", "c", "a"], ["a", "b", "c", "a"], ["c", "a"]) == (2, 4)
     assert answers.shortest_span(["a"], ["a"], ["z"]) is None and answers.shortest_span(["a"], ["a"], []) is None
+
+
+def test_phrase_filter_takes_the_passages_of_every_document(spark, tmp_path):
+    from lodestar.operators.ranking import without_phrases
+    from lodestar.plans.catalog import queries
+
+    t = spark.createDataFrame([(1, "Bm25 IS a ranking function"), (2, "the mill"), (3, "A Museum")], "n int, text string")
+    assert [r.n for r in without_phrases(t, ("bm25 is a ranking function", "museum")).collect()] == [2]
+    assert without_phrases(t, ()).count() == 3
+    words = lambda i: f"The mill of place number {i} was built beside the old weir and has a wheel of oak."
+    docs = [(i, words(i) if i % 4 else "Stopwords are common words. " + words(i), "en", "web/a", 80, None, None, None) for i in range(1, 11)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint, ext_id string, meta map<string,string>, ingested_at timestamp").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.chunk_id.split("::")[0] for r in queries()["flt_noise_phrase_all"](spark, str(tmp_path)).collect()}
+    assert got == {"1", "2", "3", "5", "6", "7", "9", "10"}
