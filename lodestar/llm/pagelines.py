@@ -1,9 +1,11 @@
 """Lines of crawled pages: path statistics and the split into main body and furniture.
 
 Page texts come without tags, so a line's place in the page template stands in for its root-to-leaf
-tag path: the host is the root, the line with its digits masked is the leaf.  Per path, text length,
-punctuation and the number of distinct pages are aggregated; ratios of a path are joined to its
-lines, smoothed along the page, fused with the line's own shape, and lines are thresholded.
+tag path: the host is the root, the line with its digits masked is the leaf.  Lines of one path have the
+same words and punctuation, so a path's text length and punctuation are read off the line itself.  Over
+the crawl, the distinct pages and hosts of a path are counted, and the pages that show two lines one after
+the other.  Template is what is on a share of a host's pages, or, on any share, what comes with the same
+neighbour on ``REPEATS`` pages where length and punctuation, smoothed along the page, are low.
 
 A sidebar is a path of its own: a furniture header and the run of title-like lines that follows it.
 """
@@ -50,6 +52,8 @@ _SIDE = re.compile(
 )
 #: A path on at least this share of a host's pages is template, whatever it says.
 HOST_SHARE, HOST_PAGES = 0.12, 3
+#: Two lines that follow each other on so many pages of a host are template on any share of them, if words and punctuation are at most THIN.
+REPEATS, THIN = 5, 9.0
 #: A label of up to three words seen on so many hosts, and again on its own, is template.
 HOSTS = 3
 
@@ -94,11 +98,23 @@ def slug_words(url: str | None, title: str | None, host: str) -> set[str]:
 FURNITURE, BODY, BLANK, HEADING = 1, 0, -1, 2
 
 
-def split_page(lines: list[str], host_pages: np.ndarray, hosts: np.ndarray, n_pages: int, heads: set[str]) -> list[int]:
+def thin_lines(text: list[str]) -> np.ndarray:
+    """True where a line's words, twice as many if it ends as a sentence, average at most THIN with those of the line before or after; blank lines are none."""
+    filled = [i for i, t in enumerate(text) if t]
+    w = np.array([len(_WORD.findall(text[i])) * (2 if _ENDS.search(text[i]) else 1) for i in filled], dtype=float)
+    out = np.zeros(len(text), dtype=bool)
+    if len(w):
+        side = (w[1:] + w[:-1]) / 2
+        out[filled] = np.minimum(np.append(side, w[-1]), np.insert(side, 0, w[0])) <= THIN
+    return out
+
+
+def split_page(lines: list[str], host_pages: np.ndarray, hosts: np.ndarray, n_pages: int, heads: set[str], together: np.ndarray | None = None) -> list[int]:
     """A class per line: BLANK, FURNITURE, or body (HEADING for the article's own title, else BODY).
 
     ``host_pages`` and ``hosts`` count, per line, the host's pages and the hosts that show its path;
-    ``n_pages`` the pages of the host.
+    ``n_pages`` the pages of the host; ``together`` counts the host's pages that show a line with the same
+    line before or after it.  A page whose sentences are mostly on as many pages is a copy, not a template.
     """
     norm = lambda s: " ".join(_WORD.findall(s.lower()))
     fold = lambda s: s.encode("ascii", "ignore").decode()
@@ -106,6 +122,11 @@ def split_page(lines: list[str], host_pages: np.ndarray, hosts: np.ndarray, n_pa
     out: list[int] = []
     text = [x.strip() for x in lines]
     score = np.zeros(len(text))
+    runs = np.zeros(len(text), dtype=bool)
+    if together is not None and (together >= REPEATS).any():
+        said = [host_pages[i] for i, t in enumerate(text) if t and is_sentence(t)]
+        if not said or np.median(said) < REPEATS:
+            runs = (together >= REPEATS) & thin_lines(text)
     for i, t in enumerate(text):
         if not t:
             continue
@@ -122,6 +143,8 @@ def split_page(lines: list[str], host_pages: np.ndarray, hosts: np.ndarray, n_pa
             s = 1.0
         elif template and (short or not is_sentence(t)):
             s = 1.0
+        elif runs[i] and not is_sentence(t) and "\t" not in t and norm(t) not in heads:
+            s = 1.0
         elif hosts[i] >= HOSTS and n_words <= 3 and (host_pages[i] >= 2 or n_pages <= 3) and not _BODY_MARK.match(t) and "\t" not in t:
             s = 1.0
         elif template and n_words < 25 and share >= 0.25:
@@ -211,6 +234,15 @@ def content_measures(lines: list[str], classes: list[int]) -> tuple[int, int, fl
     return inside, outside, len(set(loose)) / max(1, len(loose)), listed, urls, sorted(phrases)
 
 
+def followers(lines: list) -> list[int]:
+    """For every line that is not blank the place of the next such line, else 0."""
+    out, after = [0] * len(lines), 0
+    for i in range(len(lines) - 1, -1, -1):
+        if lines[i]:
+            out[i], after = after, i
+    return out
+
+
 class Pages:
     """Classified pages: ``table`` holds crawl_id, host, a class per line and the content measures.
 
@@ -224,15 +256,18 @@ class Pages:
 
         def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                hosts, ends, flat = [], [0], []
+                hosts, ends, flat, pairs = [], [0], [], []
                 for u, t in zip(b.column(2).to_pylist(), b.column(4)):
                     hosts.append(host_of(u))
-                    flat += [path_hash(m) if (m := mask(x)) else 0 for x in t.as_py().split("\n")]
+                    own = [path_hash(m) if (m := mask(x)) else 0 for x in t.as_py().split("\n")]
+                    next_ = followers(own)
+                    flat += own
+                    pairs += [path_hash(f"{x} {own[k]}") if k else 0 for x, k in zip(own, next_)]
                     ends.append(len(flat))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, dtype=np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hosts), lists], names=["crawl_id", "id", "host", "paths"])
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(x, dtype=np.int64))) for x in (flat, pairs)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hosts), *lists], names=["crawl_id", "id", "host", "paths", "pairs"])
 
-        found = materialize(src.mapInArrow(paths, "crawl_id bigint, id string, host string, paths array<bigint>"), "paths")
+        found = materialize(src.mapInArrow(paths, "crawl_id bigint, id string, host string, paths array<bigint>, pairs array<bigint>"), "paths")
         per_host = (
             found.select("host", "id", F.explode(F.array_distinct("paths")).alias("path"))
             .filter("path <> 0")
@@ -247,17 +282,33 @@ class Pages:
         n_pages = found.select("host", "id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
         lines = found.select("crawl_id", "host", F.posexplode("paths").alias("pos", "path")).filter("path <> 0")
         known = lines.join(stats, ["host", "path"]).groupBy("crawl_id").agg(F.collect_list(F.struct("pos", "pages", "hosts")).cast(_STATS).alias("stats"))
-        full = src.join(found.select("crawl_id", "host").join(n_pages, "host"), "crawl_id").join(known, "crawl_id", "left").select("crawl_id", "url", "title", "text", "host", "n_pages", "stats")
+        per_pair = (
+            found.select("host", "id", F.explode(F.array_distinct("pairs")).alias("pair"))
+            .filter("pair <> 0")
+            .distinct()
+            .groupBy("host", "pair")
+            .agg(F.count(F.lit(1)).alias("pages"))
+            .filter(F.col("pages") >= REPEATS)
+        )
+        runs = found.select("crawl_id", "host", F.posexplode("pairs").alias("pos", "pair")).filter("pair <> 0").join(per_pair, ["host", "pair"])
+        runs = runs.groupBy("crawl_id").agg(F.collect_list(F.struct("pos", "pages")).alias("runs"))
+        full = src.join(found.select("crawl_id", "host").join(n_pages, "host"), "crawl_id").join(known, "crawl_id", "left").join(runs, "crawl_id", "left")
+        full = full.select("crawl_id", "url", "title", "text", "host", "n_pages", "stats", "runs")
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows = []
-                for cid, url, title, text, host, n, stats in zip(*[b.column(k).to_pylist() for k in range(7)]):
+                for cid, url, title, text, host, n, stats, runs in zip(*[b.column(k).to_pylist() for k in range(8)]):
                     ls = text.split("\n")
                     hp, hs = np.ones(len(ls), dtype=np.int64), np.ones(len(ls), dtype=np.int64)
                     for x in stats or ():
                         hp[x["pos"]], hs[x["pos"]] = x["pages"], x["hosts"]
-                    cls = split_page(ls, hp, hs, n, slug_words(url, title, host))
+                    together = np.zeros(len(ls), dtype=np.int64)
+                    next_ = followers([bool(mask(x)) for x in ls]) if runs else []
+                    for x in runs or ():
+                        for k in (x["pos"], next_[x["pos"]]):
+                            together[k] = max(together[k], x["pages"])
+                    cls = split_page(ls, hp, hs, n, slug_words(url, title, host), together)
                     rows.append((cid, host, cls, *content_measures(ls, cls)))
                 names = ["crawl_id", "host", "classes", "inside", "outside", "fresh", "listed", "urls", "phrases"]
                 types = [pa.int64(), pa.string(), pa.list_(pa.int8()), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]

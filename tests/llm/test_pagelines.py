@@ -50,3 +50,16 @@ def test_measures_and_names():
     assert m[0] == 7 and m[1] == 6 and m[4] == 1
     assert host_of("HTTPS://WWW.A.test/x") == "www.a.test" and host_of(None) == "" and host_of("/rel") == ""
     assert "the old mill" in slug_words("https://a.test/the-old-mill.html?n=3", "a.test", "a.test")
+
+
+def test_section_menu_of_a_few_pages_is_template_and_copies_are_not(spark):
+    words = ["oak", "tin", "clay", "slate", "wool", "salt", "flax", "reed", "moss", "peat"]
+    said = lambda i: f"The {words[i % 10]} mill of {words[i // 10]} town was built beside the weir.\nIts {words[i % 10]} wheel was sold to {words[i // 10]} farmers in the north."
+    menu = "Tide tables\nHarbour fees\nMooring plans"
+    rows = [page(i, (menu + "\n" if i < 6 else "") + said(i) + f"\nNotes on the {words[i % 10]} pier\n" + said(i).upper()[:40] + " stood here.") for i in range(60)]
+    rows += [page(100 + i, "The abbey of Brae was closed by the crown.\nFirst stone\nSecond stone\nIts bells were sold to a town in the north.") for i in range(6)]
+    got = {}
+    for r in Pages(spark.createDataFrame(rows, SCHEMA)).furniture().collect():
+        got.setdefault(r.crawl_id, set()).add(r.line_no)
+    assert all(got[i] == {0, 1, 2, 3, 4, 5, 6, 11, 12} for i in range(6))
+    assert all(got[i] == {0, 1, 2, 3, 8, 9} for i in [*range(6, 60), *range(100, 106)])
