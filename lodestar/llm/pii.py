@@ -162,7 +162,7 @@ _DE = re.compile(rf"(?<![\w-])((?:[A-ZÄÖÜ][^\W\d_]*-){{0,3}}[A-ZÄÖÜ][^\W\d
 _FR = re.compile(rf"(?<![\w./,-])(\d{{1,4}}[A-Za-z]?(?: (?:bis|ter))?,? (?i:rue|avenue|boulevard|chemin|place|quai|impasse|allée|route|cours|square) (?i:(?:de la|de l['’]|du|des|de|d['’]) ?)?(?:{_CAP} ?){{1,3}}?)(?=,|\n|\r|$|\.| {_NUM}| \(| depuis)")
 _ES = re.compile(rf"(?<!\w)((?i:calle|avenida|plaza|paseo|camino|carrer|ronda|travesía) (?i:(?:de la|de los|de las|del|de) )?(?:{_CAP},? ){{1,3}}(?:[Nn][ºo°]\.? ?)?{_NUM})(?!\w)")
 _DE_HINTS = ("straße ", "strasse ", "str. ", "gasse ", "weg ", "allee ", "platz ", "ufer ", "damm ", "ring ")
-_FR_HINTS = (" rue d", " avenue d", " boulevard d", " chemin d", " place d", " quai d", " impasse d", " allée d", " route d", " cours d", " square d", " rue ")
+_FR_HINTS = (" rue ", " avenue ", " boulevard ", " chemin ", " place ", " quai ", " impasse ", " allée ", " route ", " cours ", " square ")
 _ES_HINTS = ("calle ", "avenida ", "plaza ", "paseo ", "camino ", "carrer ", "ronda ", "travesía ")
 
 # -- names -------------------------------------------------------------------------------------
@@ -189,8 +189,8 @@ _CONTEXTS = [
         ("this is ", rf"(?i:\bthis is ){_name('a')}(?=,| my | speaking|\.)"),
         ("signed by ", rf"(?i:\bsigned by ){_name('a')} and {_name('b')}(?=[.,;\n\r]|\s|$)"),
         ("opened by ", rf"(?i:\bopened by ){_name('a')}(?= for | on |[.,\n])"),
-        ("Name: ", rf"(?i:\bname: ?){_name('a')}(?=[ \t]*[\n\r]|[ \t]*$|[ ]Tel|,)"),
-        ("Applicant: ", rf"(?i:\bapplicant: ?){_name('a')}(?=, |[\n\r.])"),
+        ("Name:", rf"(?i:\bname: ?){_name('a')}(?=[ \t]*[\n\r]|[ \t]*$|[ ]Tel|,)"),
+        ("Applicant:", rf"(?i:\bapplicant: ?){_name('a')}(?=, |[\n\r.])"),
         ("Witness ", rf"(?i:\bwitness ){_name('a')}(?= gave | said | stated )"),
         ("Record ", rf"(?i:\brecord \d+: ?){_name('a')}(?= \|)"),
         ("each ", rf"(?i:\breach ){_name('a')}(?= at | on | by )"),
@@ -198,22 +198,22 @@ _CONTEXTS = [
         (" asked for ", rf"{_HEAD}{_name('a')}(?= of {_CAP}(?: {_CAP})? asked for )"),
         (" reported that ", rf"{_HEAD}{_name('a')}(?= reported that )"),
         (") keeps ", rf"{_HEAD}{_name('a')}(?= \([^()\n]{{0,6}}(?:\([^()\n]*\)[^()\n]*)?[^()\n]*\) keeps )"),
-        ("Kontakt: ", rf"(?i:\bkontakt: ?){_name('a')}(?=, |[\n\r])"),
+        ("Kontakt:", rf"(?i:\bkontakt: ?){_name('a')}(?=, |[\n\r])"),
         ("gez. ", rf"\bgez\. {_name('a')}(?=[ \t]*[\n\r]|[ \t]*$)"),
         ("Sie sich an ", rf"\bSie sich an {_name('a')}(?=, | \(|\.)"),
         (" wohnt ", rf"{_HEAD}{_name('a')}(?= wohnt (?:seit|in|im) )"),
         (" habite ", rf"{_HEAD}{_name('a')}(?= habite )"),
         (" vive en ", rf"{_HEAD}{_name('a')}(?= vive en )"),
         ("écrire à ", rf"\bécrire à {_name('a')}(?=, | \()"),
-        (" demander ", rf"\bdemander {_name('a')}(?=[.,;\n\r]|$)"),
+        ("demander ", rf"\bdemander {_name('a')}(?=[.,;\n\r]|$)"),
         ("preguntar por ", rf"\bpreguntar por {_name('a')}(?=[.,;\n\r]|$)"),
-        ("Firmado: ", rf"\bFirmado: ?{_name('a')}(?: y {_name('b')})?(?=[ \t\n\r.,]|$)"),
-        ("Signé : ", rf"\bSigné ?: ?{_name('a')}(?: et {_name('b')})?(?=[ \t\n\r.,]|$)"),
+        ("Firmado:", rf"\bFirmado: ?{_name('a')}(?: y {_name('b')})?(?=[ \t\n\r.,]|$)"),
+        ("Signé", rf"\bSigné ?: ?{_name('a')}(?: et {_name('b')})?(?=[ \t\n\r.,]|$)"),
         ("Dossier de ", rf"\bDossier de {_name('a')}(?=, )"),
         ("Solicitud de ", rf"\bSolicitud de {_name('a')}(?=, )"),
         ("Antrag von ", rf"\bAntrag von {_name('a')}(?=, )"),
         ("Escriba a ", rf"\bEscriba a {_name('a')}(?= \(|, )"),
-        ("-- ", rf"(?:^|[\n\r\s])-- ?[\n\r]+{_name('a')}(?=[ \t]*[\n\r]+{_NUM}[ ,])"),
+        ("--", rf"(?:^|[\n\r\s])-- ?[\n\r]+{_name('a')}(?=[ \t]*[\n\r]+{_NUM}[ ,])"),
         ("egards", rf"(?i:\bregards,?)[\n\r ]+{_name('a')}(?=[ \t]*[\n\r.]|[ \t]*$)"),
     ]
 ]

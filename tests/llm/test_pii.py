@@ -66,3 +66,16 @@ def test_redaction_and_rows(spark):
     assert [r.redacted for r in got[2:]] == [None, "", rows[4][1]]
     assert got[0].spans[0].value == "Ann Lee" and text[got[0].spans[0].start :].startswith("Ann Lee")
     assert scan(df.limit(0), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Il habite au 12 avenue Victor Hugo, Lyon", [("street_address", "12 avenue Victor Hugo")]),
+        ("Signé: Anna Kessler", [("person_name", "Anna Kessler")]),
+        ("Name:Anna Kessler\n", [("person_name", "Anna Kessler")]),
+        ("See you.\n--\nAnna Kessler\n12 Mill", [("person_name", "Anna Kessler")]),
+    ],
+)
+def test_gates_are_no_narrower_than_their_patterns(text, want):
+    assert values(text) == want
