@@ -1,13 +1,23 @@
-"""Lines of crawled pages: path statistics and the split into main body and furniture.
-
-Page texts come without tags, so a line's place in the page template stands in for its root-to-leaf
-tag path: the host is the root, the line with its digits masked is the leaf.  Lines of one path have the
-same words and punctuation, so a path's text length and punctuation are read off the line itself.  Over
-the crawl, the distinct pages and hosts of a path are counted, and the pages that show two lines one after
-the other.  Template is what is on a share of a host's pages, or, on any share, what comes with the same
-neighbour on ``REPEATS`` pages where length and punctuation, smoothed along the page, are low.
-
-A sidebar is a path of its own: a furniture header and the run of title-like lines that follows it.
+"""Lines of crawled pages: path statistics and the split into main body and furniture, and stuffed pages.
+
+Page texts come without tags, so what is left of the layout stands in for a root-to-leaf tag path.  A line
+has four paths, from exact to general:
+
+* leaf: host and the line with its digits masked,
+* head and tail: its first and its last two words, over all hosts,
+* place: the line above it that heads a run of titles (``Related reading`` and what follows).
+
+Over the whole crawl each path is given its pages, hosts, text length and punctuation.  A leaf is template on a
+host that shows it on a share of its pages; a head or tail is template where it is so on most of the hosts
+that can tell; a line heads a run of titles where what follows it is short, without punctuation and ever
+different; nine in ten of its runs give the length of the run.  These ratios are fused with link density (labels that are the page's own links) and smoothed
+along the page, and a threshold decides.  Words of some languages serve as a prior for lines of which the
+crawl says nothing; ``prior=None`` leaves it out.
+
+Stuffed pages: phrases (one and two words of a line) are exploded and their distinct hosts counted, over all
+pages and over those that repeat themselves or list tags and URLs.  A phrase found on such pages of several
+hosts, and mostly on such pages, is a stuffing phrase; a page is flagged if more of its words stand in lines stitched of
+such phrases, or in lists and repetition, than in sentences.
 """
 
 from __future__ import annotations
@@ -21,41 +31,46 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.words import hash_words, mix
 from lodestar.runtime import materialize
 
 _DIGITS = re.compile(r"\d+")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://([^/?#]+)", re.I)
 _ENDS = re.compile(r"[.!?…][\"'”’)\]»]*$")
-_MARK = re.compile(r"^(?:[-–*+·›>»•▪◦]|\d{1,2}[.)])\s+")
+_MARK = re.compile(r"^(?:[-–*+·•›>»▪◦]|\d{1,2}[.)])\s+")
 _BODY_MARK = re.compile(r"^(?:[-–*+]|\d{1,2}[.)])\s+")
-_MENU_SEP = re.compile(r"\s[|·>»/]\s|\s{2,}|\s–\s")
+_LABEL_SEP = re.compile(r"\s*[|·>»›]\s*|\s{2,}|\s+/\s+")
 _CRUMB_SEP = re.compile(r"\s+[>»/›]\s+")
+_TEASER = re.compile(r"^[^.:!?]{3,70}: \S")
 _WORD = re.compile(r"[^\W_]+")
-#: Fixed: words of consent notices, page tools and footers in the languages of the crawl.  They count
-#: only on short lines or beside a repeated path, never alone against a sentence of its own.
-_NOTICE = re.compile(
-    r"(?i)\b(?:we|this (?:web)?site) uses? cookies\b|^cookies help us\b|\bcookie (?:list|settings|policy|notice)\b|\byour privacy (?:matters|is)\b|\bvie privée compte\b|\bprivatsphäre ist uns\b|\bsu privacidad\b|\bstores? small files on your device\b|\bspeichert daten auf ihrem\b|"
-    r"\bguarda .{0,30}en su (?:dispositivo|equipo)\b|\bsur votre appareil\b|\bagree to our policy\b|\bpartners process data\b|\bpartenaires traitent\b|\bsocios tratan\b|\bpartner verarbeiten\b|\b(?:utilisons|usamos|utilizamos|verwenden|nutzen) (?:des )?cookies\b|\bles cookies\b.{0,40}\bsite\b|\bcookies (?:helfen|nos ayudan)\b|"
-    r"\bacceptez notre\b|\bacepta nuestra\b|\bstimmen sie\b|^(?:accept all|tout accepter|aceptar todo|alle akzeptieren|allow|ok, got it|j.accepte|acepto|einverstanden)\b"
-)
-_FOOT = re.compile(
-    r"(?i)^(?:©|\(c\) \d|copyright\b)|\ball rights reserved\b|\btous droits réservés\b|\balle rechte vorbehalten\b|\btodos los derechos\b|^powered by \S+(?: \S+)?$|^betrieben mit \S+$|^propulsé par \S+(?: \S+)?$|^con la tecnología de\b|"
-    r"\bsite (?:by|réalisé par)\b|^sitio creado por\b|^this page was served in\b|^you are visitor number\b|^vous êtes le visiteur\b|^es usted el visitante\b|^sie sind besucher\b|^subscribe to our newsletter\b|^abonnez-vous\b|^suscríbase\b|^newsletter abonnieren$|"
-    r"^follow us:|^suivez-nous\b|^síganos\b|^folgen sie uns\b|^share this:|^partager ?:|^compartir ?:|^teilen ?:|^back to top\b|^haut de page$|^volver arriba$|^nach oben$|^skip to content$|^aller au contenu$|^saltar al contenido$|^zum inhalt springen$|"
-    r"^print this page$|^imprimer cette page$|^imprimir esta página$|^seite drucken$|^reading time: \d+|^temps de lecture|^tiempo de lectura|^lesezeit|^last updated:|^dernière mise à jour|^última actualización|^zuletzt geändert|^actualizado el\b|^mis à jour le\b|^aktualisiert am\b|^stand: ?\d|^updated on\b|^like \(\d+\)|"
-    r"^loading…?$|^toggle navigation$|^advertisement$|^publicité$|^publicidad$|^anzeige$|^content is available under\b|^contenu sous licence|^contenido bajo licencia|^inhalt unter|^registered charity\b|^← |^accept all\b|^allow\s+decline$|^ok, got it$|^tout accepter\b|^aceptar\b|^alle akzeptieren\b|^see the cookie list\b"
+_TAG = re.compile(r"(?i:https?://|www\.)|#\w|\b[A-Z]{2,}-?\d{3,}")
+_PART = re.compile(r"(?<=[.!?])\s+")
+_SENTENCE = re.compile(r"[.!?…)][\"'”’)\]»]*$")
+
+#: Fixed: how consent notices, page tools and footers begin, and what heads a sidebar, in the languages of the crawl.
+PRIOR_LINE = (
+    r"(?i)^(?:©|copyright\b|we use cookies|cookies help|this (?:web)?site (?:uses|stores)|your privacy|powered by|betrieben mit|propulsé par|con la tecnología de|site (?:by|réalisé par)|sitio creado por|"
+    r"all rights reserved|subscribe to|abonnez-vous|suscríbase|newsletter abonnieren|follow us|suivez-nous|síganos|folgen sie uns|share this|partager|compartir|teilen|back to top|haut de page|volver arriba|nach oben|"
+    r"skip to content|print this page|last updated|updated on|mis à jour le|dernière mise à jour|actualizado el|última actualización|aktualisiert am|zuletzt geändert|ok, got it|accept all|advertisement|publicité|publicidad|anzeige)(?!\w)"
 )
-#: Fixed: headers of sidebars and link blocks.
-_SIDE = re.compile(
-    r"(?i)^(?:related reading|you may also like|in this series|tags|recent posts|editor'?s picks|most read(?: this week)?|more from this section|see also|popular posts|latest news|"
-    r"à lire aussi|articles récents|les plus lus|dans cette série|mots-clés|te puede interesar|lo más leído|entradas recientes|en esta serie|etiquetas|mehr zum thema|neueste beiträge|meistgelesen|in dieser reihe|schlagwörter|das könnte sie auch interessieren)$"
-)
-#: A path on at least this share of a host's pages is template, whatever it says.
+PRIOR_SIDE = r"(?i)^(?:related reading|you may also like|in this series|tags|recent posts|most read|see also|popular posts|latest news|à lire aussi|articles récents|te puede interesar|entradas recientes|mehr zum thema|neueste beiträge)$"
+
+#: A leaf on at least this share of a host's pages, and on so many of them, is template there.
 HOST_SHARE, HOST_PAGES = 0.12, 3
+#: Hosts of at least so many pages can tell template from content.
+VOTERS = 10
+#: A head, tail or leaf is template everywhere if so many hosts say so, and this share of those that can tell.
+HOSTS, AGREE = 3, 0.5
 #: Two lines that follow each other on so many pages of a host are template on any share of them, if words and punctuation are at most THIN.
 REPEATS, THIN = 5, 9.0
-#: A label of up to three words seen on so many hosts, and again on its own, is template.
-HOSTS = 3
+#: Words of a window, the mean share of distinct words up to which a page repeats itself, and the share up to which a window does.
+WINDOW, STALE_PAGE, STALE = 30, 0.6, 0.5
+#: Share of a line's phrases from which on it is stitched of stuffing phrases.
+STITCHED = 0.1
+
+SENT, ENDS, BULLET, TAB, CRUMB, MENU, LINKED, HEAD, TEASER, FOLLOWED, P_LINE, P_SIDE, SHORT, TITLE = (1 << k for k in range(14))
+#: The length of the run of titles below a line stands above the flags; what the field holds is the longest counted.
+RUN, MOST_RUN = 14, (1 << 16) - 1
 
 
 def host_of(url: str | None) -> str:
@@ -71,279 +86,395 @@ def path_hash(masked: str) -> int:
     return xxhash.xxh3_64_intdigest(masked.encode("utf-8", "replace")) - (1 << 63)
 
 
-def is_sentence(line: str) -> bool:
-    """A line that ends as a sentence does and has the words of one."""
-    return bool(_ENDS.search(line)) and len(_WORD.findall(line)) >= 4
+def _norm(s: str) -> str:
+    return " ".join(_WORD.findall(s.lower()))
+
+
+def _fold(s: str) -> str:
+    return s.encode("ascii", "ignore").decode()
+
+
+def _last_part(url: str) -> str:
+    return re.sub(r"\.html?$", "", re.sub(r"[?#].*$", "", url).rstrip("/").rsplit("/", 1)[-1])
 
 
 def slug_words(url: str | None, title: str | None, host: str) -> set[str]:
     """Normalised candidates for the article's own heading: the title, and the words of the URL's last part."""
-    norm = lambda s: " ".join(_WORD.findall(s.lower()))
     out = set()
     if title:
         t = title
         for sep in (" | ", " – ", " - ", " — ", " :: ", " » "):
             t = t.replace(sep, "\n")
-        parts = [p for p in t.split("\n") if host not in p.lower()] or []
-        out |= {norm(p) for p in parts} | {norm(title)}
+        out |= {_norm(p) for p in t.split("\n") if host not in p.lower()} | {_norm(title)}
     if url:
-        last = re.sub(r"[?#].*$", "", url).rstrip("/").rsplit("/", 1)[-1]
-        last = re.sub(r"\.html?$", "", last)
+        last = _last_part(url)
         if last.count("-") >= 2:
-            out.add(" ".join(_WORD.findall(last.lower().replace("-", " "))))
+            out.add(_norm(last.replace("-", " ")))
     out.discard("")
     return out
 
 
-FURNITURE, BODY, BLANK, HEADING = 1, 0, -1, 2
+def link_labels(links: list[str] | None) -> set[str]:
+    """What the page's links are called: the words of their last part."""
+    return {_norm(_last_part(x)) for x in links or () if x}
+
+
+class Lines:
+    """Features of lines, remembered for lines that come again."""
+
+    CAPACITY = 200_000
+
+    def __init__(self, prior: tuple[str, str] | None):
+        self.prior = tuple(re.compile(p) for p in prior) if prior else None
+        self.memo: dict[str, tuple] = {}
+
+    def __call__(self, t: str) -> tuple:
+        """(leaf, head, tail, words, flags, normalised, labels, last label) of a stripped line."""
+        hit = self.memo.get(t)
+        if hit is not None:
+            return hit
+        ws = _WORD.findall(t.lower())
+        n = len(ws)
+        masked = mask(t)
+        parts = masked.lower().split(" ")
+        ends = bool(_ENDS.search(t))
+        f = (ENDS if ends else 0) | (SENT if ends and n >= 4 else 0) | (TAB if "\t" in t else 0)
+        labels: tuple[str, ...] = ()
+        last = ""
+        if n <= 25 or not ends:
+            f |= BULLET if _BODY_MARK.match(t) else 0
+            split = [p for p in _LABEL_SEP.split(_MARK.sub("", t)) if p]
+            labels = tuple(_norm(p) for p in split)
+            if len(split) >= 3 and not f & (SENT | TAB) and len(set(split)) == len(split) and all(p.count(" ") <= 2 for p in labels):
+                f |= MENU
+            crumbs = _CRUMB_SEP.split(t)
+            if len(crumbs) >= 2 and not f & SENT:
+                last = _norm(crumbs[-1])
+                if all(len(_WORD.findall(p)) <= 2 for p in crumbs[:-1]):
+                    f |= CRUMB
+        if n <= 40 and _TEASER.match(t) and f & SENT:
+            f |= TEASER
+        if n <= 9:
+            f |= SHORT
+            if not ends and not f & (BULLET | TAB) and not _MARK.match(t) and not t[0].islower() and not _TAG.search(t):
+                f |= TITLE
+        if self.prior and n <= 25:
+            f |= (P_LINE if self.prior[0].search(t) else 0) | (P_SIDE if n <= 4 and self.prior[1].search(t) else 0)
+        out = (path_hash(masked), path_hash(" ".join(parts[:2])), path_hash(" ".join(parts[-2:])), n, f, " ".join(ws), labels, last)
+        if n <= 25:
+            if len(self.memo) >= self.CAPACITY:
+                self.memo.clear()
+            self.memo[t] = out
+        return out
+
+    def page(self, url: str | None, title: str | None, links: list[str] | None, text: str) -> tuple[str, np.ndarray]:
+        """Host and one row per filled line: place, leaf, head, tail, words, flags."""
+        host = host_of(url)
+        heads = slug_words(url, title, host)
+        heads |= {_fold(h) for h in heads}
+        names = link_labels(links)
+        rows = []
+        for i, line in enumerate(text.split("\n")):
+            t = line.strip()
+            if not t:
+                continue
+            leaf, head, tail, n, f, norm, labels, last = self(t)
+            if norm in heads or _fold(norm) in heads:
+                f |= HEAD
+            if names and labels and not f & SENT and all(x in names for x in labels):
+                f |= LINKED
+            if last and last in heads and last != norm:
+                f |= CRUMB | LINKED
+            rows.append((i, leaf, head, tail, n, f))
+        out = np.array(rows, dtype=np.int64).reshape(-1, 6)
+        if len(out) > 1:
+            child = ((out[:, 5] & (TITLE | TEASER)) != 0) & ((out[:, 5] & HEAD) == 0)
+            run = 0
+            for k in range(len(out) - 1, -1, -1):
+                out[k, 5] |= (FOLLOWED | min(run, MOST_RUN) << RUN) if run else 0
+                run = run + 1 if child[k] else 0
+        return host, out
+
+
+def thin_lines(words: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """True where a line's words, twice as many if it ends as a sentence, average at most THIN with those of the line before or after."""
+    w = words * np.where(flags & ENDS, 2.0, 1.0)
+    if not len(w):
+        return np.zeros(0, dtype=bool)
+    side = (w[1:] + w[:-1]) / 2
+    return np.minimum(np.append(side, w[-1]), np.insert(side, 0, w[0])) <= THIN
 
 
-def thin_lines(text: list[str]) -> np.ndarray:
-    """True where a line's words, twice as many if it ends as a sentence, average at most THIN with those of the line before or after; blank lines are none."""
-    filled = [i for i, t in enumerate(text) if t]
-    w = np.array([len(_WORD.findall(text[i])) * (2 if _ENDS.search(text[i]) else 1) for i in filled], dtype=float)
-    out = np.zeros(len(text), dtype=bool)
-    if len(w):
-        side = (w[1:] + w[:-1]) / 2
-        out[filled] = np.minimum(np.append(side, w[-1]), np.insert(side, 0, w[0])) <= THIN
-    return out
+FURNITURE, BODY, BLANK, HEADING = 1, 0, -1, 2
+#: What the crawl says of a line: see ``Pages``.
+SAYS = ("pages", "template", "path", "heads", "runs")
 
 
-def split_page(lines: list[str], host_pages: np.ndarray, hosts: np.ndarray, n_pages: int, heads: set[str], together: np.ndarray | None = None) -> list[int]:
-    """A class per line: BLANK, FURNITURE, or body (HEADING for the article's own title, else BODY).
+def split_lines(words: np.ndarray, flags: np.ndarray, says: dict[str, np.ndarray], n_pages: int) -> np.ndarray:
+    """A class per filled line: FURNITURE, or body (HEADING for the article's own title, else BODY).
 
-    ``host_pages`` and ``hosts`` count, per line, the host's pages and the hosts that show its path;
-    ``n_pages`` the pages of the host; ``together`` counts the host's pages that show a line with the same
-    line before or after it.  A page whose sentences are mostly on as many pages is a copy, not a template.
+    ``says`` holds per line the host's pages with its leaf, whether the leaf is template on hosts, the share of
+    hosts on which its head or tail is, how long a run of titles it heads (0: none), and the pages that show it with the
+    same neighbour.  A page whose sentences are mostly on as many pages is a copy, not a template.
     """
-    norm = lambda s: " ".join(_WORD.findall(s.lower()))
-    fold = lambda s: s.encode("ascii", "ignore").decode()
-    heads_ascii = {fold(h) for h in heads}
-    out: list[int] = []
-    text = [x.strip() for x in lines]
-    score = np.zeros(len(text))
-    runs = np.zeros(len(text), dtype=bool)
-    if together is not None and (together >= REPEATS).any():
-        said = [host_pages[i] for i, t in enumerate(text) if t and is_sentence(t)]
-        if not said or np.median(said) < REPEATS:
-            runs = (together >= REPEATS) & thin_lines(text)
-    for i, t in enumerate(text):
-        if not t:
-            continue
-        n_words = len(_WORD.findall(t))
-        share = host_pages[i] / max(n_pages, 1)
-        template = (host_pages[i] >= HOST_PAGES and share >= HOST_SHARE) or (n_pages < 2 * HOST_PAGES and host_pages[i] >= 2 and share >= 0.5)
-        short = n_words <= 9
-        s = 0.0
-        if _FOOT.search(t):
-            s = 1.0
-        elif _NOTICE.search(t):
-            s = 1.0
-        elif _SIDE.match(t):
-            s = 1.0
-        elif template and (short or not is_sentence(t)):
-            s = 1.0
-        elif runs[i] and not is_sentence(t) and "\t" not in t and norm(t) not in heads:
-            s = 1.0
-        elif hosts[i] >= HOSTS and n_words <= 3 and (host_pages[i] >= 2 or n_pages <= 3) and not _BODY_MARK.match(t) and "\t" not in t:
-            s = 1.0
-        elif template and n_words < 25 and share >= 0.25:
-            s = 1.0
-        elif _CRUMB_SEP.search(t) and not is_sentence(t) and norm(_CRUMB_SEP.split(t)[-1]) in heads:
-            s = 1.0
-        score[i] = s
-    filled = [i for i, t in enumerate(text) if t]
-    place = {i: k for k, i in enumerate(filled)}
-    # menus: a line of several labels, or a label among template lines (smoothing along the page)
-    for i in filled:
-        t = text[i]
-        if score[i] or is_sentence(t) or "\t" in t:
-            continue
-        k = place[i]
-        near = [score[filled[j]] for j in (k - 2, k - 1, k + 1, k + 2) if 0 <= j < len(filled)]
-        labels = [p for p in re.split(r"\s*[|·>»]\s*|\s{2,}|\s+/\s+", _MARK.sub("", t)) if p]
-        if len(labels) >= 3 and all(len(_WORD.findall(p)) <= 3 for p in labels) and len(labels) <= 16 and len(set(labels)) == len(labels):
-            score[i] = 0.9
-        elif len(_CRUMB_SEP.split(t)) >= 2 and all(len(_WORD.findall(p)) <= 2 for p in _CRUMB_SEP.split(t)[:-1]) and k < 40:
-            score[i] = 0.8
-        elif len(_WORD.findall(t)) <= 3 and not _BODY_MARK.match(t) and sum(near) >= 3 and norm(t) not in heads and k < len(filled):
-            score[i] = 0.7
-    # sidebars: the run of title-like lines below a header
-    i = 0
-    while i < len(filled):
-        at = filled[i]
-        if score[at] and _SIDE.match(text[at]):
-            j = i + 1
-            teaser = None
-            while j < len(filled):
-                t = text[filled[j]]
-                n = norm(t)
-                known = _FOOT.search(t) or _NOTICE.search(t) or _SIDE.match(t)
-                if known or _BODY_MARK.match(t) or "\t" in t or n in heads or fold(n) in heads_ascii:
-                    break
-                is_teaser = bool(re.match(r"^[^.:!?]{3,70}: \S", t)) and is_sentence(t)
-                titled = not _ENDS.search(t) and len(_WORD.findall(t)) <= 9
-                if not (is_teaser or titled) or (teaser is not None and teaser != is_teaser) or j - i > 8 or (score[filled[j]] and len(_WORD.findall(t)) <= 2):
-                    break
-                teaser = is_teaser
-                score[filled[j]] = 0.8
-                j += 1
-            i = max(j, i + 1)
-        else:
-            i += 1
-    for i, t in enumerate(text):
-        if not t:
-            out.append(BLANK)
-        elif score[i] >= 0.5:
-            out.append(FURNITURE)
-        else:
-            n = norm(t)
-            out.append(HEADING if n in heads or fold(n) in heads_ascii else BODY)
+    n = len(words)
+    has = lambda bit: (flags & bit) != 0
+    pages, sent, short = says["pages"], has(SENT), words <= 9
+    share = pages / max(n_pages, 1)
+    own = ((pages >= HOST_PAGES) & (share >= HOST_SHARE)) | ((n_pages < 2 * HOST_PAGES) & (pages >= 2) & (share >= 0.5))
+    runs = np.zeros(n, dtype=bool)
+    if (says["runs"] >= REPEATS).any() and (not sent.any() or np.median(pages[sent]) < REPEATS):
+        runs = (says["runs"] >= REPEATS) & thin_lines(words, flags)
+    silent = (pages < 2) & (says["path"] == 0) & (says["template"] == 0)
+    plain = ~has(BULLET) & ~has(TAB) & ~has(HEAD)
+    score = np.zeros(n)
+    score[own & (short | ~sent)] = 1.0
+    score[own & (words < 25) & (share >= 0.25)] = 1.0
+    score[runs & ~sent & ~has(TAB) & ~has(HEAD)] = 1.0
+    score[has(LINKED) & ~sent & ~has(BULLET)] = 1.0
+    score[(says["template"] > 0) & plain] = 1.0
+    score[(says["path"] >= AGREE) & (words <= 25) & plain & (~sent | (pages > 1) | (says["path"] > 1))] = 1.0
+    score[silent & (has(P_LINE) | has(P_SIDE))] = 1.0
+    # labels: a line of several, or one among template lines (smoothing along the page)
+    near = np.zeros(n)
+    for d in (1, 2):
+        near[d:] += score[:-d]
+        near[:-d] += score[d:]
+    free = (score == 0) & ~sent & ~has(TAB)
+    label = free & (words <= 3) & ~has(BULLET) & (near >= 3) & ~has(HEAD)
+    score[free & has(MENU)] = 0.9
+    score[free & has(CRUMB)] = np.maximum(score, 0.8)[free & has(CRUMB)]
+    score[label] = np.maximum(score, 0.7)[label]
+    # runs of titles below a line that heads them
+    header = (score > 0) & ((says["heads"] > 0) | (silent & has(P_SIDE)))
+    known = says["path"] >= AGREE
+    stop = has(HEAD) | has(BULLET) | has(TAB) | header | ((score > 0) & (known | (words <= 2) | own))
+    for at in np.nonzero(header)[0]:
+        kind, most = None, int(says["heads"][at]) or n
+        for j in range(at + 1, min(n, at + 1 + most)):
+            teaser = bool(flags[j] & TEASER)
+            if stop[j] or not (teaser or flags[j] & TITLE) or (kind is not None and kind != teaser):
+                break
+            kind = teaser
+            score[j] = max(score[j], 0.8)
+    out = np.where(score >= 0.5, FURNITURE, np.where(has(HEAD), HEADING, BODY))
     # headings alone are no body: they belong to whatever they head
-    if BODY not in out:
-        out = [FURNITURE if c == HEADING else c for c in out]
-    return out
-
-
-# -- pages at scale ----------------------------------------------------------------------------
-_STATS = "array<struct<pos:int,pages:bigint,hosts:bigint>>"
-_URL = re.compile(r"https?://|www\.", re.I)
-_TAG = re.compile(r"https?://|#\w|\bSKU")
-
-
-def content_measures(lines: list[str], classes: list[int]) -> tuple[int, int, float, int, int, list[int]]:
-    """Of a page's body lines: words in sentences, words outside, their distinct share, list lines, URLs, and the two-word phrases outside sentences as hashes."""
-    inside = outside = listed = urls = 0
-    loose: list[str] = []
-    phrases: set[int] = set()
-    for line, c in zip(lines, classes):
-        if c != BODY:
-            continue
-        line = line.strip()
-        urls += len(_URL.findall(line))
-        before = outside
-        for part in re.split(r"(?<=[.!?])\s+", line):
+    return out if (out == BODY).any() else np.where(out == HEADING, FURNITURE, out)
+
+
+def stale_words(h: np.ndarray) -> tuple[np.ndarray, float]:
+    """True for words in a window of WINDOW words of which at most STALE are distinct, and the windows' mean share; fewer words are one window."""
+    n = len(h)
+    if n < 8:
+        return np.zeros(n, dtype=bool), 1.0
+    size = min(WINDOW, n)
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    before = np.full(n, -1)
+    before[order[1:][same]] = order[:-1][same]
+    starts = np.arange(n - size + 1)
+    fresh = (np.lib.stride_tricks.sliding_window_view(before, size) < starts[:, None]).sum(1)
+    low = np.zeros(n + 1, dtype=np.int64)
+    bad = np.nonzero(fresh <= STALE * size)[0]
+    np.add.at(low, bad, 1)
+    np.add.at(low, bad + size, -1)
+    return np.cumsum(low)[:n] > 0, float(fresh.mean() / size)
+
+
+def content_measures(lines: list[str]) -> tuple[list[np.ndarray], np.ndarray, float]:
+    """Word hashes per filled line; per filled line words, words in sentences, words that repeat, words of tags and URLs; and how fresh the windows are."""
+    hashes, rows, fresh = [], [], 1.0
+    for line in lines:
+        inside = tags = 0
+        ws: list[str] = []
+        for part in _PART.split(line):
             w = _WORD.findall(part.lower())
-            if len(w) >= 5 and re.search(r"[.!?…)][\"'”’)\]»]*$", part) and not _TAG.search(part):
+            ws += w
+            if _TAG.search(part):
+                tags += len(w)
+            elif len(w) >= 5 and _SENTENCE.search(part):
                 inside += len(w)
-            else:
-                outside += len(w)
-                loose += w
-                phrases.update(path_hash(x + " " + y) for x, y in zip(w, w[1:]))
-        listed += outside > before
-    return inside, outside, len(set(loose)) / max(1, len(loose)), listed, urls, sorted(phrases)
-
-
-def followers(lines: list) -> list[int]:
-    """For every line that is not blank the place of the next such line, else 0."""
-    out, after = [0] * len(lines), 0
-    for i in range(len(lines) - 1, -1, -1):
-        if lines[i]:
-            out[i], after = after, i
-    return out
+        hashes.append(hash_words(ws))
+        rows.append((len(ws), inside, 0, tags))
+    out = np.array(rows, dtype=np.int64).reshape(-1, 4)
+    if len(out):
+        stale, fresh = stale_words(np.concatenate(hashes))
+        ends = np.cumsum(out[:, 0])
+        total = np.concatenate([[0], np.cumsum(stale)])
+        out[:, 2] = total[ends] - total[ends - out[:, 0]]
+    return hashes, out, fresh
+
+
+def phrases_of(h: np.ndarray) -> np.ndarray:
+    """Distinct hashes of a line's words and two-word phrases."""
+    if len(h) < 2:
+        return h
+    return np.unique(np.concatenate([h, mix(h[:-1] * np.uint64(3) + h[1:])]))
+
+
+def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
 
 
 class Pages:
-    """Classified pages: ``table`` holds crawl_id, host, a class per line and the content measures.
+    """Classified pages: ``table`` holds crawl_id, host, n_lines and place and class of every filled line.
 
     Defined results: null text has no lines; blank lines have no class; a page fetched again counts
     once in the path statistics; null titles, URLs and links are tolerated; rows with a null crawl_id
     are ignored; an empty table gives an empty table; other columns are not read.
     """
 
-    def __init__(self, pages: DataFrame):
-        src = pages.select(F.col("crawl_id").cast("bigint").alias("crawl_id"), F.coalesce(F.col("id"), F.md5(F.coalesce("url", F.col("crawl_id").cast("string")))).alias("id"), "url", "title", "text").filter("crawl_id is not null and text is not null")
+    def __init__(self, pages: DataFrame, prior: tuple[str, str] | None = (PRIOR_LINE, PRIOR_SIDE)):
+        ident = F.xxhash64(F.coalesce(F.col("id"), F.md5(F.coalesce("url", F.col("crawl_id").cast("string")))))
+        self.source = pages.select(F.col("crawl_id").cast("bigint").alias("crawl_id"), ident.alias("id"), "url", "title", "text", "links").filter("crawl_id is not null and text is not null")
 
-        def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lines = Lines(prior)
             for b in batches:
-                hosts, ends, flat, pairs = [], [0], [], []
-                for u, t in zip(b.column(2).to_pylist(), b.column(4)):
-                    hosts.append(host_of(u))
-                    own = [path_hash(m) if (m := mask(x)) else 0 for x in t.as_py().split("\n")]
-                    next_ = followers(own)
-                    flat += own
-                    pairs += [path_hash(f"{x} {own[k]}") if k else 0 for x, k in zip(own, next_)]
-                    ends.append(len(flat))
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(x, dtype=np.int64))) for x in (flat, pairs)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hosts), *lists], names=["crawl_id", "id", "host", "paths", "pairs"])
-
-        found = materialize(src.mapInArrow(paths, "crawl_id bigint, id string, host string, paths array<bigint>, pairs array<bigint>"), "paths")
-        per_host = (
-            found.select("host", "id", F.explode(F.array_distinct("paths")).alias("path"))
-            .filter("path <> 0")
-            .groupBy("host", "path", "id")
-            .agg(F.lit(1).alias("one"))
-            .groupBy("host", "path")
-            .agg(F.count(F.lit(1)).alias("pages"))
-        )
-        per_host = materialize(per_host, "perhost")
-        per_path = per_host.groupBy("path").agg(F.count(F.lit(1)).alias("hosts"))
-        stats = per_host.join(per_path, "path").filter("pages > 1 or hosts > 1")
-        n_pages = found.select("host", "id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-        lines = found.select("crawl_id", "host", F.posexplode("paths").alias("pos", "path")).filter("path <> 0")
-        known = lines.join(stats, ["host", "path"]).groupBy("crawl_id").agg(F.collect_list(F.struct("pos", "pages", "hosts")).cast(_STATS).alias("stats"))
-        per_pair = (
-            found.select("host", "id", F.explode(F.array_distinct("pairs")).alias("pair"))
-            .filter("pair <> 0")
-            .distinct()
-            .groupBy("host", "pair")
-            .agg(F.count(F.lit(1)).alias("pages"))
-            .filter(F.col("pages") >= REPEATS)
-        )
-        runs = found.select("crawl_id", "host", F.posexplode("pairs").alias("pos", "pair")).filter("pair <> 0").join(per_pair, ["host", "pair"])
-        runs = runs.groupBy("crawl_id").agg(F.collect_list(F.struct("pos", "pages")).alias("runs"))
-        full = src.join(found.select("crawl_id", "host").join(n_pages, "host"), "crawl_id").join(known, "crawl_id", "left").join(runs, "crawl_id", "left")
-        full = full.select("crawl_id", "url", "title", "text", "host", "n_pages", "stats", "runs")
+                hosts, tables, counts, ends = [], [np.zeros((0, 6), dtype=np.int64)], [], [0]
+                for u, ti, te, li in zip(*[b.column(k).to_pylist() for k in range(2, 6)]):
+                    host, rows = lines.page(u, ti, li, te)
+                    hosts.append(host)
+                    tables.append(rows)
+                    counts.append(te.count("\n") + 1)
+                    ends.append(ends[-1] + len(rows))
+                flat = np.concatenate(tables)
+                cols = [_lists(flat[:, k], np.array(ends), t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array(counts, pa.int32()), *cols], names=["crawl_id", "id", "host", "n_lines", "pos", "leaf", "head", "tail", "words", "flags"])
+
+        schema = "crawl_id bigint, id bigint, host string, n_lines int, pos array<int>, leaf array<bigint>, head array<bigint>, tail array<bigint>, words array<int>, flags array<int>"
+        self.found = materialize(self.source.mapInArrow(features, schema), "lines").withColumn("h", F.xxhash64("host"))
+        self.table = materialize(self._classes(), "pages")
+
+    def _paths(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """(leaf per host, leaf, head or tail, neighbours): what the crawl says of each path that says anything."""
+        found = self.found
+        each = found.select("h", "id", F.explode(F.array_distinct(F.arrays_zip("leaf", "head", "tail", "words"))).alias("x")).select("h", "id", "x.*")
+        per_host = each.groupBy("h", "leaf", "id").agg(F.first("head").alias("head"), F.first("tail").alias("tail"), F.first("words").alias("words")).groupBy("h", "leaf")
+        per_host = per_host.agg(F.count(F.lit(1)).alias("pages"), F.first("head").alias("head"), F.first("tail").alias("tail"), F.first("words").alias("words"))
+        self.n_pages = materialize(found.select("h", "id").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n_pages")), "hosts")
+        voters = F.col("n_pages") >= VOTERS
+        per_host = materialize(per_host.join(self.n_pages, "h").withColumn("own", (F.col("pages") >= HOST_PAGES) & (F.col("pages") >= HOST_SHARE * F.col("n_pages"))), "leaves")
+        leaf = per_host.filter("words <= 25").groupBy("leaf").agg(
+            F.count(F.lit(1)).alias("hosts"), F.sum("pages").alias("shown"), F.count(F.when(voters, 1)).alias("voters"), F.count(F.when(voters & (F.col("pages") >= 2), 1)).alias("again"), F.count(F.when(voters & F.col("own"), 1)).alias("owners")
+        ).filter(F.col("hosts") >= HOSTS)
+        agreed = (F.col("voters") >= HOSTS) & ((F.col("again") >= AGREE * F.col("voters")) | (F.col("owners") >= AGREE * F.col("voters")))
+        leaf = leaf.select("leaf", "shown", agreed.cast("int").alias("template")).filter("template = 1")
+        leaf = materialize(leaf, "leaf")
+        # heads and tails: on how many of the hosts that can tell are the lines that begin or end so template?
+        votes = per_host.filter(voters & (F.col("words") <= 25)).join(leaf.select("leaf", F.lit(True).alias("t")), "leaf", "left").withColumn("yes", F.col("own") | F.coalesce("t", F.lit(False)))
+        votes = votes.select("h", "pages", "yes", F.explode(F.array_distinct(F.array("head", "tail"))).alias("path"))
+        votes = votes.groupBy("path", "h").agg(F.sum("pages").alias("all"), F.sum(F.when(F.col("yes"), F.col("pages"))).alias("yes")).groupBy("path")
+        path = votes.agg(F.count(F.when(F.col("yes") >= 0.8 * F.col("all"), 1)).alias("yes"), F.count(F.lit(1)).alias("n")).filter((F.col("yes") >= HOSTS) & (F.col("yes") >= AGREE * F.col("n")))
+        path = materialize(path.select("path", (F.col("yes") / F.col("n")).alias("ratio")), "ends")
+        # lines that head runs of titles: what follows is a title or teaser, and another one each time
+        nxt = F.transform("leaf", lambda x, i: F.struct(x.alias("leaf"), F.get("leaf", i + 1).alias("below"), F.get("flags", i).alias("f")))
+        below = found.select("h", F.explode(nxt).alias("x")).filter(F.col("x.f").bitwiseAND(FOLLOWED | SHORT) == FOLLOWED | SHORT).filter(F.col("x.f").bitwiseAND(SENT | HEAD | BULLET | TAB) == 0)
+        below = below.select("h", "x.leaf", "x.below", F.shiftright("x.f", RUN).alias("run")).groupBy("leaf", "h", "below").agg(F.max("run").alias("run"))
+        below = below.groupBy("leaf").agg(F.count(F.lit(1)).alias("children"), F.percentile_approx("run", 0.9).alias("run"))
+        shown = per_host.filter("words <= 9").groupBy("leaf").agg(F.sum("pages").alias("shown"), F.max("pages").alias("most")).filter("most >= 2")
+        heads = materialize(below.join(shown, "leaf").filter((F.col("children") >= 0.5 * F.col("shown")) & (F.col("shown") >= 3)).select("leaf", F.col("run").alias("heads")), "heads")
+        # neighbours that come together
+        pair = F.transform("leaf", lambda x, i: F.struct(F.xxhash64(x, F.get("leaf", i + 1)).alias("pair"), (F.get("words", i) + F.get("words", i + 1) <= 2 * THIN).alias("thin"), F.get("pos", i).alias("pos"), F.get("pos", i + 1).alias("next")))
+        pairs = found.select("crawl_id", "h", "id", F.explode(pair).alias("x")).select("crawl_id", "h", "id", "x.*").filter("thin")
+        often = materialize(pairs.select("h", "pair", "id").distinct().groupBy("h", "pair").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= REPEATS), "pairs")
+        runs = pairs.join(often, ["h", "pair"]).select("crawl_id", F.explode(F.array("pos", "next")).alias("pos"), "together")
+        local = per_host.filter("pages > 1").select("h", "leaf", "pages")
+        return local, leaf.join(heads, "leaf", "full_outer").select("leaf", F.coalesce("template", F.lit(0)).alias("template"), F.coalesce("heads", F.lit(0)).alias("heads")), path, runs
+
+    def _classes(self) -> DataFrame:
+        local, leaf, path, runs = self._paths()
+        lines = self.found.select("crawl_id", "h", F.explode(F.arrays_zip("pos", "leaf", "head", "tail")).alias("x")).select("crawl_id", "h", "x.*")
+        x = lines.join(local, ["h", "leaf"], "left").join(leaf, "leaf", "left")
+        x = x.join(path.select(F.col("path").alias("head"), F.col("ratio").alias("r1")), "head", "left").join(path.select(F.col("path").alias("tail"), F.col("ratio").alias("r2")), "tail", "left")
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        # both ends agreeing counts more than one
+        ratio = F.when(F.col("r1").isNotNull() & F.col("r2").isNotNull(), F.col("r1") + F.col("r2")).otherwise(F.coalesce("r1", "r2", F.lit(0.0)))
+        x = x.select("crawl_id", "pos", zero("pages").alias("pages"), zero("template").alias("template"), ratio.cast("float").alias("path"), zero("heads").alias("heads"), F.lit(0).cast("bigint").alias("runs"))
+        x = x.filter("pages > 0 or template > 0 or path > 0 or heads > 0")
+        none = [F.lit(0).cast("bigint").alias("pages"), F.lit(0).alias("template"), F.lit(0).cast("float").alias("path"), F.lit(0).alias("heads")]
+        x = x.unionByName(runs.select("crawl_id", "pos", *none, F.col("together").alias("runs")))
+        says = x.groupBy("crawl_id").agg(F.collect_list(F.struct("pos", *SAYS)).alias("says"))
+        full = self.found.select("crawl_id", "host", "h", "n_lines", "pos", "words", "flags").join(self.n_pages, "h").join(says, "crawl_id", "left").select("crawl_id", "host", "n_lines", "n_pages", "pos", "words", "flags", "says")
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = []
-                for cid, url, title, text, host, n, stats, runs in zip(*[b.column(k).to_pylist() for k in range(8)]):
-                    ls = text.split("\n")
-                    hp, hs = np.ones(len(ls), dtype=np.int64), np.ones(len(ls), dtype=np.int64)
-                    for x in stats or ():
-                        hp[x["pos"]], hs[x["pos"]] = x["pages"], x["hosts"]
-                    together = np.zeros(len(ls), dtype=np.int64)
-                    next_ = followers([bool(mask(x)) for x in ls]) if runs else []
-                    for x in runs or ():
-                        for k in (x["pos"], next_[x["pos"]]):
-                            together[k] = max(together[k], x["pages"])
-                    cls = split_page(ls, hp, hs, n, slug_words(url, title, host), together)
-                    rows.append((cid, host, cls, *content_measures(ls, cls)))
-                names = ["crawl_id", "host", "classes", "inside", "outside", "fresh", "listed", "urls", "phrases"]
-                types = [pa.int64(), pa.string(), pa.list_(pa.int8()), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
-
-        schema = "crawl_id bigint, host string, classes array<tinyint>, inside bigint, outside bigint, fresh double, listed bigint, urls bigint, phrases array<bigint>"
-        self.table = materialize(full.mapInArrow(judge, schema), "pages")
-
-    def spam(self, sentence_share: float = 0.3, least_words: int = 40, hosts: int = 3) -> DataFrame:
-        """(crawl_id, sentence_share, replicated): pages mostly of keywords, links or product tags.
-
-        Phrases (two-word shingles outside sentences) are exploded and their distinct hosts counted over
-        all pages; ``replicated`` is the share of a page's phrases found on at least ``hosts`` hosts.
-        A page is flagged if few of its words stand in sentences and either its phrases are replicated
-        elsewhere, its words repeat, or its lines form a list or carry URLs.
+                ends = b.column(4).offsets.to_numpy()
+                ends = ends - ends[0]
+                pos, words, flags = (b.column(k).flatten().to_numpy() for k in (4, 5, 6))
+                at = b.column(7).offsets.to_numpy()
+                at, rows = at - at[0], b.column(7).flatten()
+                given = {k: rows.field(k).to_numpy() for k in ("pos", *SAYS)}
+                out = np.zeros(len(pos), dtype=np.int8)
+                for k, n in enumerate(b.column(3).to_numpy()):
+                    s, e = ends[k], ends[k + 1]
+                    says = {c: np.zeros(e - s) for c in SAYS}
+                    says["pages"] += 1
+                    part = slice(at[k], at[k + 1])
+                    where = np.searchsorted(pos[s:e], given["pos"][part])
+                    for c in SAYS:
+                        np.maximum.at(says[c], where, given[c][part])
+                    out[s:e] = split_lines(words[s:e], flags[s:e], says, int(n))
+                classes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), classes], names=["crawl_id", "host", "n_lines", "pos", "classes"])
+
+        return full.mapInArrow(judge, "crawl_id bigint, host string, n_lines int, pos array<int>, classes array<tinyint>")
+
+    def spam(self, hosts: int = 3) -> DataFrame:
+        """(crawl_id, stuffed, prose): pages mostly of keywords, links or product tags, and their words in such lines and in sentences.
+
+        A phrase is a stuffing phrase if at least ``hosts`` hosts show it on pages that repeat themselves or
+        list tags, and at least half of the lines that show it are on such pages.  A line of which a tenth of the
+        phrases are such is stitched; a repetitive line or one of tags counts like it.  A page is flagged if
+        its stitched body lines hold more words than its other sentences.
         """
-        t = self.table
-        seen = t.select("host", F.explode("phrases").alias("p")).groupBy("p", "host").agg(F.lit(1).alias("one")).groupBy("p").agg(F.count(F.lit(1)).alias("hosts")).filter(F.col("hosts") >= hosts)
-        share = F.col("inside") / (F.col("inside") + F.col("outside"))
-        dense = t.filter((F.col("outside") >= least_words) & (share < sentence_share))
-        hits = dense.select("crawl_id", F.explode("phrases").alias("p")).join(seen.select("p"), "p").groupBy("crawl_id").agg(F.count(F.lit(1)).alias("hits"))
-        scored = dense.join(hits, "crawl_id", "left").withColumn("replicated", F.coalesce(F.col("hits"), F.lit(0)) / F.greatest(F.size("phrases"), F.lit(1)))
-        evidence = (F.col("replicated") >= 0.2) | (F.col("fresh") <= 0.6) | (F.col("listed") >= 8) | (F.col("urls") >= 5)
-        return scored.filter(evidence).select("crawl_id", F.round(share, 6).alias("sentence_share"), F.round("replicated", 6).alias("replicated"))
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cid, hs, pos, rows, phr, ends = [], [], [], [np.zeros((0, 4), dtype=np.int64)], [np.zeros(0, dtype=np.uint64)], [0]
+                seeds = []
+                for c, u, t in zip(*[b.column(k).to_pylist() for k in range(3)]):
+                    text = [(i, s) for i, line in enumerate(t.split("\n")) if (s := line.strip())]
+                    hashes, m, fresh = content_measures([s for _, s in text])
+                    total = m.sum(0)
+                    seed = bool(fresh <= STALE_PAGE or (total[0] >= 8 and total[3] >= 0.3 * total[0]))
+                    h = path_hash(host_of(u))
+                    for (i, _), x in zip(text, hashes):
+                        p = phrases_of(x)
+                        phr.append(p)
+                        ends.append(ends[-1] + len(p))
+                        cid.append(c)
+                        hs.append(h)
+                        pos.append(i)
+                        seeds.append(seed)
+                    rows.append(m)
+                m = np.concatenate(rows)
+                cols = [pa.array(m[:, k], pa.int32()) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(hs, pa.int64()), pa.array(pos, pa.int32()), pa.array(seeds, pa.bool_()), *cols, _lists(np.concatenate(phr).view(np.int64), np.array(ends), pa.int64())], names=["crawl_id", "h", "pos", "seed", "n", "inside", "stale", "tags", "phrases"])
+
+        schema = "crawl_id bigint, h bigint, pos int, seed boolean, n int, inside int, stale int, tags int, phrases array<bigint>"
+        lines = self.source.select("crawl_id", "url", "text").mapInArrow(measure, schema)
+        seen = lines.select("h", "seed", F.explode("phrases").alias("p")).groupBy("p", "h").agg(F.count(F.lit(1)).alias("shown"), F.count(F.when(F.col("seed"), 1)).alias("dense"))
+        seen = seen.groupBy("p").agg(F.sum("shown").alias("shown"), F.sum("dense").alias("dense"), F.count(F.when(F.col("dense") > 0, 1)).alias("hosts"))
+        stuffing = materialize(seen.filter((F.col("hosts") >= hosts) & (F.col("dense") >= 0.5 * F.col("shown"))).select("p"), "stuffing")
+        hits = lines.select("crawl_id", "pos", F.size("phrases").alias("k"), F.explode("phrases").alias("p")).join(stuffing, "p").groupBy("crawl_id", "pos").agg((F.count(F.lit(1)) / F.first("k")).alias("stitched"))
+        body = self.table.select("crawl_id", F.explode(F.arrays_zip("pos", "classes")).alias("x")).filter(F.col("x.classes") == BODY).select("crawl_id", "x.pos")
+        x = lines.drop("phrases", "h", "seed").join(body, ["crawl_id", "pos"]).join(hits, ["crawl_id", "pos"], "left")
+        stitched = F.coalesce(F.col("stitched"), F.lit(0.0)) >= STITCHED
+        loaded = F.when(stitched, F.col("n")).otherwise(F.greatest("stale", "tags"))
+        sums = x.groupBy("crawl_id").agg(F.sum(loaded).alias("stuffed"), F.sum(F.when(stitched | (F.greatest("stale", "tags") * 2 > F.col("n")), 0).otherwise(F.col("inside"))).alias("prose"), F.sum("n").alias("n"))
+        return sums.filter((F.col("stuffed") > F.col("prose")) & (F.col("stuffed") >= 0.15 * F.col("n"))).select("crawl_id", "stuffed", "prose")
 
     def furniture(self) -> DataFrame:
         """(crawl_id, line_no): the lines that are not main body, of pages that are no spam."""
         rows = self.table.join(self.spam().select("crawl_id"), "crawl_id", "left_anti")
-        return rows.select("crawl_id", F.posexplode("classes").alias("line_no", "c")).filter(F.col("c") == FURNITURE).select("crawl_id", F.col("line_no").cast("bigint").alias("line_no"))
+        each = rows.select("crawl_id", F.explode(F.arrays_zip("pos", "classes")).alias("x"))
+        return each.filter(F.col("x.classes") == FURNITURE).select("crawl_id", F.col("x.pos").cast("bigint").alias("line_no"))
 
 
 def main_text(pages: DataFrame, classified: Pages) -> DataFrame:
     """(crawl_id, body): the page's text without its furniture lines; null text stays null, a page without a body gets an empty one."""
-    keep = classified.table.select("crawl_id", "classes")
-    lines = F.split("text", "\n")
-    kept = F.filter(F.arrays_zip(lines.alias("t"), F.col("classes").alias("c")), lambda x: x["c"] != FURNITURE)
-    body = F.trim(F.array_join(F.transform(kept, lambda x: x["t"]), "\n"))
-    return pages.join(keep, "crawl_id", "left").select("crawl_id", F.when(F.col("text").isNotNull(), body).alias("body"))
+    cut = F.transform(F.filter(F.arrays_zip("pos", "classes"), lambda x: x["classes"] == FURNITURE), lambda x: x["pos"])
+    keep = classified.table.select("crawl_id", cut.alias("cut"))
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("cut", i))
+    return pages.join(keep, "crawl_id", "left").select("crawl_id", F.when(F.col("text").isNotNull(), F.trim(F.array_join(kept, "\n"))).alias("body"))
