@@ -281,35 +281,45 @@ def stale_words(h: np.ndarray) -> tuple[np.ndarray, float]:
     return np.cumsum(low)[:n] > 0, float(fresh.mean() / size)
 
 
-def content_measures(lines: list[str]) -> tuple[list[np.ndarray], np.ndarray, float]:
-    """Word hashes per filled line; per filled line words, words in sentences, words that repeat, words of tags and URLs; and how fresh the windows are."""
-    hashes, rows, fresh = [], [], 1.0
+def content_measures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Word hashes; per filled line words, words in sentences, words that repeat, words of tags and URLs; and how fresh the windows are."""
+    rows, ws, fresh = [], [], 1.0
     for line in lines:
         inside = tags = 0
-        ws: list[str] = []
+        before = len(ws)
+        tagged = _TAG.search(line) is not None
         for part in _PART.split(line):
             w = _WORD.findall(part.lower())
             ws += w
-            if _TAG.search(part):
+            if tagged and _TAG.search(part):
                 tags += len(w)
             elif len(w) >= 5 and _SENTENCE.search(part):
                 inside += len(w)
-        hashes.append(hash_words(ws))
-        rows.append((len(ws), inside, 0, tags))
+        rows.append((len(ws) - before, inside, 0, tags))
+    h = hash_words(ws)
     out = np.array(rows, dtype=np.int64).reshape(-1, 4)
     if len(out):
-        stale, fresh = stale_words(np.concatenate(hashes))
-        ends = np.cumsum(out[:, 0])
-        total = np.concatenate([[0], np.cumsum(stale)])
-        out[:, 2] = total[ends] - total[ends - out[:, 0]]
-    return hashes, out, fresh
-
-
-def phrases_of(h: np.ndarray) -> np.ndarray:
-    """Distinct hashes of a line's words and two-word phrases."""
-    if len(h) < 2:
-        return h
-    return np.unique(np.concatenate([h, mix(h[:-1] * np.uint64(3) + h[1:])]))
+        stale, fresh = stale_words(h)
+        if stale.any():
+            ends = np.cumsum(out[:, 0])
+            total = np.concatenate([[0], np.cumsum(stale)])
+            out[:, 2] = total[ends] - total[ends - out[:, 0]]
+    return h, out, fresh
+
+
+def phrases_of(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and two-word phrases of consecutive lines of ``counts`` words, and where each line's end."""
+    ends = np.cumsum(counts)
+    size = np.maximum(2 * counts - 1, 0)
+    stops = np.cumsum(size)
+    out = np.empty(int(size.sum()), dtype=np.uint64)
+    at = 2 * np.arange(len(h)) - np.repeat(np.cumsum(counts > 0) - (counts > 0), counts)  # two a word, one less a line
+    out[at] = h
+    inner = np.ones(len(h), dtype=bool)
+    inner[ends[counts > 0] - 1] = False
+    k = np.nonzero(inner)[0]
+    out[at[k] + 1] = mix(h[k] * np.uint64(3) + h[np.minimum(k + 1, len(h) - 1)])
+    return out, stops
 
 
 def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -424,36 +434,33 @@ class Pages:
         """(crawl_id, stuffed, prose): pages mostly of keywords, links or product tags, and their words in such lines and in sentences.
 
         A phrase is a stuffing phrase if at least ``hosts`` hosts show it on pages that repeat themselves or
-        list tags, and at least half of the lines that show it are on such pages.  A line of which a tenth of the
+        list tags, and at least half of its occurrences are on such pages.  A line of which a tenth of the
         phrases are such is stitched; a repetitive line or one of tags counts like it.  A page is flagged if
         its stitched body lines hold more words than its other sentences.
         """
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                cid, hs, pos, rows, phr, ends = [], [], [], [np.zeros((0, 4), dtype=np.int64)], [np.zeros(0, dtype=np.uint64)], [0]
-                seeds = []
+                cid, hs, pos, seeds = [], [], [], []
+                rows, words = [np.zeros((0, 4), dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
                 for c, u, t in zip(*[b.column(k).to_pylist() for k in range(3)]):
                     text = [(i, s) for i, line in enumerate(t.split("\n")) if (s := line.strip())]
                     hashes, m, fresh = content_measures([s for _, s in text])
                     total = m.sum(0)
-                    seed = bool(fresh <= STALE_PAGE or (total[0] >= 8 and total[3] >= 0.3 * total[0]))
-                    h = path_hash(host_of(u))
-                    for (i, _), x in zip(text, hashes):
-                        p = phrases_of(x)
-                        phr.append(p)
-                        ends.append(ends[-1] + len(p))
-                        cid.append(c)
-                        hs.append(h)
-                        pos.append(i)
-                        seeds.append(seed)
                     rows.append(m)
+                    words.append(hashes)
+                    pos += [i for i, _ in text]
+                    cid += [c] * len(text)
+                    hs += [path_hash(host_of(u))] * len(text)
+                    seeds += [bool(fresh <= STALE_PAGE or (total[0] >= 8 and total[3] >= 0.3 * total[0]))] * len(text)
                 m = np.concatenate(rows)
+                phrases, stops = phrases_of(np.concatenate(words), m[:, 0])
                 cols = [pa.array(m[:, k], pa.int32()) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(hs, pa.int64()), pa.array(pos, pa.int32()), pa.array(seeds, pa.bool_()), *cols, _lists(np.concatenate(phr).view(np.int64), np.array(ends), pa.int64())], names=["crawl_id", "h", "pos", "seed", "n", "inside", "stale", "tags", "phrases"])
+                lists = _lists(phrases.view(np.int64), np.concatenate([[0], stops]), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(hs, pa.int64()), pa.array(pos, pa.int32()), pa.array(seeds, pa.bool_()), *cols, lists], names=["crawl_id", "h", "pos", "seed", "n", "inside", "stale", "tags", "phrases"])
 
         schema = "crawl_id bigint, h bigint, pos int, seed boolean, n int, inside int, stale int, tags int, phrases array<bigint>"
-        lines = self.source.select("crawl_id", "url", "text").mapInArrow(measure, schema)
+        lines = materialize(self.source.select("crawl_id", "url", "text").mapInArrow(measure, schema), "phrases")
         seen = lines.select("h", "seed", F.explode("phrases").alias("p")).groupBy("p", "h").agg(F.count(F.lit(1)).alias("shown"), F.count(F.when(F.col("seed"), 1)).alias("dense"))
         seen = seen.groupBy("p").agg(F.sum("shown").alias("shown"), F.sum("dense").alias("dense"), F.count(F.when(F.col("dense") > 0, 1)).alias("hosts"))
         stuffing = materialize(seen.filter((F.col("hosts") >= hosts) & (F.col("dense") >= 0.5 * F.col("shown"))).select("p"), "stuffing")

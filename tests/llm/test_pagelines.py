@@ -1,6 +1,6 @@
 import numpy as np
 
-from lodestar.llm.pagelines import BODY, FURNITURE, PRIOR_LINE, PRIOR_SIDE, SAYS, Lines, Pages, content_measures, host_of, main_text, slug_words, split_lines
+from lodestar.llm.pagelines import BODY, FURNITURE, PRIOR_LINE, PRIOR_SIDE, SAYS, Lines, Pages, content_measures, host_of, main_text, phrases_of, slug_words, split_lines
 
 SCHEMA = "crawl_id bigint, id string, url string, title string, text string, links array<string>, host string, stats int"
 MENU = "Home\nShop\nHelp centre\nNews"
@@ -114,3 +114,12 @@ def test_keyword_soup_with_full_stops_and_short_spam(spark):
     assert {r.crawl_id for r in pages.spam().collect()} == {50, 51, 52, 53, 54, 55, 70, 71}
     # the phrases of other hosts decide: without them the short pages are not found
     assert not {r.crawl_id for r in pages.spam(hosts=1000).collect()} & {70, 71}
+
+
+def test_phrases_do_not_cross_lines():
+    h = np.arange(1, 7, dtype=np.uint64)
+    got, stops = phrases_of(h, np.array([3, 0, 1, 2]))
+    assert stops.tolist() == [5, 5, 6, 9] and got[[0, 2, 4, 5, 6, 8]].tolist() == [1, 2, 3, 4, 5, 6]
+    again, _ = phrases_of(np.array([5, 6], dtype=np.uint64), np.array([2]))
+    assert again[1] == got[7] and len(set(got.tolist())) == 9
+    assert len(phrases_of(np.zeros(0, dtype=np.uint64), np.array([0, 0]))[0]) == 0
