@@ -45,6 +45,10 @@ class Config:
     train_sample: int = 5000
     pq_parts: int = 8
     pq_codes: int = 256
+    graph_degree: int = 16
+    graph_build: int = 100
+    graph_search: int = 64
+    graph_shard: int = 4096
     retrieve_k: int = 50
     results_k: int = 10
     snippet_chars: int = 180

@@ -12,6 +12,10 @@ from lodestar.functions import text as T
 from lodestar.index import Index
 from lodestar.operators import answers, bm25, ranking, spelling, vectors
 from lodestar.plans.query_plan import analyse
+from lodestar.runtime import materialize
+
+#: Up to so many different terms are pushed to the scans of the index.
+MOST_TERMS = 10_000
 
 
 def retrieve(chunks: DataFrame, post: DataFrame, df: DataFrame, corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -29,21 +33,42 @@ class Engine:
         self.index, self.cache, self.ttl, self.drop_phrases = index, cache, ttl, drop_phrases
         self._hits: OrderedDict = OrderedDict()
 
+    def _plan(self, queries: DataFrame, spell: bool) -> DataFrame:
+        """The analysed queries, written: several steps read them.  Spelling reads only words of the letters and lengths asked for."""
+        ix, vocab = self.index, None
+        if spell:
+            asked = analyse(queries).select(F.explode("tokens").alias("t")).filter("t <> ''").select(F.substring("t", 1, 1).alias("f"), F.octet_length("t").alias("n")).distinct().limit(MOST_TERMS + 1).collect()
+            vocab = ix.terms()
+            if len(asked) <= MOST_TERMS:
+                vocab = vocab.filter(F.col("first").isin(sorted({r.f for r in asked})) & F.col("bytes").isin(sorted({r.n + d for r in asked for d in (-1, 0, 1)})))
+            vocab = spelling.vocabulary(vocab)
+        return materialize(analyse(queries, vocab), "plan")
+
+    def _looked_up(self, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Postings and document frequencies of the queries' terms: pushed to the scan while they are few, joined otherwise."""
+        terms = [r.t for r in plan.select(F.explode("expanded").alias("t")).distinct().limit(MOST_TERMS + 1).collect()]
+        if len(terms) > MOST_TERMS:
+            return self.index.postings(), self.index.term_stats()
+        return self.index.postings(sorted(terms)), self.index.term_stats(sorted(terms))
+
+    def _semantic(self, plan: DataFrame, k: int) -> DataFrame:
+        """The nearest passages by the inverted lists, by all vectors where the index has no lists."""
+        ix, cfg = self.index, self.index.cfg
+        q = materialize(vectors.embed(plan, "query_id", "text", cfg).withColumnRenamed("v", "q"), "embedded")
+        if ix.centres() is None:
+            return vectors.search_i8(ix.vectors(), q, k, "chunk_id")
+        return vectors.search_ivf(ix.vectors(), ix.centres(), q, k, "chunk_id", cfg.ivf_probe, quantized=True)
+
     def search_many(self, queries: DataFrame, spell: bool = True, keep: int | None = None) -> dict[str, DataFrame]:
         """{plan, ranked, results, answers} as DataFrames.
 
         Tombstoned passages take part in retrieval and ranking and are dropped from the results.
         """
         ix, cfg = self.index, self.index.cfg
-        post = ix.postings()
-        stats = bm25.term_stats(post)
-        plan = analyse(queries, spelling.vocabulary(stats) if spell else None)
+        plan = self._plan(queries, spell)
+        post, stats = self._looked_up(plan)
         hits = retrieve(ix.chunks(), post, stats, ix.corpus_stats(), plan, cfg.k1, cfg.b)
-        if cfg.vector_enabled:
-            q = vectors.embed(plan, "query_id", "text", cfg).withColumnRenamed("v", "q")
-            sem = vectors.search_i8(ix.vectors(), q, 150, "chunk_id")
-        else:
-            sem = hits.limit(0)
+        sem = self._semantic(plan, 150) if cfg.vector_enabled else hits.limit(0)
         c = ranking.candidates(hits, sem)
         ranked = ranking.rank(ranking.combine(ranking.features(c, ix.chunks(), plan), cfg.weights))
         live = ranked.join(ix.deleted(), "chunk_id", "left_anti").select("query_id", "chunk_id", "bm25", "semantic", "exact", "phrase", "proximity", "score")

@@ -1,4 +1,4 @@
-"""Hashed n-gram vectors and similarity search: exact, 8-bit, inverted lists and product codes."""
+"""Hashed n-gram vectors and similarity search: exact, 8-bit, inverted lists, product codes and graphs."""
 
 from __future__ import annotations
 
@@ -12,7 +12,9 @@ from pyspark.sql.window import Window
 
 from lodestar.config import Config
 from lodestar.functions.text import normalize
+from lodestar.operators import graphs
 from lodestar.operators.shards import number_rows
+from lodestar.runtime import materialize
 
 
 # -- embedding ---------------------------------------------------------------------------------
@@ -81,19 +83,96 @@ def top_k(scored: DataFrame, k: int, key: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def search_full(vectors: DataFrame, queries: DataFrame, k: int, key: str, v: str = "v", max_queries: int = 10_000) -> DataFrame:
-    """Exact search of a stated query set (query_id, q) against all rows: the scan joins a broadcast of checked size."""
+def _blocks(queries: DataFrame, size: int) -> Iterator[list]:
+    """The query set (query_id, q) on the driver, at most ``size`` at a time: a larger set is cut by hash of its ids."""
     n = queries.count()
-    if n > max_queries:
-        raise ValueError(f"{n} queries; at most {max_queries} are broadcast, pass them in blocks")
-    return top_k(vectors.join(F.broadcast(queries)).select("query_id", key, dot(v, "q").alias("score")), k, key)
-
-
-def search_i8(vectors: DataFrame, queries: DataFrame, k: int, key: str, max_queries: int = 10_000) -> DataFrame:
+    parts = max(1, -(-n * 5 // (size * 4)))
+    for i in range(parts if n else 0):
+        part = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
+        rows = part.select("query_id", "q", *[c for c in ("lists",) if c in queries.columns]).collect()
+        for at in range(0, len(rows), size):
+            yield rows[at : at + size]
+
+
+def _best(kept: list, scores: np.ndarray, keys: list, k: int) -> None:
+    """Merges a batch into ``kept``, per query the k best (score to 9 digits, then key) so far."""
+    r = np.round(scores, 9)
+    floor = np.partition(r, -k, axis=0)[-k] if len(r) > k else np.full(r.shape[1], -np.inf)
+    for j in range(r.shape[1]):
+        full = len(kept[j]) == k
+        at = np.nonzero(r[:, j] >= max(floor[j], kept[j][-1][0] if full else -np.inf))[0]
+        if len(at):
+            kept[j] = sorted(kept[j] + [(r[i, j], keys[i], scores[i, j]) for i in at], key=lambda x: (-x[0], x[1]))[:k]
+
+
+def _floats(column: pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), dtype=np.float64)
+
+
+def scan(vectors: DataFrame, queries: DataFrame, k: int, key: str, score, columns: list[str], max_queries: int = 2000) -> DataFrame:
+    """The k best rows of a table for each query of a stated set, by matrix products over Arrow batches.
+
+    The set reaches the tasks in blocks of at most ``max_queries`` vectors; every task sends on no more than k
+    rows a query.  ``score(batch, q)`` gives the scores of a batch's rows (columns key, *columns) for the
+    queries.  With a column ``lists`` a query sees only rows whose ``cid`` is among them.
+    """
+    qt, kt = queries.schema["query_id"].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
+    listed = "lists" in queries.columns
+    src = vectors.select(key, *columns, *(["cid"] if listed else []))
+    schema = f"query_id {qt}, `{key}` {kt}, score double"
+    parts = None
+    for rows in _blocks(queries, max_queries):
+        shared = vectors.sparkSession.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.q for r in rows], dtype=np.float64), [set(r.lists) for r in rows] if listed else None))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q, lists = shared.value
+            kept: list = [[] for _ in ids]
+            for whole in batches:
+                for at in range(0, whole.num_rows, 4096):
+                    b = whole.slice(at, 4096)
+                    keys = b.column(0).to_pylist()
+                    if lists is None:
+                        for lo in range(0, len(ids), 512):
+                            part = kept[lo : lo + 512]
+                            _best(part, score(b, q[lo : lo + 512]), keys, k)
+                            kept[lo : lo + 512] = part
+                        continue
+                    cid = b.column(len(columns) + 1).to_numpy()
+                    for c in np.unique(cid):
+                        asked = [j for j, own in enumerate(lists) if int(c) in own]
+                        if asked:
+                            rows_of = np.nonzero(cid == c)[0]
+                            part = [kept[j] for j in asked]
+                            _best(part, score(b.take(pa.array(rows_of)), q[asked]), [keys[i] for i in rows_of], k)
+                            for j, x in zip(asked, part):
+                                kept[j] = x
+            out = [(i, x[1], float(x[2])) for i, best in zip(ids, kept) for x in best]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.from_numpy_dtype(np.dtype("int64")) if qt == "bigint" else None), pa.array([r[1] for r in out]), pa.array([r[2] for r in out], pa.float64())], names=["query_id", key, "score"]).cast(_arrow(qt, kt, key))
+
+        found = src.mapInArrow(run, schema)
+        parts = found if parts is None else parts.unionByName(found)
+    if parts is None:
+        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
+    return top_k(parts, k, key)
+
+
+def _arrow(qt: str, kt: str, key: str) -> pa.Schema:
+    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    return pa.schema([("query_id", kind[qt]), (key, kind[kt]), ("score", pa.float64())])
+
+
+def search_full(vectors: DataFrame, queries: DataFrame, k: int, key: str, v: str = "v", max_queries: int = 2000) -> DataFrame:
+    """Exact search of a stated query set (query_id, q) against all rows."""
+    return scan(vectors, queries, k, key, lambda b, q: _floats(b.column(1)) @ q.T, [v], max_queries)
+
+
+def _score_i8(b: pa.RecordBatch, q: np.ndarray) -> np.ndarray:
+    return (_floats(b.column(1)) @ q.T) * b.column(2).to_numpy()[:, None]
+
+
+def search_i8(vectors: DataFrame, queries: DataFrame, k: int, key: str, max_queries: int = 2000) -> DataFrame:
     """(q, scale) rows: the query stays in floats."""
-    if queries.count() > max_queries:
-        raise ValueError("pass the queries in blocks")
-    return top_k(vectors.join(F.broadcast(queries.withColumnRenamed("q", "qv"))).select("query_id", key, (dot("q", "qv") * F.col("scale")).alias("score")), k, key)
+    return scan(vectors, queries, k, key, _score_i8, ["q", "scale"], max_queries)
 
 
 # -- trained layouts ---------------------------------------------------------------------------
@@ -144,10 +223,30 @@ def _nearest(df: DataFrame, centroids: np.ndarray, key: str, v: str, n: int) ->
     return src.mapInArrow(run, f"`{key}` {kt}, `{v}` {vt}, cids array<int>")
 
 
-def search_ivf(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, key: str, probes: int, v: str = "v") -> DataFrame:
-    """The lists of the ``probes`` best centroids only: an equi-join on the list."""
-    q = _nearest(queries, centroids, "query_id", "q", probes).select("query_id", "q", F.explode("cids").alias("cid"))
-    return top_k(assigned.join(q, "cid").select("query_id", key, dot(v, "q").alias("score")), k, key)
+def train_lists(vectors: DataFrame, key: str, v: str, cfg: Config) -> np.ndarray:
+    """Centres of the inverted lists from a sample of at most ``cfg.train_sample`` rows; none if there are fewer rows than lists."""
+    if vectors.count() < cfg.ivf_lists:
+        return np.zeros((0, cfg.dims))
+    return kmeans_dot(systematic_sample(vectors, key, v, cfg.train_sample), cfg.ivf_lists, cfg.kmeans_rounds)
+
+
+def probes_of(queries: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
+    """Adds ``lists``, the best ``probes`` lists of each query (query_id, q)."""
+    return _nearest(queries, centroids, "query_id", "q", probes).withColumnRenamed("cids", "lists")
+
+
+def search_ivf(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, key: str, probes: int, v: str = "v", quantized: bool = False) -> DataFrame:
+    """The lists of the ``probes`` best centroids only, pushed to the scan; queries whose lists are all empty search all rows.
+
+    ``assigned``: key, cid and v, or with ``quantized`` q and scale: then codes are scored, as they are stored.
+    """
+    q = materialize(probes_of(queries, centroids, probes), "probes")
+    lists = [r.c for r in q.select(F.explode("lists").alias("c")).distinct().collect()]  # at most the number of centres
+    near = assigned.filter(F.col("cid").isin(lists))
+    score, columns = (_score_i8, ["q", "scale"]) if quantized else (lambda b, m: _floats(b.column(1)) @ m.T, [v])
+    hits = materialize(scan(near, q, k, key, score, columns), "ivf")
+    lost = q.join(hits.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "q")
+    return hits if lost.isEmpty() else hits.unionByName(scan(assigned, lost, k, key, score, columns))
 
 
 def pq_train(x: np.ndarray, parts: int, codes: int, rounds: int) -> list[np.ndarray]:
@@ -156,9 +255,10 @@ def pq_train(x: np.ndarray, parts: int, codes: int, rounds: int) -> list[np.ndar
 
 
 def pq_encode(vectors: DataFrame, books: list[np.ndarray], key: str, v: str = "v") -> DataFrame:
-    """(key, codes): the nearest code of every part by squared distance."""
+    """(key, codes), with ``cid`` if the rows have one: the nearest code of every part by squared distance."""
     shared = vectors.sparkSession.sparkContext.broadcast(books)
-    src = vectors.select(key, v)
+    listed = "cid" in vectors.columns
+    src = vectors.select(key, v, *(["cid"] if listed else []))
     kt = src.schema[0].dataType.simpleString()
     m = len(books)
 
@@ -172,52 +272,57 @@ def pq_encode(vectors: DataFrame, books: list[np.ndarray], key: str, v: str = "v
                 p = x[:, i * c.shape[1] : (i + 1) * c.shape[1]]
                 out[:, i] = ((c * c).sum(1)[None] - 2 * p @ c.T).argmin(1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * m), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[key, "codes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, *b.columns[2:]], names=[key, "codes", *(["cid"] if listed else [])])
+
+    return src.mapInArrow(run, f"`{key}` {kt}, codes array<int>" + (", cid int" if listed else ""))
+
 
-    return src.mapInArrow(run, f"`{key}` {kt}, codes array<int>")
+def search_pq(encoded: DataFrame, books: list[np.ndarray], queries: DataFrame, k: int, key: str, max_queries: int = 2000) -> DataFrame:
+    """Sums of table look-ups: a query brings the dot products of its parts with all codes.  With a column ``lists`` only those lists."""
+    shared = encoded.sparkSession.sparkContext.broadcast(books)
 
+    def score(b: pa.RecordBatch, q: np.ndarray) -> np.ndarray:
+        codes = np.array(b.column(1).to_pylist(), dtype=np.int64)
+        out = np.zeros((len(codes), len(q)))
+        for i, c in enumerate(shared.value):
+            out += (c @ q[:, i * c.shape[1] : (i + 1) * c.shape[1]].T)[codes[:, i]]
+        return out
 
-def search_pq(encoded: DataFrame, books: list[np.ndarray], queries: DataFrame, k: int, key: str, max_queries: int = 1000) -> DataFrame:
-    """Sums of table look-ups: a query brings the dot products of its parts with all codes."""
-    rows = queries.select("query_id", "q").limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError("pass the queries in blocks")
-    tables = []
-    for r in rows:
-        x = np.array(r.q, dtype=np.float64)
-        tables.append((r.query_id, [(c @ x[i * c.shape[1] : (i + 1) * c.shape[1]]).tolist() for i, c in enumerate(books)]))
-    qt = queries.schema["query_id"].dataType.simpleString()
-    t = queries.sparkSession.createDataFrame(tables, f"query_id {qt}, tables array<array<double>>")
-    part = F.aggregate(F.zip_with("codes", "tables", lambda c, row: F.element_at(row, c + 1)), F.lit(0.0), lambda s, x: s + x)
-    return top_k(encoded.join(F.broadcast(t)).select("query_id", key, part.alias("score")), k, key)
+    return scan(encoded, queries, k, key, score, ["codes"], max_queries)
 
 
 def build(vectors: DataFrame, key: str, v: str = "v", cfg: Config = Config(), pq: bool = False, ivf: bool = True, quantized: bool = True, graph: bool = False) -> dict:
-    """The layout a mode asks for: graph (served exactly), else product codes, else 8-bit, else floats; lists if there are enough rows."""
+    """The layout a mode asks for: a graph, else product codes, else 8-bit codes, else floats; in lists if there are enough rows."""
     n = vectors.count()
     dims = len(vectors.select(v).first()[0]) if n else cfg.dims
     out: dict = {"mode": "graph" if graph else "pq" if pq and dims % cfg.pq_parts == 0 else "i8" if quantized else "f32", "key": key, "v": v, "vectors": vectors}
-    sample = systematic_sample(vectors, key, v, cfg.train_sample) if n and (out["mode"] == "pq" or ivf and n >= cfg.ivf_lists) else None
-    if ivf and n >= cfg.ivf_lists and out["mode"] != "graph":
+    if out["mode"] == "graph":
+        out["graph"] = graphs.build(vectors, key, v, cfg.graph_degree, cfg.graph_build, cfg.graph_shard)
+        return out
+    listed = ivf and n >= cfg.ivf_lists
+    sample = systematic_sample(vectors, key, v, cfg.train_sample) if n and (out["mode"] == "pq" or listed) else None
+    if listed:
         out["centroids"] = kmeans_dot(sample, cfg.ivf_lists, cfg.kmeans_rounds)
         out["vectors"] = ivf_assign(vectors, out["centroids"], key, v)
     if out["mode"] == "pq":
         out["books"] = pq_train(sample, cfg.pq_parts, cfg.pq_codes, cfg.kmeans_rounds)
-        out["codes"] = pq_encode(vectors, out["books"], key, v)
+        out["codes"] = pq_encode(out["vectors"], out["books"], key, v)
     if out["mode"] == "i8":
-        out["i8"] = out["vectors"].select("*", quantize(v).alias("z")).select(*[c for c in out["vectors"].columns if c != v], "z.q", "z.scale")
+        z = out["vectors"].select("*", quantize(v).alias("z"))
+        out["i8"] = z.select(*[c for c in out["vectors"].columns if c != v], "z.q", "z.scale")
     return out
 
 
 def search(index: dict, queries: DataFrame, k: int, cfg: Config = Config()) -> DataFrame:
-    key, v = index["key"], index["v"]
-    if index["mode"] == "pq":
-        return search_pq(index["codes"], index["books"], queries, k, key)
-    if "centroids" in index and index["mode"] in ("f32", "i8"):
-        return search_ivf(index["vectors"], index["centroids"], queries, k, key, cfg.ivf_probe, v)
-    if index["mode"] == "i8":
-        return search_i8(index["i8"], queries, k, key)
-    return search_full(index["vectors"], queries, k, key, v)
+    """The k best of each query (query_id, q) in a layout of ``build``."""
+    key, v, mode, centres = index["key"], index["v"], index["mode"], index.get("centroids")
+    if mode == "graph":
+        return graphs.search(index["graph"], queries, k, key, cfg.graph_search)
+    if mode == "pq":
+        return search_pq(index["codes"], index["books"], queries if centres is None else probes_of(queries, centres, cfg.ivf_probe), k, key)
+    if centres is not None:
+        return search_ivf(index["i8"] if mode == "i8" else index["vectors"], centres, queries, k, key, cfg.ivf_probe, v, mode == "i8")
+    return search_i8(index["i8"], queries, k, key) if mode == "i8" else search_full(index["vectors"], queries, k, key, v)
 
 
 def sparse_cosine(chunks: DataFrame, qterms: DataFrame, chunk_id: str = "chunk_id", tokens: str = "tokens") -> DataFrame:

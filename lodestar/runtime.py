@@ -7,26 +7,32 @@ laptop) a folder of our own is chosen.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "lodestar", cpus: str | int = "*", **conf: str) -> SparkSession:
-    """A session with the defaults the library is tuned for."""
-    b = SparkSession.builder.appName(app).master(f"local[{cpus}]")
-    defaults = {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.session.timeZone": "UTC",
-        "spark.ui.enabled": "false",
-        "spark.sql.shuffle.partitions": "8",
-        "spark.driver.memory": os.environ.get("LODESTAR_DRIVER_MEMORY", "8g"),
-    }
+def build_session(app: str = "lodestar", cpus: str | int | None = None, **conf: str) -> SparkSession:
+    """A session with the defaults the library is tuned for.
+
+    With ``cpus`` (tests, bench) it is a local one.  Without, master, memory and shuffle partitions are left to
+    spark-submit and its configuration; only where nothing names a master it is ``local[*]``.
+    """
+    given = SparkConf()
+    b = SparkSession.builder.appName(app)
+    defaults = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC"}
+    local = cpus is not None or not given.contains("spark.master")
+    if local:
+        b = b.master(f"local[{cpus or '*'}]")
+        defaults |= {"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": os.environ.get("LODESTAR_DRIVER_MEMORY", "8g")}
     for k, v in (defaults | conf).items():
-        b = b.config(k, v)
+        if k in conf or local or not given.contains(k):
+            b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -37,15 +43,40 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         path = tempfile.mkdtemp(prefix="lodestar-")
         sc.setCheckpointDir(path)
         path = sc.getCheckpointDir()
     return path.rstrip("/")
 
 
+_SCRATCH: dict[str, tuple[SparkSession, list[str]]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/lodestar-{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder; ``clear_scratch`` or the end of the program deletes it."""
+    path = f"{shared_dir(spark)}/lodestar-{name}-{uuid.uuid4().hex[:12]}"
+    if not _SCRATCH:
+        atexit.register(_clear_all)
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, (spark, []))[1].append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes what the session has written to the shared folder; results not yet read are gone with it."""
+    _, paths = _SCRATCH.pop(spark.sparkContext.applicationId, (spark, []))
+    for p in paths:
+        delete_path(spark, p)
+    return len(paths)
+
+
+def _clear_all() -> None:
+    for spark, _ in list(_SCRATCH.values()):
+        try:
+            clear_scratch(spark)
+        except Exception:  # the session has ended before the program: nothing to ask
+            continue
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -78,7 +109,7 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def write_small_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small control file (manifests, pointers) by rename, so readers never see half of it."""
+    """Write a small control file: whole under another name, then renamed over the old one in one step."""
     fs, p, jvm = _fs(spark, path)
     tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.tmp-{uuid.uuid4().hex[:8]}")
     out = fs.create(tmp, True)
@@ -86,10 +117,34 @@ def write_small_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(tmp, p):
-        raise OSError(f"cannot publish {path}")
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(tmp), fs.makeQualified(p), how)
+
+
+_MANIFEST = re.compile(r"^manifest-(\d{10})\.json$")
+
+
+def publish_version(spark: SparkSession, folder: str, version: int, text: str, keep: int = 3) -> None:
+    """Version ``version`` of a folder's manifest, as a file of its own: earlier ones stay until it is there.
+
+    A version that exists already is refused, so of two writers one fails instead of undoing the other.
+    """
+    path = f"{folder}/manifest-{version:010d}.json"
+    if path_exists(spark, path):
+        raise OSError(f"{path} exists: another writer was first")
+    write_small_text(spark, path, text)
+    for name in list_names(spark, folder):
+        m = _MANIFEST.match(name)
+        if m and int(m.group(1)) <= version - keep:
+            delete_path(spark, f"{folder}/{name}")
+
+
+def latest_version(spark: SparkSession, folder: str) -> str | None:
+    """The text of the highest manifest, or None."""
+    names = [n for n in list_names(spark, folder) if _MANIFEST.match(n)]
+    return read_small_text(spark, f"{folder}/{max(names)}") if names else None
 
 
 def read_small_text(spark: SparkSession, path: str, limit: int = 4 << 20) -> str | None:

@@ -12,13 +12,12 @@ CHANGE = "op string, id string, text string"
 
 
 def apply_changes(index: Index, batch: DataFrame, batch_id: str) -> None:
-    """Adds and deletes of one batch; a batch that was applied before is skipped."""
+    """Deletes, then adds of one batch, in one version; ``update`` is both.  A batch that was applied before is skipped."""
     if batch_id in index.state["batches"]:
         return
-    gone = batch.filter("lower(op) = 'delete' and id is not null").select("id").distinct()
-    if not gone.isEmpty():
-        index.delete(gone)
-    index.add(batch.filter("lower(coalesce(op, 'add')) = 'add' and id is not null and text is not null").select(F.col("id").alias("doc_id"), "text"), batch=batch_id)
+    gone = batch.filter("lower(op) in ('delete', 'update') and id is not null").select("id")
+    docs = batch.filter("lower(coalesce(op, 'add')) in ('add', 'update') and id is not null and text is not null").select(F.col("id").alias("doc_id"), "text")
+    index.update(docs, batch=batch_id, gone=gone, replace=False)
 
 
 def follow(spark: SparkSession, index: Index, folder: str, checkpoint: str, files_per_batch: int = 500) -> StreamingQuery:
