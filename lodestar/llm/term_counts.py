@@ -6,11 +6,13 @@ State lives in a folder (``path``) and consists of layers, never rewritten in pl
   breaker, liveness and its own (term, n) list;
 * ``counts/layer=k/bucket=b``  the signed change of (occurrences, records) per term that batch k
   caused, hash-partitioned by term;
-* ``manifest.json``  the committed layers and the number of live records.  A batch becomes visible
-  only when the manifest is published, so a lost job leaves the old state intact.
+* ``manifest-N.json``  the committed layers and the number of live records.  A batch becomes visible
+  only when its manifest is published, so a lost job leaves the old state intact.
 
-A batch costs what it holds: only its own keys are looked up in ``records``; only the terms of
-added, changed or deleted records reach the counts.  ``compact()`` folds the layers into one.
+A batch is reduced to one version a key and written first, so that its size is known: a small one is
+sent to the stored records, which are then read (columns only) but not shuffled, and what is not among its
+keys is dropped before anything else; a large one meets them by a shuffle on the key.  Only the terms of added,
+changed or deleted records reach the counts.  ``compact()`` folds the layers into one.
 
 Skew: the newest version of a key is chosen with a rank-limited window (Spark prunes each map task
 to one row per key before the shuffle), and hot terms are summed map-side before they are shuffled.
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.runtime import delete_path, read_small_text, scratch_path, write_small_text
+from lodestar.runtime import delete_path, latest_version, materialize, publish_version, scratch_path
 
 BUCKETS = 16
 _TERMS = "array<struct<term:string,n:bigint>>"
@@ -40,9 +42,10 @@ class TermCountStore:
     read, so clashing names cannot matter.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        text = read_small_text(spark, f"{self.path}/manifest.json")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, max_layers: int = 32):
+        """``buckets`` cut the counts by term; more than ``max_layers`` of them are folded into one."""
+        self.spark, self.path, self.buckets, self.max_layers = spark, path.rstrip("/"), buckets, max_layers
+        text = latest_version(spark, self.path)
         self.state = json.loads(text) if text else {"records": [], "counts": [], "n_records": 0, "seq": 0}
 
     # -- reading -------------------------------------------------------------------------------
@@ -97,7 +100,9 @@ class TermCountStore:
                 F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "n"))).cast(_TERMS).alias("terms"),
             )
         )
-        stored = self._current_records()
+        if self.state["records"]:
+            terms = materialize(terms, "delta")
+        stored = self._current_records(terms.select("key"))
         if stored is None:
             changed = terms.select("*", F.lit(None).cast(_TERMS).alias("old_terms"), F.lit(True).alias("old_gone"))
         else:
@@ -145,7 +150,9 @@ class TermCountStore:
             "n_records": self.state["n_records"] + int(n["grown"]),
             "seq": seq,
         }
-        write_small_text(spark, f"{self.path}/manifest.json", json.dumps(self.state))
+        publish_version(spark, self.path, seq, json.dumps(self.state))
+        if len(self.state["counts"]) > self.max_layers:
+            self.compact()
         return {"changed": n["changed"], "n_records": self.state["n_records"]}
 
     def _has_rows(self, path: str) -> bool:
@@ -153,9 +160,14 @@ class TermCountStore:
 
         return any(x.startswith("bucket=") for x in list_names(self.spark, path))
 
-    def _current_records(self) -> DataFrame | None:
+    def _current_records(self, keys: DataFrame | None = None) -> DataFrame | None:
+        """The newest version of every record, or of those named by ``keys``."""
         df = self._layers("records")
-        if df is None or len(self.state["records"]) == 1:
+        if df is None:
+            return None
+        if keys is not None:
+            df = df.join(keys, "key", "left_semi")
+        if len(self.state["records"]) == 1:
             return df
         w = Window.partitionBy("key").orderBy(F.col("layer").desc())
         return df.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
@@ -172,7 +184,7 @@ class TermCountStore:
         c.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/counts/layer={seq}")
         has = self._has_rows(f"{self.path}/counts/layer={seq}")
         self.state = {**old, "records": [seq], "counts": [seq] * has, "seq": seq}
-        write_small_text(self.spark, f"{self.path}/manifest.json", json.dumps(self.state))
+        publish_version(self.spark, self.path, seq, json.dumps(self.state))
         for kind in ("records", "counts"):
             for k in old[kind]:
                 delete_path(self.spark, f"{self.path}/{kind}/layer={k}")
