@@ -98,3 +98,11 @@ class Engine:
         while len(self._hits) > self.cache:
             self._hits.popitem(last=False)
         return self._hits[key][1]
+
+    def debug(self, query: str) -> list[dict]:
+        """Every ranked passage of one query with its score and what it is made of, hidden ones included; spelling is left as it is."""
+        if not query.strip():
+            return []
+        ranked = self.search_many(self.index.spark.createDataFrame([(0, query)], "query_id int, text string"), spell=False)["ranked"]
+        parts = ["score", "bm25", "semantic", "exact", "phrase", "proximity"]
+        return [{"id": r.chunk_id, **{p: r[p] for p in parts}} for r in ranked.orderBy("rank").collect()]  # at most both candidate lists

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def postings(chunks: DataFrame, chunk_id: str = "chunk_id", tokens: str = "tokens") -> DataFrame:
-    each = chunks.select(F.col(chunk_id).alias("chunk_id"), F.size(tokens).alias("len"), F.explode(tokens).alias("term"))
+def postings(chunks: DataFrame, chunk_id: str = "chunk_id", tokens: str = "tokens", terms: list[str] | None = None) -> DataFrame:
+    """(term, chunk_id, len, tf), of all terms or of those named: then other terms are dropped before anything is shuffled."""
+    each = chunks.select(F.col(chunk_id).alias("chunk_id"), F.size(tokens).alias("len"), F.explode(tokens if terms is None else F.filter(tokens, lambda t: t.isin(terms))).alias("term"))
     return each.groupBy("term", "chunk_id", "len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 

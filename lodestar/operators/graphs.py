@@ -131,7 +131,7 @@ def build(vectors: DataFrame, key: str, v: str = "v", degree: int = 16, width: i
     src = vectors.filter(F.col(v).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"), F.xxhash64(key, F.lit(7)).alias("seed"), key, F.col(v).cast("array<double>").alias("v"))
     kt = src.schema[key].dataType.simpleString()
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table):
         table = table.sort_by("seed")
         x = _unit(np.array(table["v"].to_pylist(), dtype=np.float64))
         links, entry = Graph(x, draw_levels(table["seed"].to_numpy().view(np.uint64), degree), degree, width).rows()
@@ -144,26 +144,31 @@ def build(vectors: DataFrame, key: str, v: str = "v", degree: int = 16, width: i
 
 def search(graph: DataFrame, queries: DataFrame, k: int, key: str, width: int = 64, block: int = 2000) -> DataFrame:
     """The k best of each query (query_id, q): every shard is searched by every query, in blocks of ``block`` queries."""
-    from lodestar.operators.vectors import _blocks
+    from lodestar.operators.vectors import query_blocks
 
     qt, kt = queries.schema["query_id"].dataType.simpleString(), graph.schema[key].dataType.simpleString()
+    schema = f"query_id {qt}, `{key}` {kt}, score double"
     out = None
-    for rows in _blocks(queries, block):
+    for rows in query_blocks(queries, block):
         shared = graph.sparkSession.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.q for r in rows], dtype=np.float64)))
-
-        def run(table: pa.Table, shared=shared) -> pa.Table:
-            ids, q = shared.value
-            table = table.sort_by("node")
-            raw = np.array(table["v"].to_pylist(), dtype=np.float64)
-            g = Graph.restore(_unit(raw), table["links"].to_pylist(), table["entry"][0].as_py())
-            keys = table[key].to_pylist()
-            found = [(i, keys[j], float(raw[j] @ v)) for i, v in zip(ids, q) for _, j in g.search(v, k, width)]
-            cols = list(zip(*found)) or [(), (), ()]
-            return pa.table({"query_id": pa.array(cols[0], pa.int64() if qt == "bigint" else None), key: pa.array(cols[1], table.schema.field(key).type), "score": pa.array(cols[2], pa.float64())})
-
-        found = graph.groupBy("part").applyInArrow(run, f"query_id {qt}, `{key}` {kt}, score double")
+        found = graph.groupBy("part").applyInArrow(_searcher(shared, k, key, width, qt), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return graph.sparkSession.createDataFrame([], f"query_id {qt}, `{key}` {kt}, score double, rank int")
+        return graph.sparkSession.createDataFrame([], schema + ", rank int")
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), key)
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _searcher(shared, k: int, key: str, width: int, qt: str):
+    def run(table):
+        ids, q = shared.value
+        table = table.sort_by("node")
+        raw = np.array(table["v"].to_pylist(), dtype=np.float64)
+        g = Graph.restore(_unit(raw), table["links"].to_pylist(), table["entry"][0].as_py())
+        keys = table[key].to_pylist()
+        found = [(i, keys[j], float(raw[j] @ v)) for i, v in zip(ids, q) for _, j in g.search(v, k, width)]
+        cols = list(zip(*found)) or [(), (), ()]
+        kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[qt]
+        return pa.table({"query_id": pa.array(cols[0], kind), key: pa.array(cols[1], table.schema.field(key).type), "score": pa.array(cols[2], pa.float64())})
+
+    return run

@@ -45,10 +45,10 @@ def embed(df: DataFrame, key: str, text: str, cfg: Config = Config()) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = np.stack([embed_one(t.as_py(), cfg.dims, cfg.ngram_min, cfg.ngram_max) for t in b.column(1)]) if b.num_rows else np.zeros((0, cfg.dims))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * cfg.dims), pa.array(m.ravel().astype(np.float32)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * cfg.dims), pa.array(m.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[key, "v"])
 
-    return src.mapInArrow(run, f"`{key}` {kt}, v array<float>")
+    return src.mapInArrow(run, f"`{key}` {kt}, v array<double>")
 
 
 # -- scores as expressions ---------------------------------------------------------------------
@@ -83,7 +83,7 @@ def top_k(scored: DataFrame, k: int, key: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[list]:
+def query_blocks(queries: DataFrame, size: int) -> Iterator[list]:
     """The query set (query_id, q) on the driver, at most ``size`` at a time: a larger set is cut by hash of its ids."""
     n = queries.count()
     parts = max(1, -(-n * 5 // (size * 4)))
@@ -121,7 +121,7 @@ def scan(vectors: DataFrame, queries: DataFrame, k: int, key: str, score, column
     src = vectors.select(key, *columns, *(["cid"] if listed else []))
     schema = f"query_id {qt}, `{key}` {kt}, score double"
     parts = None
-    for rows in _blocks(queries, max_queries):
+    for rows in query_blocks(queries, max_queries):
         shared = vectors.sparkSession.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.q for r in rows], dtype=np.float64), [set(r.lists) for r in rows] if listed else None))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -147,7 +147,7 @@ def scan(vectors: DataFrame, queries: DataFrame, k: int, key: str, score, column
                             for j, x in zip(asked, part):
                                 kept[j] = x
             out = [(i, x[1], float(x[2])) for i, best in zip(ids, kept) for x in best]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.from_numpy_dtype(np.dtype("int64")) if qt == "bigint" else None), pa.array([r[1] for r in out]), pa.array([r[2] for r in out], pa.float64())], names=["query_id", key, "score"]).cast(_arrow(qt, kt, key))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], f.type) for j, f in enumerate(_arrow(qt, kt, key))], schema=_arrow(qt, kt, key))
 
         found = src.mapInArrow(run, schema)
         parts = found if parts is None else parts.unionByName(found)

@@ -14,6 +14,7 @@ from lodestar.config import Chunking, Config
 from lodestar.functions import lexicon as L
 from lodestar.functions import text as T
 from lodestar.operators import answers, bm25, chunking, dedup, evaluation, feedback, ranking, shards, spelling, vectors
+from lodestar.plans import ranksql as R
 from lodestar.plans import sqltext as S
 from lodestar.plans.query_plan import analyse
 from lodestar.runtime import load, materialize, scratch_path
@@ -44,7 +45,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _docs(s, d):
-    return load(s, d, "documents")
+    return load(s, d, "documents", spread=True)
 
 
 def _items(s, d):
@@ -67,6 +68,14 @@ def _plan(s):
     return analyse(_qs(s))
 
 
+def _searched(s, d):
+    """Passages written once, the postings of the queries' terms, and the analysed queries."""
+    c = materialize(_built(s, d).select("chunk_id", "text", "clean", "lang", "tokens"), "passages")
+    plan = materialize(_plan(s), "plan")
+    terms = sorted({r.t for r in plan.select(F.explode(F.concat("tokens", "expanded")).alias("t")).distinct().collect()})  # of a fixed set of queries
+    return c, bm25.postings(c, terms=terms), plan
+
+
 _ITEMS = "(select distinct on (item_id) item_id, query, expected_answer, relevant_docs from eval_items) i"
 
 
@@ -239,7 +248,7 @@ def fn_confidence_js(s, d):
     return x.select("item_id", F.round(T.confidence_web(F.lit(0.5), "q", "a"), 9).alias("confidence"))
 
 
-@query()
+@query(R.freshness(repr(NOW.timestamp())))
 def fn_freshness(s, d):
     return _docs(s, d).select("doc_id", F.round(T.freshness("meta", F.lit(NOW)), 9).alias("freshness"))
 
@@ -317,12 +326,12 @@ def flt_near_dup(s, d):
     return dedup.near_dedup(dedup.simhash(_docs(s, d), "doc_id", "text"), "doc_id").select("doc_id")
 
 
-@query()
+@query(f"with {R.fingerprints()} select doc_id, sig from sg")
 def ag_simhash(s, d):
     return dedup.simhash(_docs(s, d), "doc_id", "text")
 
 
-@query()
+@query(f"with {R.fingerprints()}, f as (select sig, min(doc_id) doc_id from sg group by sig) select x.doc_id a, y.doc_id b, cast(bit_count(xor(x.sig, y.sig)) as int) distance from f x join f y on x.doc_id < y.doc_id where bit_count(xor(x.sig, y.sig)) <= 3")
 def jn_neardup(s, d):
     return dedup.near_pairs(dedup.simhash(_docs(s, d), "doc_id", "text"), "doc_id")
 
@@ -382,9 +391,8 @@ _TOPK = "r as (select *, row_number() over (partition by query_id order by round
 
 @query(f"with {S.built()}, {S.queries(QUERIES)}, {S.bm25()}, {_TOPK.format(k='chunk_id')} select query_id, chunk_id, round(score, 6) score, cast(rank as int) as rank from r where rank <= 10")
 def bm25_topk(s, d):
-    c = _built(s, d)
-    post = bm25.postings(c)
-    hits = bm25.score(post, bm25.term_stats(post), bm25.corpus_stats(c), bm25.query_terms(_plan(s)))
+    c, post, plan = _searched(s, d)
+    hits = bm25.score(post, bm25.term_stats(post), bm25.corpus_stats(c), bm25.query_terms(plan))
     return bm25.top_k(hits, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -524,6 +532,40 @@ def ag_eval(s, d):
     return m.select("queries", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr")])
 
 
+_EV = (
+    f"with {S.built()}, {_ALLQ}, {S.bm25()}, {_TOPK.format(k='chunk_id')}, h as (select query_id, split_part(chunk_id, '::', 1) doc, min(rank) as rank from r where rank <= 50 group by all),"
+    f" rel as (select item_id as query_id, unnest(list_distinct(relevant_docs)) doc from {_ITEMS}), j as (select i.item_id, count(rel.doc) n, count(*) filter (h.rank <= 10) hits, min(h.rank) as first from {_ITEMS} left join rel on rel.query_id = i.item_id left join h on h.query_id = rel.query_id and h.doc = rel.doc group by 1)"
+)
+
+
+def _item_hits(s, d):
+    c = materialize(_built(s, d).select("chunk_id", "text", "tokens"), "bm25")
+    it = _items(s, d)
+    plan = analyse(it.select(F.col("item_id").alias("query_id"), F.col("query").alias("text")))
+    post = bm25.postings(c)
+    return it, c, bm25.top_k(bm25.score(post, bm25.term_stats(post), bm25.corpus_stats(c), bm25.query_terms(plan)), 50)
+
+
+@query(f"{_EV} select item_id, round(hits / 10, 6) as precision, round(case when n = 0 then 0 else hits / n end, 6) recall, round(case when first is null then 0 else 1 / first end, 6) rr from j")
+def ev_items(s, d):
+    """Precision, recall and reciprocal rank of the engine's own results, item by item."""
+    it, _, hits = _item_hits(s, d)
+    m = evaluation.metrics(it.select(F.col("item_id").alias("query_id"), F.col("relevant_docs").alias("relevant")), hits)
+    return m.select(F.col("query_id").alias("item_id"), *[F.round(x, 6).alias(x) for x in ("precision", "recall", "rr")])
+
+
+_FIRST = f"t1 as (select query_id, cb.text from r join cb using (chunk_id) where rank = 1), e1 as (select i.item_id, {S.norm('i.expected_answer')} ec, {S.norm('coalesce(t1.text, ' + repr('') + ')')} ac from {_ITEMS} left join t1 on t1.query_id = i.item_id), e2 as (select item_id, {S.tokens('ec', S.lang('ec'))} e, {S.tokens('ac', S.lang('ac'))} a from e1), e3 as (select item_id, round(case when coalesce(len(e), 0) = 0 then 0 else len(list_filter(e, lambda x: list_contains(a, x))) / len(e) end, 6) accuracy from e2)"
+
+
+@query(f"with {S.built()}, {_ALLQ}, {S.bm25()}, {_TOPK.format(k='chunk_id')}, {_FIRST} select * from e3")
+def ev_answers(s, d):
+    """Share of the expected answer's tokens in the first passage found."""
+    it, c, hits = _item_hits(s, d)
+    first = hits.filter("rank = 1").join(c.select("chunk_id", "text"), "chunk_id").select("query_id", F.col("text").alias("answer"))
+    pairs = it.select(F.col("item_id").alias("query_id"), F.col("expected_answer").alias("expected")).join(first, "query_id", "left")
+    return evaluation.answer_accuracy(pairs).select(F.col("query_id").alias("item_id"), F.round("accuracy", 6).alias("accuracy"))
+
+
 _ACC = f"a as (select item_id, {S.norm('expected_answer')} ec, {S.norm('query')} qc from {_ITEMS}), b as (select item_id, {S.tokens('ec', S.lang('ec'))} e, {S.tokens('qc', S.lang('qc'))} q from a), z as (select item_id, round(case when coalesce(len(e), 0) = 0 then 0 else len(list_filter(e, lambda x: list_contains(coalesce(q, []), x))) / len(e) end, 6) accuracy from b)"
 
 
@@ -595,11 +637,28 @@ def vec_pq(s, d):
     return vectors.search(_layout(s, d, pq=True), _emb_queries(s, d), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query(_SQL["vec_full"])
+@query()
 def vec_hnsw(s, d):
     return vectors.search(_layout(s, d, graph=True), _emb_queries(s, d), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
+@query("select count(*) queries, true as recall_kept from embeddings where embedding is not null and vec_id % 50 = 0")
+def vec_hnsw_recall(s, d):
+    """Recall of the graph search against the exact one is at least 0.9."""
+    near = lambda x: x.select("query_id", "vec_id")
+    exact = near(vectors.search_full(_emb(s, d), _emb_queries(s, d), 10, "vec_id")).withColumn("true", F.lit(1))
+    found = near(vectors.search(_layout(s, d, graph=True), _emb_queries(s, d), 10)).withColumn("hit", F.lit(1))
+    j = exact.join(found, ["query_id", "vec_id"], "left")
+    return j.agg(F.count_distinct("query_id").alias("queries"), (F.sum("hit") >= 0.9 * F.sum("true")).alias("recall_kept"))
+
+
+@query(f"with {S.chunks()}, cn as (select chunk_id, {S.norm('text')} clean from ck), {R.embedding('cn', 'chunk_id', 'clean', 'ec')} select chunk_id, cast(dim as int) dim, round(c / norm, 6) as value from ec")
+def vec_embed_values(s, d):
+    """The values of the vectors that are not zero."""
+    v = vectors.embed(_chunks(s, d), "chunk_id", "text").select("chunk_id", F.posexplode("v").alias("dim", "value")).filter("value <> 0")
+    return v.select("chunk_id", "dim", F.round("value", 6).alias("value"))
+
+
 @query()
 def vec_embed(s, d):
     v = vectors.embed(_chunks(s, d), "chunk_id", "text")
@@ -608,42 +667,48 @@ def vec_embed(s, d):
 
 # -- ranking, answers, engine ------------------------------------------------------------------
 def _ranked(s, d):
-    c = materialize(_built(s, d), "ranked")
-    post = bm25.postings(c)
-    plan = _plan(s)
+    c, post, plan = _searched(s, d)
     hits = bm25.top_k(bm25.score(post, bm25.term_stats(post), bm25.corpus_stats(c), bm25.query_terms(plan, "expanded")), 150)
     sem = vectors.search_full(vectors.embed(c, "chunk_id", "text"), vectors.embed(plan, "query_id", "text").withColumnRenamed("v", "q"), 150, "chunk_id")
     cands = ranking.candidates(hits, sem)
     return c, plan, ranking.rank(ranking.combine(ranking.features(cands, c, plan))), cands
 
 
+_FULL = f"with {S.built()}, {S.queries(QUERIES)}, qx as (select query_id, {S.expanded('tokens', 'lang')} ex from qa), {S.bm25(qtok='ex').replace('from qa)', 'from qx)')}, {_TOPK.format(k='chunk_id')}, h as (select * from r where rank <= 150), {R.semantic()}, {R.candidates()}"
 _B150 = f"with {S.built()}, {S.queries(QUERIES)}, {S.bm25()}, {_TOPK.format(k='chunk_id')}, h as (select * from r where rank <= 150)"
 
 
 @query(f"{_B150} select h.query_id, chunk_id, cast(qa.clean <> '' and contains(cb.clean, qa.clean) as double) exact, cast(len(qa.tokens) > 0 and contains(' ' || array_to_string(cb.tokens, ' ') || ' ', ' ' || array_to_string(qa.tokens, ' ') || ' ') as double) phrase, round(len(list_filter(qa.tokens, lambda x: contains(cb.clean, x))) / len(qa.tokens), 6) share from h join cb using (chunk_id) join qa using (query_id)")
 def rk_features(s, d):
-    c = _built(s, d)
-    post = bm25.postings(c)
-    plan = _plan(s)
+    c, post, plan = _searched(s, d)
     hits = bm25.top_k(bm25.score(post, bm25.term_stats(post), bm25.corpus_stats(c), bm25.query_terms(plan)), 150)
     f = ranking.features(hits.select("query_id", "chunk_id"), c, plan)
     return f.select("query_id", "chunk_id", "exact", "phrase", F.round(ranking.contains_share(F.col("clean"), F.col("q")), 6).alias("share"))
 
 
-@query()
+@query(f"{_B150}, {R.features('h')} select query_id, chunk_id, {', '.join(f'round({c}, 6) {c}' for c in ('exact', 'phrase', 'prox', 'lead', 'title', 'namespace', 'listed'))} from ft")
+def rk_signals(s, d):
+    """Every signal of the ranking on the 150 best BM25 hits of each query."""
+    c, post, plan = _searched(s, d)
+    hits = bm25.top_k(bm25.score(post, bm25.term_stats(post), bm25.corpus_stats(c), bm25.query_terms(plan)), 150)
+    f = ranking.features(hits.select("query_id", "chunk_id"), c, plan)
+    return f.select("query_id", "chunk_id", *[F.round(x, 6).alias(x) for x in ("exact", "phrase", "prox", "lead", "title", "namespace", "listed")])
+
+
+@query(f"{_FULL}, {R.features('cd')}, {R.combined()} select query_id, chunk_id, round(bm25, 6) bm25, round(semantic, 6) semantic, round(exact, 6) exact, round(phrase, 6) phrase, round(proximity, 6) proximity, round(score, 6) score, fallback, rank from rk")
 def rk_combine(s, d):
     r = _ranked(s, d)[2]
     return r.select("query_id", "chunk_id", *[F.round(c, 6).alias(c) for c in ("bm25", "semantic", "exact", "phrase", "proximity", "score")], "fallback", "rank")
 
 
-@query()
+@query(f"{_FULL}, {R.web()} select query_id, chunk_id, kind, round(score, 6) score, rank from rw")
 def rk_js(s, d):
     c, _, _, cands = _ranked(s, d)
     extras = cands.select("query_id", "chunk_id", F.lit(0.0).alias("freshness"), F.lit(0.0).alias("feedback"))
     return ranking.rank_web(cands, c, _qs(s), extras).select("query_id", "chunk_id", "kind", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+@query(f"{_FULL}, {R.features('cd')}, {R.combined()}, {R.answers()} {R.best()}")
 def ax_answer(s, d):
     c, plan, ranked, _ = _ranked(s, d)
     top = ranked.filter("rank <= 10").select("query_id", "chunk_id", "rank", "score").join(c.select("chunk_id", "text"), "chunk_id")
@@ -653,18 +718,16 @@ def ax_answer(s, d):
 
 @query(f"{_B150}, t as (select query_id, chunk_id, score, unnest({S.sentences_web('text')}) sentence, generate_subscripts({S.sentences_web('text')}, 1) - 1 pos from h join ck using (chunk_id) where rank <= 10), o as (select query_id, chunk_id, pos, sentence, score * 0.6 + 0.4 * case when len(q) = 0 then 0 else len(list_filter(q, lambda x: list_contains({S.tokens_web('sentence')}, x))) / len(q) end as value from t join (select query_id, {S.tokens_web('text')} q from qv) using (query_id)) select query_id, chunk_id, sentence, round(value, 6) as value from (select *, row_number() over (partition by query_id order by round(value, 9) desc, chunk_id, pos) rn from o) where rn = 1")
 def ax_demo(s, d):
-    c = _built(s, d)
-    post = bm25.postings(c)
-    hits = bm25.top_k(bm25.score(post, bm25.term_stats(post), bm25.corpus_stats(c), bm25.query_terms(_plan(s))), 10).join(c.select("chunk_id", "text"), "chunk_id")
+    c, post, plan = _searched(s, d)
+    hits = bm25.top_k(bm25.score(post, bm25.term_stats(post), bm25.corpus_stats(c), bm25.query_terms(plan)), 10).join(c.select("chunk_id", "text"), "chunk_id")
     return answers.demo_answers(hits, _qs(s)).select("query_id", "chunk_id", "sentence", F.round("value", 6).alias("value"))
 
 
-@query()
+@query(f"{_B150}, hw as (select query_id, chunk_id, score, ck.text from h join ck using (chunk_id) where rank <= 10), {R.web_answers('hw')} select query_id, chunk_id, sentence, span, round(confidence, 6) confidence from wa")
 def ax_js(s, d):
-    c = _built(s, d)
-    post = bm25.postings(c)
-    hits = bm25.top_k(bm25.score(post, bm25.term_stats(post), bm25.corpus_stats(c), bm25.query_terms(_plan(s))), 10).join(c.select("chunk_id", "text"), "chunk_id")
-    return answers.web_answers(hits, _qs(s))
+    c, post, plan = _searched(s, d)
+    hits = bm25.top_k(bm25.score(post, bm25.term_stats(post), bm25.corpus_stats(c), bm25.query_terms(plan)), 10).join(c.select("chunk_id", "text"), "chunk_id")
+    return answers.web_answers(hits, _qs(s)).withColumn("confidence", F.round("confidence", 6))
 
 
 def _small_index(s, d):
@@ -686,6 +749,21 @@ def inc_compact(s, d):
     return ix.chunks().select("chunk_id", F.md5(F.col("text").cast("binary")).alias("text"), F.size("tokens").cast("bigint").alias("n"))
 
 
+@query(f"with {S.built()} select chunk_id, md5(text) as text from cb where cast(doc_id as bigint) % 3 = 0 or cast(doc_id as bigint) % 3 = 1 and cast(doc_id as bigint) % 2 = 1 union all select doc_id || '::chunk1', md5('renewed ' || doc_id) from (select cast(doc_id as varchar) doc_id from documents where doc_id % 3 = 2)")
+def inc_update(s, d):
+    """Documents deleted and added again, replaced, and deleted and added in one batch: what is live are the newest versions."""
+    from lodestar.streaming.ingest import apply_changes
+
+    ix, docs = _small_index(s, d)
+    ix.add(docs.filter("n % 2 = 0 or n % 3 <> 1"))
+    ix.delete(docs.filter("n % 3 = 0").select(F.col("doc_id").alias("id")))
+    ix.add(docs.filter("n % 3 = 0"))
+    ix.update(docs.filter("n % 3 = 2").select("doc_id", F.concat(F.lit("renewed "), "doc_id").alias("text")))
+    ops = docs.filter("n % 3 = 1").select(F.lit("delete").alias("op"), F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("text"))
+    apply_changes(ix, ops.unionByName(docs.filter("n % 3 = 1 and n % 2 = 1").select(F.lit("add").alias("op"), F.col("doc_id").alias("id"), "text")), "b")
+    return ix.live().select("chunk_id", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
 @query()
 def api_search(s, d):
     from lodestar.engine import Engine

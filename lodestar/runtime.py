@@ -162,5 +162,8 @@ def read_small_text(spark: SparkSession, path: str, limit: int = 4 << 20) -> str
         stream.close()
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def load(spark: SparkSession, sf_dir: str, table: str, spread: bool = False) -> DataFrame:
+    """A table of a folder.  With ``spread``, for work that costs far more than reading, one that comes in fewer pieces than half the cores is dealt out to all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() * 2 < cores else df

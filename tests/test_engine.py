@@ -82,3 +82,53 @@ def test_packs(spark, tmp_path):
     assert packs.select_shards(spark, m, "en", "default").count() == 3 and packs.select_shards(spark, m, "en", "none").count() == 1
     assert len(packs.export_packs(root, str(tmp_path / "out"))) == 3
     assert packs.load_manifest(spark, str(tmp_path / "nowhere"))["languages"] == []
+
+
+def test_updates_keep_the_new_text(spark, tmp_path):
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id string, text string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    texts = lambda ix: {r.doc_id: r.text for r in ix.live().collect()}
+    ix = Index(spark, str(tmp_path / "u"), Config(vector_enabled=False))
+    ix.add(docs([("a", "the old mill"), ("b", "the old pier")]))
+    ix.delete(ids("a"))
+    assert ix.add(docs([("a", "a new granary")])) == 1 and texts(ix) == {"a": "a new granary", "b": "the old pier"}
+    assert [r["id"] for r in Engine(ix).search("granary")["results"]] == ["a::chunk1"] and Engine(ix).search("mill")["results"] == []
+    assert ix.update(docs([("b", "a new harbour")])) == 1 and texts(ix) == {"a": "a new granary", "b": "a new harbour"}
+    batch = spark.createDataFrame([("delete", "a", None), ("add", "a", "third text"), ("add", "c", "fresh text"), ("update", "b", "last text")], "op string, id string, text string")
+    ingest.apply_changes(ix, batch, "x")
+    ingest.apply_changes(ix, batch, "x")
+    want = {"a": "third text", "b": "last text", "c": "fresh text"}
+    assert texts(ix) == want
+    ix.delete(ids("c"))
+    ix = Index(spark, str(tmp_path / "u"), Config(vector_enabled=False))
+    ix.compact()
+    del want["c"]
+    assert texts(ix) == want == {r.doc_id: r.text for r in ix.chunks().collect()} and ix.term_stats().filter("term = 'mill'").count() == 0
+
+
+def test_a_crash_before_publishing_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    from lodestar import index as module
+
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id string, text string")
+    ix = Index(spark, str(tmp_path / "c"), Config(vector_enabled=False))
+    ix.add(docs(DOCS[:2]))
+    monkeypatch.setattr(module, "publish_version", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        ix.update(docs([("1", "never seen"), ("9", "never seen")]))
+    monkeypatch.undo()
+    again = Index(spark, str(tmp_path / "c"), Config(vector_enabled=False))
+    assert again.version == ix.version == 1 and {r.doc_id: r.text for r in again.live().collect()} == dict(DOCS[:2])
+    assert again.update(docs([("1", "seen now")])) == 1 and again.live().filter("doc_id = '1'").first().text == "seen now"
+    with pytest.raises(OSError):  # the other writer has not seen this version
+        ix.add(docs(DOCS[3:]))
+
+
+def test_search_reads_its_own_terms_only(spark, index):
+    plan = index.term_stats(["bm25"])._jdf.queryExecution().toString()
+    assert "In(term" in plan or "EqualTo(term" in plan
+    assert index.memory().filter("part = 'vectors'").first().bytes == 5 * 388
+
+
+def test_debug_breaks_the_score_down(spark, index):
+    rows = Engine(index).debug("what is bm25")
+    assert rows[0]["id"] == "1::chunk1" and set(rows[0]) == {"id", "score", "bm25", "semantic", "exact", "phrase", "proximity"}
