@@ -1,15 +1,15 @@
 """The k most similar vectors of every vector, by robust-pruned directed graphs.
 
-1. Pivots are fitted on a bounded sample (``SAMPLE`` vectors by hash order); every vector is indexed,
+1. Pivots are fitted on a bounded sample (``SAMPLE`` vectors by hash order); every vector is indexed
    in its ``overlap`` nearest pivots' cells, and also asks its question there.
-2. Equal vectors are one node.  A cell with more members than ``shard_rows`` is salted into sub-shards
-   by hash: each holds a bounded part of the members, and every query of the cell visits each of them,
-   in blocks.  A pivot may attract a third of all vectors without any task holding more than a shard
-   and a block of queries.
-3. In each shard a directed graph is built: greedy beam searches propose neighbours, relaxed distance
+2. Equal vectors are one node.  A cell with more members than ``shard_rows`` is split again by pivots of its own,
+   fitted on a bounded sample of its members, each of which goes to its ``SPLIT`` nearest; and so on, level by
+   level.  The number of cells therefore grows with the vectors, while the cells a vector is in do not.  What
+   ``LEVELS`` levels cannot split is salted into sub-shards by hash, which every query of the cell visits.
+3. In each cell a directed graph is built, once: greedy beam searches propose neighbours, relaxed distance
    pruning (``alpha``) keeps diverse edges, reverse edges are added and pruned alike.
-4. Beam search over the finished graph answers the shard's queries; the candidates are scored exactly
-   on the int8 vectors and the best k per query over all shards are kept.
+4. Beam search over the finished graph answers the cell's queries; the candidates are scored exactly
+   on the int8 vectors and the best k per query over all its cells are kept.
 
 The searches of a whole block of points run in lock step on NumPy arrays.
 """
@@ -30,6 +30,10 @@ from lodestar.runtime import materialize
 SAMPLE = 20_000
 SHARD_ROWS = 2048
 DEGREE, BEAM, ALPHA = 32, 32, 1.2
+#: Cells of a split cell that a member goes to, and how often cells are split.
+SPLIT, LEVELS = 2, 4
+#: Bits of a cell's number for each level.
+_BITS = 12
 _BLOCK = 512
 
 
@@ -54,7 +58,7 @@ def fit_pivots(x: np.ndarray, k: int, rounds: int = 6, seed: int = 11) -> np.nda
 class Graph:
     """A robust-pruned directed graph over unit vectors."""
 
-    def __init__(self, x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 5):
+    def __init__(self, x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 5, passes: tuple[float, ...] = (ALPHA,)):
         self.x, self.degree, self.beam = x, degree, beam
         n = len(x)
         rng = np.random.default_rng(seed)
@@ -68,7 +72,7 @@ class Graph:
             everyone = np.tile(np.arange(n, dtype=np.int32), (n, 1))
             self.nbr = everyone
             return
-        for a in (1.0, alpha):
+        for a in passes:
             order = rng.permutation(n)
             for i in range(0, n, _BLOCK):
                 pts = order[i : i + _BLOCK]
@@ -109,7 +113,7 @@ class Graph:
         order = np.argsort(dst, kind="stable")
         src, dst = src[order], dst[order]
         heads, starts, counts = np.unique(dst, return_index=True, return_counts=True)
-        width = min(int(counts.max()), 2 * self.degree) if len(counts) else 0
+        width = int(counts.max()) if len(counts) else 0
         if not width:
             return
         slot = np.arange(len(dst)) - np.repeat(starts, counts)
@@ -240,7 +244,6 @@ def nearest(
     single vector has no neighbours; other columns are not read.  Approximate: a true neighbour may be
     missing (measured recall is in the README); every returned cosine is exact.
     """
-    spark = df.sparkSession
     usable = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).filter(
         F.col("id").isNotNull() & (F.size("v") == dims) & F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull())
     )
@@ -257,44 +260,18 @@ def nearest(
     nodes = materialize(first.groupBy("v").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("ids")), "nodes")
     packed = nodes.select("id", "v")
     n = packed.count()
-    cells = max(1, min(-(-2 * n * overlap // shard_rows), sample // 8))
-    if cells == 1:
-        pivots = np.zeros((1, dims), dtype=np.float32)
-    else:
-        rows = packed.orderBy(F.xxhash64("id")).limit(sample).collect()
-        pivots = fit_pivots(unit(np.frombuffer(b"".join(bytes(r.v) for r in rows), dtype=np.int8).reshape(len(rows), dims)), cells)
-    shared = spark.sparkContext.broadcast(pivots)  # at most sample / 8 rows of dims floats
-    take = min(overlap, cells)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = unit(np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.int8).reshape(-1, dims))
-            s = x @ shared.value.T
-            near = np.argpartition(-s, take - 1, axis=1)[:, :take]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * take), pa.array(near.ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["id", "cells"])
-
-    routed = materialize(packed.mapInArrow(route, "id bigint, cells array<int>"), "cells")
-    load = routed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
-    # at most sample / 8 rows
-    parts = load.select("cell", F.ceil(F.col("m") / shard_rows).cast("int").alias("parts"), F.ceil(F.col("m") / (8 * shard_rows)).cast("int").alias("blocks"))
-    placed = (
-        packed.join(routed, "id")
-        .select("id", "v", F.explode("cells").alias("cell"))
-        .join(F.broadcast(parts), "cell")
-        .select("id", "v", "cell", "parts", "blocks", F.pmod(F.xxhash64("id", "cell"), "parts").cast("int").alias("mine"), F.pmod(F.xxhash64("cell", "id"), "blocks").cast("int").alias("ask"))
-    )
-    # a shard of a crowded cell answers its questions in blocks, each with the shard's members, so that no group outgrows a task
-    visits = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.col("parts") - 1),
-            lambda p: F.transform(
-                F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: (b == F.col("ask")) | (p == F.col("mine"))),
-                lambda b: F.struct(p.alias("part"), b.alias("block"), (p == F.col("mine")).alias("owned"), (b == F.col("ask")).alias("asks")),
-            ),
-        )
-    )
-    asked = placed.select("id", "v", "cell", F.explode(visits).alias("x")).select("id", "v", "cell", "x.part", "x.block", "x.owned", "x.asks")
+    routed = cells_of(packed, n, dims, overlap, shard_rows, sample)
+    load = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
+    left = materialize(load.filter(F.col("m") > 4 * shard_rows).select("cell", F.ceil(F.col("m") / shard_rows).cast("int").alias("parts")), "left")
+    placed = routed.join(left, "cell", "left").join(packed, "id").select("id", "v", "cell", F.coalesce("parts", F.lit(1)).alias("parts"))
+    # what cannot be split is salted: a member belongs to one sub-shard and asks in each
+    visits = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), (p == F.pmod(F.xxhash64("id", "cell"), "parts")).alias("owned")))
+    asked = placed.select("id", "v", "cell", F.explode(visits).alias("x"), "parts").select("id", "v", "cell", "x.part", "x.owned", F.lit(True).alias("asks"), "parts")
+    # a sub-shard answers in blocks of questions, each with the sub-shard's members
+    blocks = F.ceil(F.col("parts") / 8).cast("int")
+    block = F.when(F.col("owned"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("cell", "id"), blocks).cast("int")))
+    asked = asked.select("id", "v", "cell", "part", "owned", F.pmod(F.xxhash64("cell", "id"), blocks).cast("int").alias("ask"), F.explode(block).alias("block"))
+    asked = asked.select("id", "v", "cell", "part", "block", "owned", (F.col("ask") == F.col("block")).alias("asks"))
     found = asked.groupBy("cell", "part", "block").applyInArrow(_answer(k, beam, degree, alpha), "q bigint, nb bigint, cos double")
     between = top_neighbours(found.groupBy("q", "nb").agg(F.max("cos").alias("cos")), k)
     # back to rows: a member's neighbours are its own copies and the first copies of the neighbouring nodes
@@ -308,6 +285,71 @@ def nearest(
     return best.select(F.col("q").alias(key), F.col("nb").alias("neighbour"), "cos")
 
 
+def cells_of(packed: DataFrame, n: int, dims: int, overlap: int, shard_rows: int, sample: int) -> DataFrame:
+    """(id, cell): the cells each of ``n`` vectors (id, v) is in."""
+    cells = max(1, min(-(-2 * n * overlap // shard_rows), sample // 8))
+    if cells == 1:
+        pivots = np.zeros((1, dims), dtype=np.float32)
+    else:
+        rows = packed.orderBy(F.xxhash64("id")).limit(sample).collect()
+        pivots = fit_pivots(unit(np.frombuffer(b"".join(bytes(r.v) for r in rows), dtype=np.int8).reshape(len(rows), dims)), cells)
+    shared = packed.sparkSession.sparkContext.broadcast(pivots)  # at most sample / 8 rows of dims floats
+    take = min(overlap, cells)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = unit(np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.int8).reshape(-1, dims))
+            near = _nearest_pivots(x, shared.value, take)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), take)), pa.array(near.ravel().astype(np.int64) + 1)], names=["id", "cell"])
+
+    routed = materialize(packed.mapInArrow(route, "id bigint, cell bigint"), "cells")
+    for level in range(LEVELS):
+        crowded = materialize(routed.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > shard_rows), "crowded")
+        if crowded.isEmpty():
+            break
+        routed = materialize(routed.join(crowded, "cell", "left_anti").unionByName(_split(packed, routed.join(crowded, "cell"), dims, shard_rows, sample)), "cells")
+    return routed
+
+
+def _nearest_pivots(x: np.ndarray, pivots: np.ndarray, take: int) -> np.ndarray:
+    s = x @ pivots.T
+    return np.argpartition(-s, take - 1, axis=1)[:, :take]
+
+
+def _split(packed: DataFrame, crowded: DataFrame, dims: int, shard_rows: int, sample: int) -> DataFrame:
+    """(id, cell): the members (id, cell, m) of crowded cells in the cells below them.
+
+    A cell's pivots are fitted in one task on at most ``sample`` members; the members meet them in pieces of
+    about four shards, so no task holds a cell.
+    """
+    rows = crowded.join(packed, "id")
+    subs = F.least(F.ceil(F.col("m") * 2 * SPLIT / shard_rows), F.lit(max(2, min(sample // 8, (1 << _BITS) - 1)))).cast("int")
+    w = Window.partitionBy("cell").orderBy(F.xxhash64("id"))
+    drawn = rows.withColumn("subs", subs).withColumn("rn", F.row_number().over(w)).filter((F.col("rn") <= sample) & (F.col("rn") <= 32 * F.col("subs"))).drop("rn")
+
+    def fit(table):
+        x = unit(np.frombuffer(b"".join(table.column("v").to_pylist()), dtype=np.int8).reshape(-1, dims))
+        c = fit_pivots(x, min(table["subs"][0].as_py(), len(x)))
+        return pa.table({"cell": table["cell"][:1], "pieces": pa.array([-(-table["m"][0].as_py() // (4 * shard_rows))], pa.int32()), "pivots": pa.array([c.astype(np.float32).tobytes()], pa.binary())})
+
+    fitted = materialize(drawn.groupBy("cell").applyInArrow(fit, "cell bigint, pieces int, pivots binary"), "pivots")
+    pieces = F.ceil(F.col("m") / (4 * shard_rows)).cast("int")
+    left = rows.select("id", "v", "cell", F.pmod(F.xxhash64("id"), pieces).cast("int").alias("piece"))
+    right = fitted.select("cell", "pivots", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+
+    def down(members, pivots):
+        if not members.num_rows or not pivots.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "cell": pa.array([], pa.int64())})
+        c = np.frombuffer(pivots["pivots"][0].as_py(), dtype=np.float32).reshape(-1, dims)
+        x = unit(np.frombuffer(b"".join(members.column("v").to_pylist()), dtype=np.int8).reshape(-1, dims))
+        take = min(SPLIT, len(c))
+        near = _nearest_pivots(x, c, take).astype(np.int64)
+        return pa.table({"id": np.repeat(members["id"].to_numpy(), take), "cell": (np.repeat(members["cell"].to_numpy(), take) << _BITS) + near.ravel() + 1})
+
+    # two ways to the same cell do not occur: a cell's number holds the way to it
+    return left.groupBy("cell", "piece").cogroup(right.groupBy("cell", "piece")).applyInArrow(down, "id bigint, cell bigint")
+
+
 def top_neighbours(df: DataFrame, k: int) -> DataFrame:
     """The k rows of the largest ``cos`` per ``q``, ties to the smaller ``nb``."""
     w = Window.partitionBy("q").orderBy(F.col("cos").desc(), "nb")

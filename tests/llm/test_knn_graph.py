@@ -61,3 +61,24 @@ def test_a_third_of_all_vectors_is_one_vector(spark):
 def test_crowded_cells_answer_in_blocks(spark):
     r, n, m = recall(spark, vectors(700, centres=1), shard_rows=20, sample=16, overlap=2)  # two cells, both visited
     assert r >= 0.9 and n == m
+
+
+def test_cells_of_a_vector_stay_as_many_when_the_collection_grows(spark):
+    """However few the first pivots are, cells are split by pivots of their own: cells a vector and members a cell stay bounded."""
+    from pyspark.sql import functions as F
+
+    from lodestar.llm.knn_graph import SPLIT, cells_of
+
+    per_vector = {}
+    for n in (1000, 8000):
+        x = np.array([v for _, v in vectors(n, centres=n // 40)], dtype=np.int8)
+        packed = spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate(x)], "id bigint, v binary")
+        cells = cells_of(packed, n, 24, 2, 100, 400)
+        assert cells.groupBy("cell").count().agg(F.max("count")).first()[0] <= 400 and cells.select("id").distinct().count() == n
+        per_vector[n] = cells.count() / n
+    assert per_vector[8000] <= 2 * SPLIT + 2 and per_vector[8000] <= 2.1 * per_vector[1000]
+
+
+def test_split_cells_keep_recall(spark):
+    r, n, m = recall(spark, vectors(2500, centres=60), shard_rows=100, sample=64, overlap=2)
+    assert r >= 0.9 and n == m
