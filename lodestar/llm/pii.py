@@ -9,7 +9,9 @@ record every edit, so that a span found in the view maps back to the exact sourc
 * digits spelled as words, five or more in a row, become digits.
 
 Identifiers (e-mail, phone, labelled identity numbers), street addresses and names are then found by
-shape and context.  Everything is map-only: one pass over the texts, no shuffle.
+shape and context.  Names have two kinds of context: fixed frames, which also carry names in lower case or with
+an initial alone, and classes of cues that hold in any sentence: a form of address, a label with a colon, who did
+something, who is called, or a given name in a pair of capitalised words that is no place or body.  Everything is map-only: one pass over the texts, no shuffle.
 """
 
 from __future__ import annotations
@@ -224,6 +226,33 @@ _NO_NAME = set(
 )
 
 
+#: A written name: capitalised parts, initials between or before them, small words of descent, and no place or body after it.
+_CAPW = r"[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:['’-][A-ZÀ-ÖØ-Þ]?[^\W\d_]+)*"
+_DESCENT = r"(?:(?:van|von|der|den|de|da|di|del|du|dos|la|le|zu|bin|ben|al|ibn)[ ])*"
+_WRITTEN = rf"{_NOT_TITLE}(?:{_CAPW}|[A-Z]\.)(?:[ ][A-Z]\.)*[ ]{_DESCENT}{_CAPW}(?![^\W_]|['’-]\w)"
+#: Fixed: classes of words that stand beside persons, in the languages of the corpus.
+_DONE = set("signed|written|opened|forwarded|submitted|prepared|approved|reviewed|reported|filed|sent|edited|compiled|witnessed|requested|countersigned|unterschrieben|verfasst|eingereicht|signé|rédigé|envoyé|firmado|escrito|enviado".split("|"))
+_LABEL = set("name|contact|applicant|author|client|customer|patient|tenant|owner|employee|student|teacher|attn|attention|from|sender|recipient|signed|signature|caller|kontakt|ansprechpartner|kunde|patientin|mieter|absender|nom|client|auteur|autor|nombre|contacto|paciente|firmado|signé|remitente|expéditeur|cliente".split("|"))
+_CALLS = tuple("ask for|speak to|speak with|contact|call|write to|regards to|dear|hello|yours sincerely|sincerely|kind regards|best regards|fragen sie nach|hallo|liebe|lieber|bonjour|cher|chère|estimado|estimada|hola|pregunte por".split("|"))
+#: Fixed: words that make a name the name of a place or a body.
+_PLACE = (
+    r"lake|mount|river|bay|cape|port|fort|saint|st|bridge|ridge|street|road|avenue|lane|way|square|park|hall|house|school|college|university|hospital|station|museum|library|church|chapel|abbey|castle|tower|mill|harbour|harbor|ferry|canal|island|valley|hill|peak|field|farm|market|"
+    r"company|council|committee|society|board|trust|guild|institute|observatory|railway|press|cooperative|line|survey|association|office|union|foundation|prize|award|cup|centre|center|club|route|map|brücke|straße|platz|schule|kirche|pont|lac|rue|musée|école|puente|lago|calle|museo|escuela"
+)
+_GEO = re.compile(rf"(?:{_PLACE})\Z", re.I)
+_PLACE_AFTER = re.compile(rf"[ ](?:{_PLACE})\b", re.I)
+_PLACE_BEFORE = re.compile(rf"(?:\b(?:the|{_PLACE})[ ])\Z", re.I)
+_AFTER_TITLE = re.compile(rf"(?<![\w.])(?:{_TITLE}){{1,2}}({_WRITTEN}|{_NOT_TITLE}{_CAPW}(?![^\W_]))")
+_AFTER_LABEL = re.compile(rf":[ \t]*({_WRITTEN})(?=[ \t]*(?:[\n\r,;|(<.]|\Z))")
+_AFTER_BY = re.compile(rf"[ ](?:by|von|par|por)[ ]({_WRITTEN})")
+_AFTER_CALL = re.compile(rf",?[ \n\r]{{1,3}}({_WRITTEN})")
+_FROM_GIVEN = re.compile(rf"([A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-{_CAPW})?(?:[ ][A-Z]\.)*[ ]{_DESCENT}{_CAPW}(?![^\W_]|['’-]\w))")
+_TO_GIVEN = re.compile(rf"(?<![\w'’-])({_CAPW},[ ]\Z)")
+_TITLE_HINTS = tuple("Mr Ms Dr Prof Mme Mlle Sr Frau Herr Señ Don Doñ Miss Sir Dame M. MR MS DR FRAU HERR MME".split())
+_LAST_WORD = re.compile(r"([^\W\d_]+)[ \t]*\Z")
+_CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ][^\W\d_]+")
+
+
 #: Given names that settle the case of a name written in lower case throughout; extend by parameter.
 GIVEN = frozenset(
     "stefan lukas ingrid hanna daniel felix priya julia carmen nikolai hugo alba clara bruno tomas martin pierre elena lucia victor marta henrik teresa arjun sofia anna ruth emil rafael nadia laura mei vera camille ines kenji paul diego leila kofi andreas greta yusuf oskar olga amara aisha marie simon samir "
@@ -243,7 +272,50 @@ def _is_name(name: str, titled: bool, given: frozenset) -> bool:
     return True
 
 
-def find(text: str | None, given: frozenset = GIVEN) -> list[tuple[int, int, str]]:
+def _beside(t: str, low: str, given: frozenset) -> Iterator[tuple[int, int]]:
+    """Names by what stands beside them: a form of address, a label, who did it, who is called; or a given name in a pair of capitalised words.
+
+    Next to a word for places or bodies, or after an article, it is the name of one.
+    """
+
+    def person(m: re.Match, titled: bool = False) -> bool:
+        a, b = m.span(1)
+        written = [p.lower() for p in re.split(r"[ ,]+", m.group(1)) if p[:1].isupper()]
+        if any(p in _NO_NAME or _GEO.match(p) for p in written) or _PLACE_AFTER.match(t, b):
+            return False
+        return titled or not _PLACE_BEFORE.search(t[max(0, a - 20) : a])
+
+    def word_before(at: int) -> str:
+        m = _LAST_WORD.search(t[max(0, at - 30) : at])
+        return m.group(1).lower() if m else ""
+
+    if any(h in t for h in _TITLE_HINTS):
+        yield from (m.span(1) for m in _AFTER_TITLE.finditer(t) if person(m, True))
+    if ":" in t:
+        yield from (m.span(1) for m in _AFTER_LABEL.finditer(t) if word_before(m.start()) in _LABEL and person(m))
+    if any(h in t for h in (" by ", " von ", " par ", " por ")):
+        yield from (m.span(1) for m in _AFTER_BY.finditer(t) if word_before(m.start()) in _DONE and person(m))
+    for call in _CALLS:
+        at = low.find(call)
+        while at >= 0:
+            m = _AFTER_CALL.match(t, at + len(call)) if len(low) == len(t) and (at == 0 or not t[at - 1].isalnum()) else None
+            if m and person(m):
+                yield m.span(1)
+            at = low.find(call, at + 1)
+    for w in _CAPITAL.finditer(t):
+        if w.group().lower() in given and not t[w.start() - 1 : w.start()].isalnum():
+            m = _FROM_GIVEN.match(t, w.start())
+            if m and person(m):
+                yield m.span(1)
+                continue
+            at = max(0, w.start() - 40)
+            m = _TO_GIVEN.search(t[at : w.start()])
+            if m and not t[w.end() : w.end() + 1].isalnum() and not _GEO.match(m.group(1)[:-2]) and m.group(1)[:-2].lower() not in _NO_NAME:
+                end = re.compile(r"(?:[ ][A-Z]\.)*").match(t, w.end()).end()
+                yield at + m.start(1), end
+
+
+def find(text: str | None, given: frozenset = GIVEN, beside: bool = True) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) in source characters, in order, without overlaps.
 
     Where kinds compete: e-mail, then identity number, phone, street address, name.
@@ -283,6 +355,9 @@ def find(text: str | None, given: frozenset = GIVEN) -> list[tuple[int, int, str
             for tag, val in m.groupdict().items():
                 if val and _is_name(val, tag.endswith("t"), given):
                     add(*m.span(tag), "person_name")
+    if beside:
+        for span in _beside(t, low, given):
+            add(*span, "person_name")
     return sorted((*view.back(a, b), k) for a, b, k in found)
 
 

@@ -79,3 +79,22 @@ def test_redaction_and_rows(spark):
 )
 def test_gates_are_no_narrower_than_their_patterns(text, want):
     assert values(text) == want
+
+
+def test_names_in_sentences_of_any_frame():
+    """No frame here is among the fixed contexts: what stands beside a person decides."""
+    got = {
+        "Yesterday Anna van der Berg presented her results.": ["Anna van der Berg"],
+        "The minutes were approved by Torvald Quistgaard on Monday.": ["Torvald Quistgaard"],
+        "Patient: Zbigniew Orlak, born in spring": ["Zbigniew Orlak"],
+        "We met Prof. Dr. Hjalmar Lindqvist near the weir.": ["Hjalmar Lindqvist"],
+        "Please ask for Ottoline Fairweather at the desk.": ["Ottoline Fairweather"],
+        "Rédigé par Maëlle Kervran, le 3 mai": ["Maëlle Kervran"],
+        "Ansprechpartner: Gudrun Ahlers\nTel. folgt": ["Gudrun Ahlers"],
+        "In the list stands Okonkwo, Amara P. and no one else.": ["Okonkwo, Amara P."],
+        "Dear Ms Abernathy, thank you.": ["Abernathy"],
+    }
+    for text, want in got.items():
+        assert [text[a:b] for a, b, k in find(text) if k == "person_name"] == want, text
+    for text in ("The Clara Bridge and Lake Martin appear on the map.", "The Elena Ridge route passes the mill.", "Anna Street Station closed.", "Published by the Victor Trust.", "Note: Old Harbour, closed.", "Road by Green Lake."):
+        assert not [1 for *_, k in find(text) if k == "person_name"], text
