@@ -432,21 +432,12 @@ class StyleTrees:
         self.src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"))
         self.kt = self.src.schema[0].dataType.simpleString()
 
-    @cached_property
-    def nodes(self) -> DataFrame:
-        """(k, langs) of the texts with markup."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                langs = [sorted(languages(t.as_py())) for t in b.column(1)]
-                rows = pa.array([i for i, x in enumerate(langs) if x], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([x for x in langs if x], pa.list_(pa.string()))], names=["k", "langs"])
-
-        return materialize(self.src.filter("t is not null").mapInArrow(run, f"k {self.kt}, langs array<string>"), "nodes")
-
     @cached_property
     def tree(self) -> DataFrame:
-        """(k, site, doc, nodes): a document's distinct (lang, kind, content), kind being a path; doc is the hash of its text."""
+        """(k, site, doc, nodes): a document's distinct (lang, kind, content); doc is the hash of its text.
+
+        Content nodes have their path as kind; presentation nodes, the marks themselves, have ``~`` and what they are.
+        """
         item = pa.struct([("lang", pa.string()), ("kind", pa.string()), ("content", pa.int64())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,7 +445,9 @@ class StyleTrees:
                 out, keep, doc = [], [], []
                 for i, t in enumerate(b.column(1)):
                     t = t.as_py()
-                    if t and parse(t)[1] and (found := {(lang, p, h) for _, _, lang, paths, body in branches(t) for h in [_digest(body)] for p in paths}):
+                    marks = {(lang, "~" + kind, _digest(body)) for lang, kind, body in parse(t)[1]} if t else set()
+                    if marks:
+                        found = marks | {(lang, p, h) for _, _, lang, paths, body in branches(t) for h in [_digest(body)] for p in paths}
                         keep.append(i)
                         doc.append(_digest(t))
                         out.append([{"lang": x, "kind": y, "content": c} for x, y, c in sorted(found)])
@@ -464,8 +457,9 @@ class StyleTrees:
         return materialize(self.src.filter("t is not null").mapInArrow(run, f"k {self.kt}, site string, doc bigint, nodes array<struct<lang:string,kind:string,content:bigint>>"), "tree")
 
     def languages(self) -> DataFrame:
-        """(key, markup): one row per language whose nodes a document holds."""
-        return self.nodes.select(F.col("k").alias(self.key), F.explode("langs").alias("markup")).distinct()
+        """(key, markup): one row per language of whose presentation nodes a document holds any."""
+        marks = F.array_distinct(F.transform(F.filter("nodes", lambda n: n["kind"].startswith("~")), lambda n: n["lang"]))
+        return self.tree.select(F.col("k").alias(self.key), F.explode(marks).alias("markup")).distinct()
 
     @cached_property
     def forms(self) -> DataFrame:
@@ -488,7 +482,7 @@ class StyleTrees:
 
     def clean(self, least: float = 0.4, repeats: int = 3) -> DataFrame:
         """(key, text): clean text; contents seen in at least ``repeats`` documents under a path less important than ``least`` are cut out."""
-        low = self._entropy().filter(F.col("importance") < least).select("site", "lang", "kind")
+        low = self._entropy().filter(~F.col("kind").startswith("~") & (F.col("importance") < least)).select("site", "lang", "kind")
         common = materialize(self.forms.filter(F.col("c") >= repeats).join(low, ["site", "lang", "kind"]).select("site", "lang", "kind", "content"), "common")
         each = self.tree.select("k", "site", F.explode("nodes").alias("n")).select("k", "site", "n.lang", "n.kind", "n.content")
         drop = each.join(common, ["site", "lang", "kind", "content"]).groupBy("k").agg(F.collect_set(F.struct("lang", "kind", "content")).alias("drop"))
