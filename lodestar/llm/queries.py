@@ -14,20 +14,20 @@ from lodestar.runtime import load
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     from lodestar.llm.pagelines import Pages
 
-    return Pages(load(spark, d, "raw_pages")).furniture()
+    return Pages(load(spark, d, "raw_pages", spread=True)).furniture()
 
 
 def p1_body(spark: SparkSession, d: str) -> DataFrame:
     from lodestar.llm.pagelines import Pages, main_text
 
-    pages = load(spark, d, "raw_pages")
+    pages = load(spark, d, "raw_pages", spread=True)
     return main_text(pages, Pages(pages))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from lodestar.llm.pagelines import Pages
 
-    return Pages(load(spark, d, "raw_pages")).spam().select("crawl_id")
+    return Pages(load(spark, d, "raw_pages", spread=True)).spam().select("crawl_id")
 
 
 # -- problem 2: term frequencies ---------------------------------------------------------------
@@ -44,6 +44,22 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return build_from_history(spark, load(spark, d, "chunks"), "chunk_id", "tokens", "indexed_at").marked()
 
 
+def p2_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """The stored dictionary of each shard against the counts of its valid chunks."""
+    from lodestar.llm.term_counts import reconcile
+
+    return reconcile(load(spark, d, "term_meta"), load(spark, d, "chunks"), "chunk_id", "tokens", "indexed_at")
+
+
+_P2_DICTIONARY = """
+with valid as (select shard, tokens from (select *, row_number() over (partition by chunk_id order by indexed_at desc nulls last) rn from chunks where chunk_id is not null) where rn = 1),
+ c as (select shard, term, count(*) n from (select shard, unnest(list_distinct(tokens)) term from valid) where term is not null and term <> '' group by all),
+ s as (select shard, term, max(df) stored, count(*) k from term_meta where term is not null group by all)
+select coalesce(c.shard, s.shard) shard, coalesce(c.term, s.term) term, stored, coalesce(n, 0) as "true",
+ case when k is null then 'missing' when n is null then 'left_over' when k > 1 then 'repeated' when stored is null then 'unset' when stored <> n then 'stale' else 'ok' end state
+from c full join s on c.shard is not distinct from s.shard and c.term = s.term
+"""
+
 _P2_SQL = """
 with valid as (select chunk_id, tokens from (select *, row_number() over (partition by chunk_id order by indexed_at desc nulls last) rn from chunks where chunk_id is not null) where rn = 1),
  t as (select chunk_id, unnest(tokens) term from valid),
@@ -91,8 +107,8 @@ with valid as (select * from (select *, row_number() over (partition by query_id
 def _near_duplicates(spark: SparkSession, d: str, shingle: int, least: float):
     from lodestar.llm.neardup import NearDuplicates
 
-    docs = load(spark, d, "documents").select(F.lit("documents").alias("kind"), F.col("doc_id").alias("key"), "text")
-    chunks = load(spark, d, "processed_chunks").select(F.lit("processed_chunks").alias("kind"), F.col("chunk_ord").alias("key"), "text")
+    docs = load(spark, d, "documents", spread=True).select(F.lit("documents").alias("kind"), F.col("doc_id").alias("key"), "text")
+    chunks = load(spark, d, "processed_chunks", spread=True).select(F.lit("processed_chunks").alias("kind"), F.col("chunk_ord").alias("key"), "text")
     return NearDuplicates(docs.unionByName(chunks), shingle, least)
 
 
@@ -118,7 +134,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def _style_trees(spark: SparkSession, d: str):
     from lodestar.llm.markup import StyleTrees
 
-    docs = load(spark, d, "documents").withColumn("site", F.element_at(F.split("source", "/"), -1))
+    docs = load(spark, d, "documents", spread=True).withColumn("site", F.element_at(F.split("source", "/"), -1))
     return StyleTrees(docs, "doc_id", "text", "site")
 
 
@@ -134,14 +150,14 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from lodestar.llm.bpe import encode_column
 
-    return encode_column(load(spark, d, "documents"), "doc_id", "text")
+    return encode_column(load(spark, d, "documents", spread=True), "doc_id", "text")
 
 
 # -- problem 9: leaked evaluation texts ----------------------------------------------------------
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     from lodestar.llm.leaks import find_leaks
 
-    hits = find_leaks(load(spark, d, "documents"), "doc_id", "text", load(spark, d, "eval_items"), "item_id", "expected_answer")
+    hits = find_leaks(load(spark, d, "documents", spread=True), "doc_id", "text", load(spark, d, "eval_items"), "item_id", "expected_answer")
     return hits.select("doc_id", "item_id")
 
 
@@ -149,7 +165,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
     from lodestar.llm.pii import scan
 
-    return scan(load(spark, d, "documents"), "doc_id", "text")
+    return scan(load(spark, d, "documents", spread=True), "doc_id", "text")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -169,6 +185,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _P2_SQL + "select term, mark from m where mark is not null",
         "p2_counts": _P2_SQL + "select * from m",
+        "p2_dictionary": _P2_DICTIONARY,
         "p3_found": _P3_SQL + "select query_id, chunk_id from r where place <= 5",
         "p3_ranking": _P3_SQL + "select query_id, chunk_id, round(pc[1], 6) weakest, place from r",
     }

@@ -204,3 +204,21 @@ def build_from_history(spark: SparkSession, rows: DataFrame, key: str, tokens: s
     store.apply(rows.filter(F.col(stamp) <= cut), key, tokens, stamp)
     store.apply(rows.filter((F.col(stamp) > cut) | F.col(stamp).isNull()), key, tokens, stamp)
     return store
+
+
+def reconcile(stored: DataFrame, records: DataFrame, key: str, tokens: str, stamp: str, part: str = "shard", term: str = "term", df: str = "df") -> DataFrame:
+    """(part, term, stored, true, state): a stored dictionary against the counts of the valid records of each part.
+
+    ``state`` is ok, stale (another count), unset (no count), repeated (several rows, whatever they say), missing (a
+    term without a row) or left_over (a row whose term no record holds).  A key belongs to the part of its valid
+    row; ``stored`` is the largest of the stored counts; null terms and keys are ignored.
+    """
+    w = Window.partitionBy(key).orderBy(F.col(stamp).desc_nulls_last(), F.xxhash64(tokens, part).desc())
+    valid = records.select(key, part, stamp, tokens).filter(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
+    terms = valid.select(F.col(part).alias("p"), F.explode(F.array_distinct(tokens)).alias("t")).filter("t is not null and t <> ''").groupBy("p", "t").agg(F.count(F.lit(1)).alias("true"))
+    s = stored.select(F.col(part).alias("sp"), F.col(term).alias("st"), F.col(df).alias("d")).filter("st is not null").groupBy("sp", "st").agg(F.max("d").alias("stored"), F.count(F.lit(1)).alias("n"))
+    j = terms.join(s, terms.p.eqNullSafe(F.col("sp")) & (F.col("t") == F.col("st")), "full_outer")
+    state = (
+        F.when(F.col("n").isNull(), "missing").when(F.col("true").isNull(), "left_over").when(F.col("n") > 1, "repeated").when(F.col("stored").isNull(), "unset").when(F.col("stored") != F.col("true"), "stale").otherwise("ok")
+    )
+    return j.select(F.coalesce("p", "sp").alias(part), F.coalesce("t", "st").alias(term), "stored", F.coalesce("true", F.lit(0)).cast("bigint").alias("true"), state.alias("state"))

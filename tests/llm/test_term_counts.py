@@ -76,3 +76,13 @@ def test_history_in_two_batches_and_marks(spark):
     assert (got(s), s.n_records()) == brute(ROWS)
     marks = {r.term: r.mark for r in s.marked(rare_at_most=1, common_share=0.3).collect()}
     assert marks == {"x": "common", "w": "rare", "y": "rare"}
+
+
+def test_reconcile_names_what_is_wrong(spark):
+    from lodestar.llm.term_counts import reconcile
+
+    chunks = spark.createDataFrame([("1", "a", ["x", "y", "x", None, ""], 1), ("1", "b", ["x", "z"], 2), ("2", "a", ["y", "w", "v"], 1), ("3", "a", None, 1), (None, "a", ["q"], 1)], "id string, shard string, toks array<string>, at int")
+    meta = spark.createDataFrame([("b", "x", 1), ("b", "z", 7), ("a", "y", None), ("a", "w", 1), ("a", "w", 1), ("a", "gone", 3), ("a", None, 1)], "shard string, term string, df bigint")
+    got = {(r.shard, r.term): (r.state, r.stored, r.true) for r in reconcile(meta, chunks, "id", "toks", "at").collect()}
+    assert got == {("b", "x"): ("ok", 1, 1), ("b", "z"): ("stale", 7, 1), ("a", "y"): ("unset", None, 1), ("a", "w"): ("repeated", 1, 1), ("a", "v"): ("missing", None, 1), ("a", "gone"): ("left_over", 3, 0)}
+    assert reconcile(meta.limit(0), chunks.limit(0), "id", "toks", "at").count() == 0
