@@ -205,6 +205,12 @@ class Index:
         hit.write.mode("overwrite").parquet(f"{self.path}/deleted/layer={k}")
         return self.spark.read.parquet(f"{self.path}/deleted/layer={k}").count()
 
+    def adopt(self, n: int, total_len: int, batch: str) -> None:
+        """Publishes layer 1, whose tables another job has written, as the first version."""
+        if self.state["layers"]:
+            return
+        self._publish(layers=[1], next=2, batches=[batch], figures={"1": [n, total_len]})
+
     def delete(self, ids: DataFrame, column: str = "id") -> int:
         """Tombstones for passage ids or document ids."""
         k = self.state["next"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -59,7 +60,7 @@ def near_dedup(sigs: DataFrame, key: str, radius: int = 3, bits: int = 16) -> Da
 
     The kept set depends on order, so a bucket is one sequential scan; equal signatures are collapsed
     to their first key before the buckets are formed, which bounds a bucket by its distinct
-    signatures and keeps copies out of it.
+    signatures and keeps copies out of it.  Buckets of one need no scan and stay out of Python.
     """
     kt = sigs.schema[key].dataType.simpleString()
     first = sigs.groupBy("sig").agg(F.min(key).alias(key)).withColumn("bucket", F.shiftrightunsigned("sig", 64 - bits))
@@ -75,16 +76,25 @@ def near_dedup(sigs: DataFrame, key: str, radius: int = 3, bits: int = 16) -> Da
                 n, keep[i] = n + 1, True
         return pdf.loc[keep, [key, "sig"]]
 
-    return first.groupBy("bucket").applyInPandas(greedy, f"`{key}` {kt}, sig bigint")
+    sized = first.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
+    alone = sized.filter("n = 1").select(key, "sig")
+    return alone.unionByName(sized.filter("n > 1").drop("n").groupBy("bucket").applyInPandas(greedy, f"`{key}` {kt}, sig bigint"))
 
 
-def near_pairs(sigs: DataFrame, key: str, radius: int = 3) -> DataFrame:
-    """(a, b, distance) of distinct signatures within the radius: radius + 1 blocks of bits, one of which must agree."""
+def near_pairs(sigs: DataFrame, key: str, radius: int = 3, agree: int = 3) -> DataFrame:
+    """(a, b, distance) of distinct signatures within the radius.
+
+    The bits are cut into radius + ``agree`` blocks: within the radius ``agree`` of them are equal, so pairs meet in the
+    bucket of one choice of blocks.  With three blocks of about eleven bits a bucket's key has 32 bits, and buckets
+    stay small among billions of signatures.
+    """
     first = sigs.groupBy("sig").agg(F.min(key).alias(key))
-    n = radius + 1
-    width = 64 // n
-    blocks = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("sig", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for i in range(n)])
-    x = first.select(key, "sig", F.explode(blocks).alias("b"))
+    n = radius + agree
+    cuts = [64 * i // n for i in range(n + 1)]
+    value = lambda i: F.shiftrightunsigned("sig", cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
+    choices = list(combinations(range(n), agree))
+    buckets = F.array(*[F.xxhash64(F.lit(k), *[value(i) for i in c]) for k, c in enumerate(choices)])
+    x = first.select(key, "sig", F.explode(buckets).alias("b"))
     a, b = x.select(F.col(key).alias("a"), F.col("sig").alias("sa"), "b"), x.select(F.col(key).alias("c"), F.col("sig").alias("sb"), "b")
     d = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))
     return a.join(b, "b").filter(F.col("a") < F.col("c")).withColumn("distance", d).filter(F.col("distance") <= radius).select("a", F.col("c").alias("b"), "distance").distinct()

@@ -103,6 +103,30 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p, _ = _fs(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def list_suffixes(spark: SparkSession, path: str) -> set[str]:
+    """The suffixes, in lower case, of the files in a folder and below it."""
+    fs, p, _ = _fs(spark, path)
+    out, files = set(), fs.listFiles(p, True)
+    while files.hasNext():
+        out.add(files.next().getPath().getName().rpartition(".")[2].lower())
+    return out
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a folder; what was at the target is deleted first."""
+    fs, a, jvm = _fs(spark, source)
+    b = jvm.org.apache.hadoop.fs.Path(target)
+    fs.delete(b, True)
+    fs.mkdirs(b.getParent())
+    if not fs.rename(a, b):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     fs, p, _ = _fs(spark, path)
     fs.delete(p, True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RAW_PAGE = ["id", "url", "title", "text", "links"]
@@ -41,3 +41,31 @@ def write_pending(failed: DataFrame, path: str) -> None:
     spark = failed.sparkSession
     stored = spark.read.schema("url string").json(path) if path_exists(spark, path) else failed.limit(0)
     materialize(pending(stored, failed), "pending").write.mode("overwrite").json(path)
+
+
+def write_clicks(clicks: DataFrame, path: str, query: str = "query", doc: str = "doc_id") -> None:
+    """Clicks as events added to a folder: query in lower case and trimmed, document, time.  Clicks without a document are dropped."""
+    q = F.trim(F.lower(F.coalesce(F.col(query), F.lit(""))))
+    rows = clicks.select(q.alias("query"), F.col(doc).cast("string").alias("doc_id"), F.current_timestamp().alias("at"))
+    append_json(rows.filter("doc_id is not null and doc_id <> ''"), path)
+
+
+def read_clicks(spark: SparkSession, path: str) -> DataFrame:
+    """(query, doc_id, at), to be counted by ``operators.feedback.click_counts``; none if nothing was written."""
+    from lodestar.runtime import path_exists
+
+    schema = "query string, doc_id string, at timestamp"
+    return spark.read.schema(schema).json(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def sync_pending(spark: SparkSession, path: str, pages: DataFrame) -> DataFrame:
+    """(id, text) of the pending URLs that ``pages`` (url, text) now has; the others stay pending."""
+    from lodestar.runtime import materialize, path_exists
+
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], "id string, text string")
+    waiting = materialize(spark.read.schema("url string").json(path).distinct(), "waiting")
+    have = pages.filter(F.trim(F.coalesce("text", F.lit(""))) != "").select("url", "text").dropDuplicates(["url"])
+    found = materialize(waiting.join(have, "url"), "found")
+    waiting.join(found.select("url"), "url", "left_anti").write.mode("overwrite").json(path)
+    return found.select(F.col("url").alias("id"), "text")

@@ -18,6 +18,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from lodestar.functions.text import clean_ws, is_namespace_title, is_redirect, sentences, slugify
 from lodestar.functions.text import poly31
 
+#: Bytes of records a task gathers before it hands them on.
+_FLUSH = 8 << 20
 DOCUMENT = StructType([StructField("id", StringType()), StructField("text", StringType())])
 
 
@@ -63,41 +65,73 @@ def _fields(v: Column) -> tuple[Column, Column, Column]:
     return get("id"), F.coalesce(get("text"), get("content"), get("body")), meta
 
 
-def json_any(spark: SparkSession, path: str) -> DataFrame:
+def json_any(spark: SparkSession, path: str, reader=None) -> DataFrame:
     """(id, text, meta) from an array of objects, one object, or an object of documents by id.
 
     Text is text, content or body; meta is meta or metadata; a document without id gets the file's
     name and its place; documents without text are dropped.
     """
-    raw = spark.read.text(path, wholetext=True).select(_file_name().alias("file"), F.try_parse_json(F.regexp_replace("value", "^﻿", "")).alias("v")).filter("v is not null")
+    raw = (reader or spark.read).text(path, wholetext=True).select(_file_name().alias("file"), F.try_parse_json(F.regexp_replace("value", "^﻿", "")).alias("v")).filter("v is not null")
     kind = F.substring(F.schema_of_variant("v"), 1, 5)
     one_id, one_text, one_meta = _fields(F.col("v"))
     single = raw.filter((kind == "OBJEC") & one_text.isNotNull()).select("file", F.lit(0).alias("pos"), one_id.alias("id"), one_text.alias("text"), one_meta.alias("meta"))
     many = raw.filter(~((kind == "OBJEC") & one_text.isNotNull()))
-    many.createOrReplaceTempView("_lodestar_variants")
-    ex = spark.sql("select file, e.pos, e.key, e.value from _lodestar_variants, lateral variant_explode(v) e")
+    ex = many.alias("m").lateralJoin(spark.tvf.variant_explode(F.col("m.v").outer()).alias("e")).select("file", "e.pos", "e.key", "e.value")
     i, t, m = _fields(F.col("value"))
     rest = ex.select("file", "pos", F.coalesce(i, "key").alias("id"), F.coalesce(t, F.when(F.schema_of_variant("value") == "STRING", F.try_variant_get("value", "$", "string"))).alias("text"), m.alias("meta"))
     out = single.unionByName(rest).filter("text is not null and trim(text) <> ''")
     return out.select(F.coalesce("id", F.concat_ws("-", "file", "pos")).alias("id"), "text", "meta")
 
 
-def json_lines_any(spark: SparkSession, path: str, source: str = "doc") -> DataFrame:
+def json_lines_any(spark: SparkSession, path: str, source: str = "doc", reader=None) -> DataFrame:
     """Lines with the same lenient fields; bad lines are dropped; ids count kept rows only, per file in line order."""
     from pyspark.sql.window import Window
 
-    raw = spark.read.text(path).select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("o"), F.try_parse_json(F.regexp_replace("value", "^﻿", "")).alias("v")).filter("v is not null")
+    raw = (reader or spark.read).text(path).select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("o"), F.try_parse_json(F.regexp_replace("value", "^﻿", "")).alias("v")).filter("v is not null")
     i, t, m = _fields(F.col("v"))
     kept = raw.select("f", "o", i.alias("id"), t.alias("text"), m.alias("meta")).filter("text is not null and trim(text) <> ''")
     n = F.row_number().over(Window.partitionBy("f").orderBy("o")) - 1
     return kept.select(F.coalesce("id", F.concat(F.lit(source + "-"), n.cast("string"))).alias("id"), "text", "meta")
 
 
+def _files(spark: SparkSession, path: str, suffix: str):
+    return spark.read.option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", "true")
+
+
+def _named_texts(df: DataFrame) -> DataFrame:
+    name = F.url_decode(_file_name())
+    return df.select(name.alias("id"), F.col("value").alias("text"), F.create_map(F.lit("source"), name).alias("meta"))
+
+
+def raw_dir(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(id, text, meta) of the .txt and .json files of a folder and its sub-folders; with ``lines`` of .jsonl files too.  Other files are passed over."""
+    from lodestar.runtime import list_suffixes
+
+    there = list_suffixes(spark, path)
+    parts = []
+    if "txt" in there:
+        parts.append(_named_texts(_files(spark, path, "txt").text(path, wholetext=True)))
+    if "json" in there:
+        parts.append(json_any(spark, path, _files(spark, path, "json")))
+    if lines and "jsonl" in there:
+        parts.append(json_lines_any(spark, path, reader=_files(spark, path, "jsonl")))
+    if not parts:
+        return spark.createDataFrame([], "id string, text string, meta map<string,string>")
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def from_path(spark: SparkSession, path: str) -> DataFrame:
-    """(id, text, meta) by suffix."""
+    """(id, text, meta) by suffix; of a folder all files of known kinds."""
+    from lodestar.runtime import is_folder
+
     low = path.lower()
+    if is_folder(spark, path):
+        return raw_dir(spark, path, lines=True)
     if low.endswith(".txt"):
-        return text_file(spark, path).withColumn("meta", F.lit(None).cast("map<string,string>"))
+        return _named_texts(spark.read.text(path, wholetext=True))
     if low.endswith(".jsonl"):
         return json_lines_any(spark, path)
     if low.endswith(".json"):
@@ -168,11 +202,17 @@ def clean_wiki(df: DataFrame, key: str, text: str, out: str = "clean") -> DataFr
 
 
 
+def cut_bytes(text: Column, n: int) -> Column:
+    """The first n bytes in UTF-8, without a character that is cut in two."""
+    cut = F.make_valid_utf8(F.substring(text.cast("binary"), 1, n).cast("string"))
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.regexp_replace(cut, "\ufffd+$", ""))
+
+
 def wiki_xml(spark: SparkSession, path: str, limit: int | None = None, core: bool = False, n_sentences: int = 2, max_chars: int = 900) -> DataFrame:
     """(id, text) of the pages of a dump, compressed or not: id ``wiki:<page>``, text title and clean body.
 
     With ``core`` namespace pages, pages without id and redirects are left out, and the body is its
-    first sentences, cut at ``max_chars``, with quote marks of emphasis removed.
+    first sentences, cut at ``max_chars`` bytes of UTF-8 (a character cut in two is dropped), with quote marks of emphasis removed.
     """
     raw = spark.read.format("xml").option("rowTag", "page").schema("title string, id string, revision struct<text string>").load(path)
     pages = raw.select(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("id", F.lit("")).alias("pid"), F.coalesce("revision.text", F.lit("")).alias("body"))
@@ -182,7 +222,7 @@ def wiki_xml(spark: SparkSession, path: str, limit: int | None = None, core: boo
     text = F.col("clean")
     if core:
         text = F.regexp_replace(text, "'{2,3}", "")
-        text = F.substring(F.array_join(F.slice(sentences(text), 1, n_sentences), " "), 1, max_chars)
+        text = cut_bytes(F.array_join(F.slice(sentences(text), 1, n_sentences), " "), max_chars)
     out = clean.select(F.concat(F.lit("wiki:"), "k.pid").alias("id"), F.concat_ws("\n", "k.title", text).alias("text")).filter(F.trim("text") != "")
     return out if limit is None else out.limit(limit)
 
@@ -251,11 +291,25 @@ def html_documents(df: DataFrame, url: str, html: str) -> DataFrame:
 
 
 # -- WARC --------------------------------------------------------------------------------------
-def warc_records(data: bytes) -> Iterator[tuple[str, str, bytes]]:
-    """(type, target URI, payload) of every record; gzip members are read one after another."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    f = io.BytesIO(data)
+def _opened(uri: str):
+    """A stream over a file of any file system the cluster's Arrow knows; unpacked if it is gzip, one member after another."""
+    import pyarrow.fs
+
+    fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+    f = io.BufferedReader(fs.open_input_stream(path, compression=None), 1 << 20)
+    return gzip.GzipFile(fileobj=f) if f.peek(2)[:2] == b"\x1f\x8b" else f
+
+
+def _paths(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of the files: their content is not read here, tasks open them as streams."""
+    return spark.read.format("binaryFile").load(path).select("path")
+
+
+def warc_records(data) -> Iterator[tuple[str, str, bytes]]:
+    """(type, target URI, payload) of every record of an archive, given as bytes or as a stream; one record is held at a time."""
+    if isinstance(data, bytes):
+        data = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    f = data
     while line := f.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -274,18 +328,23 @@ def split_http(payload: bytes) -> bytes:
 
 
 def warc(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Documents of the response records of archives, one task per file."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """Documents of the response records of archives.  A task streams its files and hands on a few records at a time, so the size of an archive does not matter."""
+    files = _paths(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda r: pa.RecordBatch.from_arrays([pa.array([x[0] for x in r], pa.string()), pa.array([x[1] for x in r], pa.string())], names=["url", "html"])
         for b in batches:
-            for c in b.column(0):
-                urls, pages = [], []
-                for kind, uri, payload in warc_records(c.as_py()):
-                    if kind == "response":
-                        urls.append(uri or "unknown")
-                        pages.append(split_http(payload).decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(pages, pa.string())], names=["url", "html"])
+            for uri in b.column(0).to_pylist():
+                rows, size = [], 0
+                with _opened(uri) as f:
+                    for kind, target, payload in warc_records(f):
+                        if kind == "response":
+                            rows.append((target or "unknown", split_http(payload).decode("utf-8", "replace")))
+                            size += len(payload)
+                            if size > _FLUSH:
+                                yield out(rows)
+                                rows, size = [], 0
+                yield out(rows)
 
     out = html_documents(files.mapInArrow(run, "url string, html string"), "url", "html")
     return out if limit is None else out.limit(limit)
@@ -328,9 +387,9 @@ def _packed(b: bytes, signed: bool = False) -> list[int]:
     return out
 
 
-def osm_elements(data: bytes) -> Iterator[tuple[str, int, dict[str, str]]]:
-    """(kind, id, tags) of the nodes and ways in a PBF file; other elements are passed over."""
-    f = io.BytesIO(data)
+def osm_elements(data) -> Iterator[tuple[str, int, dict[str, str]]]:
+    """(kind, id, tags) of the nodes and ways in a PBF file, given as bytes or as a stream; other elements are passed over.  One block is held at a time."""
+    f = io.BytesIO(data) if isinstance(data, bytes) else data
     while len(size := f.read(4)) == 4:
         head = dict(_message(f.read(struct.unpack(">I", size)[0])))
         blob = dict(_message(f.read(head[3])))
@@ -369,14 +428,22 @@ def osm_text(tags: dict[str, str]) -> str | None:
 
 
 def osm_pbf(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Named nodes and ways as documents, one task per file."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """Named nodes and ways as documents.  A task streams its files block by block."""
+    files = _paths(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda r: pa.RecordBatch.from_arrays([pa.array([x[0] for x in r], pa.string()), pa.array([x[1] for x in r], pa.string())], names=["id", "text"])
         for b in batches:
-            for c in b.column(0):
-                rows = [(f"osm:{kind}:{i}", t) for kind, i, tags in osm_elements(c.as_py()) if (t := osm_text(tags)) is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["id", "text"])
+            for uri in b.column(0).to_pylist():
+                rows = []
+                with _opened(uri) as f:
+                    for kind, i, tags in osm_elements(f):
+                        if (t := osm_text(tags)) is not None:
+                            rows.append((f"osm:{kind}:{i}", t))
+                            if len(rows) >= 10_000:
+                                yield out(rows)
+                                rows = []
+                yield out(rows)
 
     out = files.mapInArrow(run, "id string, text string")
     return out if limit is None else out.limit(limit)

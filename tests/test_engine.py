@@ -132,3 +132,13 @@ def test_search_reads_its_own_terms_only(spark, index):
 def test_debug_breaks_the_score_down(spark, index):
     rows = Engine(index).debug("what is bm25")
     assert rows[0]["id"] == "1::chunk1" and set(rows[0]) == {"id", "score", "bm25", "semantic", "exact", "phrase", "proximity"}
+
+
+def test_search_over_shards(spark, tmp_path):
+    root = str(tmp_path / "packs")
+    packs.pack(spark, spark.createDataFrame(DOCS, "doc_id string, text string"), root, per_shard=2)
+    e = packs.ShardedEngine(spark, root)
+    assert len(e.paths) == 3 and len(e.shards_of("what is bm25")) == 3 and len(e.shards_of("the semantic and keyword scores of it")) == 2
+    out = e.search("what is bm25")
+    assert out["results"][0]["id"] == "1::chunk1" and out["answer"]["source"] == "1::chunk1" and len({r["id"] for r in out["results"]}) == len(out["results"])
+    assert packs.ShardedEngine(spark, str(tmp_path / "no")).search("x") == {"answer": None, "answers": [], "results": []}

@@ -95,3 +95,47 @@ def test_crawl_follows_relative_links_and_every_page_comes_out(spark, tmp_path):
     from lodestar.plans.catalog import queries
 
     assert {r.url for r in queries()["src_crawl"](spark, str(tmp_path)).collect()} == {u for u, _ in got}
+
+
+def test_folders_and_raw_dir(spark, tmp_path):
+    (tmp_path / "f/sub").mkdir(parents=True)
+    (tmp_path / "f/a b.txt").write_text("one")
+    (tmp_path / "f/sub/b.json").write_text(json.dumps([{"id": "2", "text": "two"}]))
+    (tmp_path / "f/c.jsonl").write_text('{"id": "3", "text": "three"}\n')
+    (tmp_path / "f/d.md").write_text("no")
+    got = {r.id: (r.text, r.meta) for r in readers.from_path(spark, str(tmp_path / "f")).collect()}
+    assert got == {"a b.txt": ("one", {"source": "a b.txt"}), "2": ("two", None), "3": ("three", None)}
+    assert {r.id for r in readers.raw_dir(spark, str(tmp_path / "f")).collect()} == {"a b.txt", "2"}
+    (tmp_path / "empty").mkdir()
+    assert readers.from_path(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_bytes_are_cut_between_characters(spark):
+    rows = spark.createDataFrame([("ééé",), ("abc",), ("aé€b",)], "t string")
+    from pyspark.sql import functions as F
+
+    assert [r[0] for r in rows.select(readers.cut_bytes(F.col("t"), 3)).collect()] == ["é", "abc", "aé"]
+
+
+def test_an_archive_of_many_records_is_streamed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "_FLUSH", 1000)
+    rec = lambda i: (b := f"HTTP/1.1 200 OK\r\n\r\n<p>page {i} {'x' * 200}</p>".encode()) and f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://h/{i}\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n"
+    for k in range(2):
+        (tmp_path / f"{k}.warc.gz").write_bytes(b"".join(gzip.compress(rec(100 * k + i)) for i in range(40)))
+    got = readers.warc(spark, str(tmp_path)).collect()
+    assert len(got) == 80 and len({r.id for r in got}) == 80
+
+
+def test_clicks_and_pending(spark, tmp_path):
+    from lodestar import sinks
+    from lodestar.operators import feedback
+
+    clicks = spark.createDataFrame([(" Old Mill", "1"), ("old mill", "1"), (None, "2"), ("x", None)], "query string, doc_id string")
+    sinks.write_clicks(clicks, str(tmp_path / "c"))
+    sinks.write_clicks(clicks, str(tmp_path / "c"))
+    g, q = feedback.click_counts(sinks.read_clicks(spark, str(tmp_path / "c")), "query", "doc_id")
+    assert {r.doc_id: r.clicks for r in g.collect()} == {"1": 4, "2": 2} and q.filter("query = 'old mill'").first().clicks == 4
+    sinks.write_pending(spark.createDataFrame([("http://a",), ("http://b",)], "url string"), str(tmp_path / "p"))
+    pages = spark.createDataFrame([("http://a", "text"), ("http://b", " ")], "url string, text string")
+    assert [tuple(r) for r in sinks.sync_pending(spark, str(tmp_path / "p"), pages).collect()] == [("http://a", "text")]
+    assert sinks.sync_pending(spark, str(tmp_path / "p"), pages).count() == 0 and sinks.sync_pending(spark, str(tmp_path / "none"), pages).count() == 0
