@@ -809,6 +809,122 @@ def src_json_any(s, d):
     return readers.json_any(s, folder)
 
 
+# readers over whole tables, written out in the form that is read
+def _texts(s, d):
+    return _docs(s, d).filter("text is not null").select(F.col("doc_id").cast("string").alias("id"), "text")
+
+
+@query("select cast(doc_id as varchar) id, text from documents where text is not null")
+def src_jsonl(s, d):
+    from lodestar.sources import readers
+
+    folder = scratch_path(s, "jsonl")
+    _texts(s, d).write.json(folder)
+    return readers.json_lines(s, folder)
+
+
+@query("select cast(doc_id as varchar) id, text, source from documents where trim(text, chr(32)) <> ''")
+def src_js_jsonl(s, d):
+    """The lenient reader: text under another name, meta under another name."""
+    from lodestar.sources import readers
+
+    folder = scratch_path(s, "jsonl")
+    x = _docs(s, d).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body"), F.create_map(F.lit("source"), "source").alias("metadata"))
+    x.write.json(folder)
+    return readers.json_lines_any(s, folder).select("id", "text", F.col("meta")["source"].alias("source"))
+
+
+def _nations(s, d):
+    return load(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.format_string("The nation %s lies in region %s.", "n_name", "n_regionkey").alias("text"))
+
+
+@query("select cast(n_nationkey as varchar) || '.txt' id, ('The nation ' || n_name || ' lies in region ' || n_regionkey || '.') as text from nation")
+def src_text_dir(s, d):
+    from lodestar.runtime import write_small_text
+    from lodestar.sources import readers
+
+    folder = scratch_path(s, "texts")
+    for r in _nations(s, d).collect():  # 25 rows at any scale
+        write_small_text(s, f"{folder}/{r.id}.txt", r.text)
+    return readers.text_dir(s, folder)
+
+
+@query("select cast(n_nationkey as varchar) id, ('The nation ' || n_name || ' lies in region ' || n_regionkey || '.') as text, null as source from nation where n_nationkey % 2 = 0 union all select cast(n_nationkey as varchar) || '.txt', ('The nation ' || n_name || ' lies in region ' || n_regionkey || '.'), cast(n_nationkey as varchar) || '.txt' from nation where n_nationkey % 2 = 1")
+def src_js_rawdir(s, d):
+    """A folder of JSON documents and text files; JSON lines in it are not read back."""
+    from lodestar.runtime import write_small_text
+    from lodestar.sources import readers
+
+    folder = scratch_path(s, "raw")
+    rows = _nations(s, d).collect()  # 25 rows at any scale
+    for r in rows:
+        if int(r.id) % 2:
+            write_small_text(s, f"{folder}/{r.id}.txt", r.text)
+    write_small_text(s, f"{folder}/all.json", json.dumps([{"id": r.id, "text": r.text} for r in rows if int(r.id) % 2 == 0]))
+    write_small_text(s, f"{folder}/more.jsonl", json.dumps({"id": "x", "text": "not read"}))
+    return readers.raw_dir(s, folder).select("id", "text", F.col("meta")["source"].alias("source"))
+
+
+@query("select cast(n_nationkey as varchar) id, ('The nation ' || n_name || ' lies in region ' || n_regionkey || '.') as text from nation")
+def src_json_array(s, d):
+    from lodestar.runtime import write_small_text
+    from lodestar.sources import readers
+
+    folder = scratch_path(s, "array")
+    write_small_text(s, f"{folder}/a.json", json.dumps([{"id": r.id, "text": r.text} for r in _nations(s, d).collect()]))  # 25 rows at any scale
+    return readers.json_auto(s, f"{folder}/a.json")
+
+
+@query("select 'wiki:' || n_nationkey id, n_name || chr(10) || trim(regexp_replace(('The nation ' || n_name || ' lies in region ' || n_regionkey || '.'), ' +', ' ', 'g')) as text from nation")
+def src_wiki_xml(s, d):
+    from lodestar.sources import readers
+
+    folder = scratch_path(s, "wiki")
+    x = _nations(s, d).select(F.col("name").alias("title"), "id", F.struct(F.concat(F.lit("{{Box|x={{y}}}}"), F.regexp_replace("text", "^(\\w+)", "[[Page|$1]]")).alias("text")).alias("revision"))
+    x.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(folder)
+    return readers.wiki_xml(s, folder)
+
+
+@query("select 'wiki:' || n_nationkey id, n_name || chr(10) || substr(trim(regexp_replace(('The nation ' || n_name || ' lies in region ' || n_regionkey || '.'), ' +', ' ', 'g')), 1, 40) as text from nation where n_nationkey % 5 <> 0")
+def src_wiki_core(s, d):
+    """Namespace pages and redirects are left out, the lead is cut."""
+    from lodestar.sources import readers
+
+    folder = scratch_path(s, "wiki")
+    body = F.when(F.col("id") % 10 == 5, F.concat(F.lit("#REDIRECT [[X]] "), "text")).otherwise(F.col("text"))
+    x = _nations(s, d).select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("Category:"), "name")).otherwise(F.col("name")).alias("title"), "id", F.struct(body.alias("text")).alias("revision"))
+    x.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(folder)
+    return readers.wiki_xml(s, folder, core=True, n_sentences=100, max_chars=40)
+
+
+@query("select 'web:' || md5('http://n.test/' || n_nationkey) id, n_name || ' ' || trim(regexp_replace(('The nation ' || n_name || ' lies in region ' || n_regionkey || '.'), ' +', ' ', 'g')) as text from nation")
+def src_warc(s, d):
+    import gzip
+
+    from lodestar.runtime import write_small_bytes
+    from lodestar.sources import readers
+
+    folder, parts = scratch_path(s, "warc"), []
+    for r in _nations(s, d).collect():  # 25 rows at any scale
+        for kind in ("request", "response"):
+            body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<html><head><title>{r.name}</title></head><body><p>{r.text}</p></body></html>".encode()
+            head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: http://n.test/{r.id}\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+            parts.append(gzip.compress(head + body + b"\r\n\r\n"))
+    write_small_bytes(s, f"{folder}/a.warc.gz", b"".join(parts))
+    return readers.warc(s, folder)
+
+
+@query("with p as (select lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)) host, url from raw_pages) select distinct url from p where host not like 'm.%' and not contains(url, '.html')")
+def src_robots(s, d):
+    """Hosts beginning with m. forbid everything; a rule is a prefix of the path."""
+    from lodestar.sources import crawl
+
+    u = load(s, d, "raw_pages").select("url").filter("url is not null").distinct()
+    hosts = u.select(T.url_host("url").alias("host")).distinct().filter("host like 'm.%'")
+    rules = crawl.robots_rules(hosts.select("host", F.lit("User-agent: *\nDisallow: /  # all\n").alias("body")))
+    return crawl.allowed(u, rules).filter("not contains(url, '.html')")
+
+
 @query()
 def src_html_doc(s, d):
     from lodestar.sources import readers
@@ -817,6 +933,15 @@ def src_html_doc(s, d):
     return readers.html_documents(p, "url", "html")
 
 
+@query("select regexp_replace(url, '#.*$', '') url, 0 depth from raw_pages where trim(coalesce(text, ''), ' ') <> '' and url is not null group by 1")
+def src_crawl_seeded(s, d):
+    """Every page is a seed: all that have a text come out at depth 0, once."""
+    from lodestar.sources import crawl
+
+    p = load(s, d, "raw_pages")
+    return crawl.crawl(p, p.select("url"), limit=None).select(T.normalize_url("url").alias("url"), "depth")
+
+
 @query()
 def src_crawl(s, d):
     from lodestar.sources import crawl

@@ -134,11 +134,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 def write_small_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small control file: whole under another name, then renamed over the old one in one step."""
+    write_small_bytes(spark, path, text.encode("utf-8"))
+
+
+def write_small_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     fs, p, jvm = _fs(spark, path)
     tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.tmp-{uuid.uuid4().hex[:8]}")
     out = fs.create(tmp, True)
     try:
-        out.write(bytearray(text.encode("utf-8")))
+        out.write(bytearray(data))
     finally:
         out.close()
     rename = jvm.org.apache.hadoop.fs.Options.Rename
