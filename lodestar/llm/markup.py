@@ -66,7 +66,7 @@ _WIKI_HEAD = re.compile(r"^(={2,6})[ \t]*([^=\n].*?)[ \t]*\1[ \t]*\r?$", re.M)
 _WIKI_QUOTE = re.compile(r"'{2,5}(?=[^\s'])([^\n]*?[^\s'])'{2,5}")
 _WIKI_TABLE = re.compile(r"^\{\|.*?(?:^\|\}|\Z)", re.M | re.S)
 _WIKI_EXT = re.compile(r"(?<!\[)\[(https?://[^\s\[\]]+)(?:\s([^\[\]\n]*))?\](?![\](])")
-_LATEX_QUOTE = re.compile(r"``([^`'\n]{1,200})''")
+_LATEX_QUOTE = re.compile(r"``([^`'\n]+)''")
 _LATEX_CMD = re.compile(rf"(?<![\w:\\])\\({_COMMANDS})(?![A-Za-z])\*?")
 _LATEX_HEAD = re.compile(r"\\(?:part|chapter|(?:sub){0,2}section|paragraph)\*?\{([^{}\n]*)\}")
 _LATEX_ENV = re.compile(r"\\(?:begin|end)\{[A-Za-z*]+\}(?:\{[^{}\n]*\}|\[[^\]\n]*\])?")
@@ -75,7 +75,7 @@ _LATEX_WRAP = re.compile(r"\\(?:text(?:bf|it|tt|sc|rm)|emph|underline|title|auth
 _MD_HEAD = re.compile(r"(?:\A|(?<=\n))(#{1,6}) ([^\n]*?)(?: #+)?[ \t]*\r?(?=\n|\Z)")
 _MD_SETEXT = re.compile(r"^([^\s|>#=\-][^\n]*)\n(={3,}|-{3,})[ \t]*\r?$", re.M)
 _MD_BOLD = re.compile(r"(?<![\w*])\*\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*\*(?![\w*])|(?<!\w)__(?=[^\s_])([^\n]+?)(?<=[^\s_])__(?!\w)")
-_MD_EM = re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]{1,120}?)(?<=[^\s*])\*(?![\w*])|(?<![\w_])_(?=[^\s_])([^_\n]{1,120}?)(?<=[^\s_])_(?![\w_])")
+_MD_EM = re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*(?![\w*])|(?<![\w_])_(?=[^\s_])([^_\n]+?)(?<=[^\s_])_(?![\w_])")
 _MD_STRIKE = re.compile(r"~~(?=[^\s~])([^~\n]+?)~~")
 _MD_CODE = re.compile(r"(?<![`\w])`([^`\n]+)`(?![`\w])")
 _MD_IMAGE = re.compile(r"!\[([^\[\]\n]*)\]\([^()\s]*(?:\s+\"[^\"\n]*\")?\)")

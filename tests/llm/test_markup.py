@@ -69,3 +69,9 @@ def test_branches_leave_by_span(spark):
     assert got[12] == "# Town clay\n\nThe clay mill says Same banner."
     assert got[20] == got[23] and "Same banner" in got[20] and "All rights kept" in got[20]
     assert {x[3][0] for x in branches("<ul><li>a<li><b>b</b> c</ul>")} == {"ul", "ul/li", "ul/li/b", "ul/li/#text"}
+
+
+def test_long_emphasis_and_quotes_are_marks_too():
+    from lodestar.llm.markup import languages
+
+    assert languages("*" + "word " * 60 + "end* and more") == {"markdown"} and languages("``" + "word " * 80 + "end''") == {"latex"}
