@@ -29,7 +29,11 @@ def parser() -> argparse.ArgumentParser:
     add("build-index", "input", "index")
     add("load-index", "index")
     add("search-index", "index", "query")
+    add("rank-debug", "index", "query")
     add("merge-index", "index", "input")
+    add("update", "index", "input")
+    add("crawl", "snapshot", "seeds", "output", depth=3)
+    add("search-packs", "root", "query", lang="en")
     add("delete", "index", "ids")
     add("compact", "index")
     add("process", "input", "output")
@@ -53,6 +57,17 @@ def main(argv: list[str] | None = None) -> int:
         print(Index(spark, a.index).health().toJSON().first())
     elif a.command == "search-index":
         print(json.dumps(Engine(Index(spark, a.index)).search(a.query), ensure_ascii=False, indent=2))
+    elif a.command == "rank-debug":
+        print(json.dumps(Engine(Index(spark, a.index)).debug(a.query), ensure_ascii=False, indent=2))
+    elif a.command == "update":
+        print(Index(spark, a.index).update(docs(a.input)))
+    elif a.command == "crawl":
+        from lodestar.sources.crawl import crawl
+
+        pages = spark.read.parquet(a.snapshot)
+        crawl(pages, spark.read.text(a.seeds).withColumnRenamed("value", "url"), max_depth=a.depth).write.mode("overwrite").json(a.output)
+    elif a.command == "search-packs":
+        print(json.dumps(packs.ShardedEngine(spark, a.root, a.lang).search(a.query), ensure_ascii=False, indent=2))
     elif a.command == "merge-index":
         print(Index(spark, a.index).add(docs(a.input)))
     elif a.command == "delete":
@@ -83,10 +98,7 @@ def main(argv: list[str] | None = None) -> int:
         ix = Index(spark, scratch_path(spark, "eval"))
         ix.add(docs(a.input))
         q = spark.read.json(a.queries, multiLine=True).select(F.posexplode("queries").alias("query_id", "q")).select("query_id", F.col("q.query").alias("text"), F.col("q.relevant_docs").alias("relevant"), F.col("q.expected_answer").alias("expected"))
-        out = Engine(ix).search_many(q)
-        m = evaluation.report(evaluation.metrics(q, out["results"]))
-        acc = evaluation.answer_accuracy(q.join(out["answer"], "query_id", "left").select("query_id", "expected", "answer"))
-        print(m.crossJoin(acc.agg(F.avg("accuracy").alias("answer_accuracy"))).toJSON().first())
+        print(evaluation.measured(Engine(ix), q).toJSON().first())
     else:
         read = {"import-wiki": readers.wiki_xml, "import-wiki-core": lambda *x: readers.wiki_xml(*x, core=True), "import-osm": readers.osm_pbf, "import-warc": readers.warc}[a.command]
         read(spark, a.input, a.limit or None).write.mode("overwrite").json(a.output)

@@ -40,5 +40,25 @@ def report(per_query: DataFrame) -> DataFrame:
     return per_query.agg(F.count(F.lit(1)).alias("queries"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("rr").alias("mrr"))
 
 
+def measured(engine, queries: DataFrame, k: int = 10, timed: int = 100) -> DataFrame:
+    """One row of an engine over a stated set (query_id, text, relevant, expected): queries, precision, recall, mrr, answer_accuracy, avg_ms, max_ms, memory_bytes.
+
+    All queries run as one job.  Latency is that of single searches, of the first ``timed`` queries by id: each is a
+    job of its own, so a large set is timed in part.
+    """
+    import time
+
+    out = engine.search_many(queries)
+    acc = answer_accuracy(queries.join(out["answer"], "query_id", "left").select("query_id", "expected", "answer")).agg(F.avg("accuracy").alias("answer_accuracy"))
+    took = []
+    for r in queries.orderBy("query_id").limit(timed).select("text").collect():
+        began = time.perf_counter()
+        engine.search(r.text or "")
+        took.append(1000 * (time.perf_counter() - began))
+    size = engine.index.memory().agg(F.sum("bytes").alias("memory_bytes"))
+    row = report(metrics(queries, out["results"], k)).crossJoin(acc).crossJoin(size)  # one row each
+    return row.withColumns({"avg_ms": F.lit(sum(took) / max(1, len(took))), "max_ms": F.lit(max(took, default=0.0))})
+
+
 def worst(accuracy: DataFrame, n: int = 3) -> DataFrame:
     return accuracy.orderBy("accuracy", "query_id").limit(n)

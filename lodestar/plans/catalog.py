@@ -68,9 +68,9 @@ def _plan(s):
     return analyse(_qs(s))
 
 
-def _searched(s, d):
+def _searched(s, d, columns=("chunk_id", "text", "clean", "lang", "tokens")):
     """Passages written once, the postings of the queries' terms, and the analysed queries."""
-    c = materialize(_built(s, d).select("chunk_id", "text", "clean", "lang", "tokens"), "passages")
+    c = materialize(_built(s, d).select(*columns), "passages")
     plan = materialize(_plan(s), "plan")
     terms = sorted({r.t for r in plan.select(F.explode(F.concat("tokens", "expanded")).alias("t")).distinct().collect()})  # of a fixed set of queries
     return c, bm25.postings(c, terms=terms), plan
@@ -189,6 +189,19 @@ def fn_strhash(s, d):
     return _docs(s, d).select("source").distinct().select("source", T.poly31("source").alias("h"))
 
 
+_HEX = "(select distinct title, hex(encode(title)) hx from raw_pages where title is not null)"
+_HASHED = "list_reduce(list_prepend(cast({seed} as hugeint), list_transform(range(0, cast(length(hx) / 2 as bigint)), lambda i: cast({byte} as hugeint))), lambda h, b: (xor(h, b) * {prime}) % {wrap})"
+
+
+@query(
+    f"select title, cast({_HASHED.format(seed='2166136261', byte=R._byte('hx', 'i'), prime='16777619', wrap='4294967296')} as bigint) h32, lpad(upper(to_base(cast(x // 4294967296 as bigint), 16)), 8, '0') || lpad(upper(to_base(cast(x % 4294967296 as bigint), 16)), 8, '0') h64"
+    f" from (select *, {_HASHED.format(seed='14695981039346656037', byte=R._byte('hx', 'i'), prime='1099511628211', wrap='18446744073709551616')} x from {_HEX})"
+)
+def fn_fnv_bytes(s, d):
+    """Both hashes over the bytes of titles in several alphabets."""
+    return load(s, d, "raw_pages").select("title").filter("title is not null").distinct().select("title", T.fnv32("title").alias("h32"), T.fnv64("title").alias("h64"))
+
+
 @query("select crawl_id, md5(url) id, md5(url) = id as same from raw_pages")
 def fn_md5id(s, d):
     return load(s, d, "raw_pages").select("crawl_id", F.md5("url").alias("id"), (F.md5("url") == F.col("id")).alias("same"))
@@ -242,6 +255,12 @@ def fn_confidence(s, d):
     return x.groupBy(T.confidence_level("semantic").alias("level")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(T.confidence("semantic")), 3).alias("total"))
 
 
+@query("select query_id, chunk_id, epoch_us(scored_at) as at, round(greatest(0.0, least(1.0, semantic)), 9) c, case when semantic > 0.75 then 'high' when semantic > 0.5 then 'medium' else 'low' end as level from score_breakdown where semantic is not null and not isnan(semantic)")
+def fn_confidence_rows(s, d):
+    x = load(s, d, "score_breakdown").filter("semantic is not null and not isnan(semantic)")
+    return x.select("query_id", "chunk_id", F.unix_micros("scored_at").alias("at"), F.round(T.confidence("semantic"), 9).alias("c"), T.confidence_level("semantic").alias("level"))
+
+
 @query(f"select item_id, round(0.5 + case when len(q) = 0 then 0 else len(list_filter(q, lambda x: list_contains(a, x))) / len(q) end, 9) confidence from (select item_id, {S.tokens_web('query')} q, {S.tokens_web('expected_answer')} a from {_ITEMS})")
 def fn_confidence_js(s, d):
     x = _items(s, d).select("item_id", T.tokenize_web("query").alias("q"), T.tokenize_web("expected_answer").alias("a"))
@@ -299,6 +318,16 @@ def flt_namespace(s, d):
     return _docs(s, d).filter(T.is_namespace_title("text") | T.is_redirect("text") | c.startswith("list of ") | c.contains(" redirect ")).select("doc_id")
 
 
+_TITLED = "case crawl_id % 5 when 0 then 'Category:' || title when 1 then '#REDIRECT ' || title when 2 then 'List of ' || title else title end"
+
+
+@query(f"select crawl_id from (select crawl_id, {_TITLED} t from raw_pages) where regexp_matches(lower(t), '^({'|'.join(L.NAMESPACES)}):') or regexp_matches(lower(ltrim(t)), '^#?redirect')")
+def flt_namespace_titles(s, d):
+    """The filters of dumps over titles of which some are made pages of other namespaces and redirects."""
+    t = load(s, d, "raw_pages").select("crawl_id", F.expr(_TITLED).alias("t"))
+    return t.filter(T.is_namespace_title("t") | T.is_redirect("t")).select("crawl_id")
+
+
 @query("select doc_id, ext_id from documents where trim(coalesce(ext_id, '')) <> '' and not regexp_matches(ext_id, '^[0-9]+$') and contains(ext_id, ':')")
 def flt_pack_source(s, d):
     return _docs(s, d).filter("trim(coalesce(ext_id, '')) <> '' and not ext_id rlike '^[0-9]+$' and contains(ext_id, ':')").select("doc_id", "ext_id")
@@ -391,7 +420,7 @@ _TOPK = "r as (select *, row_number() over (partition by query_id order by round
 
 @query(f"with {S.built()}, {S.queries(QUERIES)}, {S.bm25()}, {_TOPK.format(k='chunk_id')} select query_id, chunk_id, round(score, 6) score, cast(rank as int) as rank from r where rank <= 10")
 def bm25_topk(s, d):
-    c, post, plan = _searched(s, d)
+    c, post, plan = _searched(s, d, ("chunk_id", "tokens"))
     hits = bm25.score(post, bm25.term_stats(post), bm25.corpus_stats(c), bm25.query_terms(plan))
     return bm25.top_k(hits, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
@@ -566,6 +595,12 @@ def ev_answers(s, d):
     return evaluation.answer_accuracy(pairs).select(F.col("query_id").alias("item_id"), F.round("accuracy", 6).alias("accuracy"))
 
 
+@query(f"with {S.built()}, {_ALLQ}, {S.bm25()}, {_TOPK.format(k='chunk_id')}, {_FIRST} select * from e3 order by accuracy, item_id limit 3")
+def wn_worst_answers(s, d):
+    x = ev_answers(s, d).withColumnRenamed("item_id", "query_id")
+    return evaluation.worst(x).select(F.col("query_id").alias("item_id"), "accuracy")
+
+
 _ACC = f"a as (select item_id, {S.norm('expected_answer')} ec, {S.norm('query')} qc from {_ITEMS}), b as (select item_id, {S.tokens('ec', S.lang('ec'))} e, {S.tokens('qc', S.lang('qc'))} q from a), z as (select item_id, round(case when coalesce(len(e), 0) = 0 then 0 else len(list_filter(e, lambda x: list_contains(coalesce(q, []), x))) / len(e) end, 6) accuracy from b)"
 
 
@@ -609,6 +644,12 @@ def vec_quantize(s, d):
     return z.select("vec_id", total(lambda x: x).alias("total"), total(lambda x: F.abs(x)).alias("size"), F.round("z.scale", 9).alias("scale"))
 
 
+@query(f"with {_UNIT}, {_Q8} select vec_id, cast(generate_subscripts(q, 1) - 1 as int) pos, cast(unnest(q) as int) code from i")
+def vec_quantize_codes(s, d):
+    z = _emb(s, d).select("vec_id", F.posexplode(vectors.quantize("v")["q"]).alias("pos", "code"))
+    return z.select("vec_id", "pos", F.col("code").cast("int").alias("code"))
+
+
 @query(f"with {_UNIT}, {_Q8}, s as (select a.vec_id query_id, b.vec_id, list_dot_product(a.v, b.q) * b.sc score from u a, i b where a.vec_id % 50 = 0) {_VTOP}")
 def vec_i8(s, d):
     z = _emb(s, d).select("vec_id", vectors.quantize("v").alias("z")).select("vec_id", "z.q", "z.scale")
@@ -749,6 +790,17 @@ def inc_compact(s, d):
     return ix.chunks().select("chunk_id", F.md5(F.col("text").cast("binary")).alias("text"), F.size("tokens").cast("bigint").alias("n"))
 
 
+@query(f"with {S.built()}, k as (select * from cb where cast(doc_id as bigint) % 7 <> 0), t as (select chunk_id, unnest(tokens) term from k) select term, count(distinct chunk_id) df, (select count(*) from k) n, (select cast(coalesce(sum(len(tokens)), 0) as bigint) from k) total_len from t group by term")
+def inc_compact_df(s, d):
+    """Dictionary and corpus figures after two adds, a delete and a compaction are those of the passages left."""
+    ix, docs = _small_index(s, d)
+    ix.add(docs.filter("n % 2 = 0"))
+    ix.add(docs.filter("n % 2 = 1"))
+    ix.delete(docs.filter("n % 7 = 0").select(F.col("doc_id").alias("id")))
+    ix.compact()
+    return ix.term_stats().crossJoin(ix.corpus_stats().select("n", "total_len"))  # one row
+
+
 @query(f"with {S.built()} select chunk_id, md5(text) as text from cb where cast(doc_id as bigint) % 3 = 0 or cast(doc_id as bigint) % 3 = 1 and cast(doc_id as bigint) % 2 = 1 union all select doc_id || '::chunk1', md5('renewed ' || doc_id) from (select cast(doc_id as varchar) doc_id from documents where doc_id % 3 = 2)")
 def inc_update(s, d):
     """Documents deleted and added again, replaced, and deleted and added in one batch: what is live are the newest versions."""

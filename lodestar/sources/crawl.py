@@ -42,8 +42,8 @@ def resolved(pages: DataFrame) -> DataFrame:
     return pages.select("url", "links").mapInArrow(run, "url string")
 
 
-def crawl(snapshot: DataFrame, seeds: DataFrame, rules: DataFrame | None = None, max_depth: int = 3, limit: int | None = 10_000) -> DataFrame:
-    """(url, title, text, links, depth): pages reachable from the seeds, nearest first, at most ``limit`` unless that is None.
+def crawl(snapshot: DataFrame, seeds: DataFrame, rules: DataFrame | None = None, max_depth: int = 3, limit: int | None = None) -> DataFrame:
+    """(url, title, text, links, depth): pages reachable from the seeds, nearest first; with ``limit`` at most so many.
 
     Each level joins the frontier with the snapshot and removes what has been seen; its result is
     written before the next level, so that plans and lineages stay short.

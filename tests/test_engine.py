@@ -142,3 +142,9 @@ def test_search_over_shards(spark, tmp_path):
     out = e.search("what is bm25")
     assert out["results"][0]["id"] == "1::chunk1" and out["answer"]["source"] == "1::chunk1" and len({r["id"] for r in out["results"]}) == len(out["results"])
     assert packs.ShardedEngine(spark, str(tmp_path / "no")).search("x") == {"answer": None, "answers": [], "results": []}
+
+
+def test_measured_report(spark, index):
+    q = spark.createDataFrame([(0, "what is bm25", ["1"], "BM25 is a ranking function"), (1, "zzz", [], "none")], "query_id int, text string, relevant array<string>, expected string")
+    m = evaluation.measured(Engine(index), q).first()
+    assert m.queries == 2 and m.mrr == 0.5 and 0.4 < m.answer_accuracy <= 1 and m.max_ms >= m.avg_ms > 0 and m.memory_bytes > 0
