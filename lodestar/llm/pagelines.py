@@ -67,6 +67,8 @@ REPEATS, THIN = 5, 9.0
 WINDOW, STALE_PAGE, STALE = 30, 0.6, 0.5
 #: Share of a line's phrases from which on it is stitched of stuffing phrases.
 STITCHED = 0.1
+#: So many lines without sentences, and as many links, are a list of links.
+LIST_LINES = 8
 
 SENT, ENDS, BULLET, TAB, CRUMB, MENU, LINKED, HEAD, TEASER, FOLLOWED, P_LINE, P_SIDE, SHORT, TITLE = (1 << k for k in range(14))
 #: The length of the run of titles below a line stands above the flags; what the field holds is the longest counted.
@@ -436,7 +438,8 @@ class Pages:
         A phrase is a stuffing phrase if at least ``hosts`` hosts show it on pages that repeat themselves or
         list tags, and at least half of its occurrences are on such pages.  A line of which a tenth of the
         phrases are such is stitched; a repetitive line or one of tags counts like it.  A page is flagged if
-        its stitched body lines hold more words than its other sentences.
+        its stitched body lines hold more words than its other sentences; so do the lines of a list of
+        ``LIST_LINES`` or more, nearly all of the body, for each of which the page has a link.
         """
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,7 +472,13 @@ class Pages:
         x = lines.drop("phrases", "h", "seed").join(body, ["crawl_id", "pos"]).join(hits, ["crawl_id", "pos"], "left")
         stitched = F.coalesce(F.col("stitched"), F.lit(0.0)) >= STITCHED
         loaded = F.when(stitched, F.col("n")).otherwise(F.greatest("stale", "tags"))
-        sums = x.groupBy("crawl_id").agg(F.sum(loaded).alias("stuffed"), F.sum(F.when(stitched | (F.greatest("stale", "tags") * 2 > F.col("n")), 0).otherwise(F.col("inside"))).alias("prose"), F.sum("n").alias("n"))
+        plain = ~stitched & (F.col("inside") == 0) & (loaded * 2 <= F.col("n"))
+        sums = x.groupBy("crawl_id").agg(F.sum(loaded).alias("loaded"), F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("inside") == 0, 1)).alias("listed"), F.sum(F.when(plain, F.col("n"))).alias("titles"), F.sum(F.when(stitched | (F.greatest("stale", "tags") * 2 > F.col("n")), 0).otherwise(F.col("inside"))).alias("prose"), F.sum("n").alias("n"))
+        # lines of a list that the page has a link for, each
+        links = self.source.select("crawl_id", F.size(F.array_distinct(F.coalesce("links", F.array().cast("array<string>")))).alias("links")).filter(F.col("links") >= LIST_LINES)
+        sums = sums.join(links, "crawl_id", "left")
+        linked = (F.col("listed") >= LIST_LINES) & (F.col("listed") >= 0.8 * F.col("lines")) & (F.col("links") >= F.col("listed"))
+        sums = sums.withColumn("stuffed", F.col("loaded") + F.when(linked, F.coalesce("titles", F.lit(0))).otherwise(0))
         return sums.filter((F.col("stuffed") > F.col("prose")) & (F.col("stuffed") >= 0.15 * F.col("n"))).select("crawl_id", "stuffed", "prose")
 
     def furniture(self) -> DataFrame:

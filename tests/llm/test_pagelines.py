@@ -123,3 +123,10 @@ def test_phrases_do_not_cross_lines():
     again, _ = phrases_of(np.array([5, 6], dtype=np.uint64), np.array([2]))
     assert again[1] == got[7] and len(set(got.tolist())) == 9
     assert len(phrases_of(np.zeros(0, dtype=np.uint64), np.array([0, 0]))[0]) == 0
+
+
+def test_a_list_of_links_needs_its_links(spark):
+    titles = "\n".join(f"The {a} of {b}town" for a in ("mill", "pier", "barge") for b in ("Ash", "Birch", "Cedar", "Elm"))
+    links = [f"https://x.test/{k}" for k in range(15)]
+    rows = [(1, "a", "https://l1.test/q", None, titles, links, "", 1), (2, "b", "https://l2.test/q", None, titles.upper(), links[:3] * 5, "", 1), (3, "c", "https://l3.test/q", None, titles.lower(), None, "", 1)]
+    assert {r.crawl_id for r in Pages(spark.createDataFrame(rows, SCHEMA)).spam().collect()} == {1}
