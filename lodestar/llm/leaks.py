@@ -7,9 +7,9 @@ pigeonhole principle every pair within the Hamming radius shares a block.  Hits
 words: weighted shingle similarity, where a shingle weighs as many letters as it holds, of at least
 ``min_similarity``; 1.0 asks for the same words in the same order.
 
-The corpus is read once, map-only: there is no shuffle but the distinct over the few hits.  Item
-windows are broadcast in blocks whose size is fixed by ``block_items``; a larger item set means more
-passes, never a larger broadcast.
+The scan is map-only: there is no shuffle but the distinct over the few hits.  Item windows are
+broadcast in blocks whose size is fixed by ``block_items``, and the corpus is read once a block: once for an
+evaluation set of ordinary size; a larger set means more passes, never a larger broadcast.
 """
 
 from __future__ import annotations
