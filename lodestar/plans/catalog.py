@@ -816,7 +816,14 @@ def inc_update(s, d):
     return ix.live().select("chunk_id", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
-@query()
+_ENGINE = (
+    f"with {S.built()}, {S.queries(QUERIES).replace('qa as (', 'q0 as (')}, {R.corrected()}, qx as (select query_id, {S.expanded('tokens', 'lang')} ex from qa), {S.bm25(qtok='ex').replace('from qa)', 'from qx)')}, {_TOPK.format(k='chunk_id')},"
+    " h as (select r.* from r join qa using (query_id) where rank <= case when intent = 'factual' then 150 when intent in ('list', 'comparison') then 100 else 50 end),"
+    " cd as (select query_id, chunk_id, score bm25_raw, 0 semantic_raw, (score - min(score) over w) / greatest(max(score) over w - min(score) over w, 1e-6) bm25, 0 semantic from h window w as (partition by query_id))"
+)
+
+
+@query(f"{_ENGINE}, {R.features('cd')}, {R.combined()} select rk.query_id, rank, chunk_id, round(score, 6) score, {R.snippet('cb.text', 'qa.tokens')} snippet from rk join cb using (chunk_id) join qa on qa.query_id = rk.query_id where rank <= 10")
 def api_search(s, d):
     from lodestar.engine import Engine
 

@@ -176,3 +176,22 @@ def freshness(now: str) -> str:
         f" when regexp_matches({v.format(k)}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ]') then epoch(coalesce(try_strptime({v.format(k)}, '%Y-%m-%dT%H:%M:%S.%gZ'), try_strptime({v.format(k)}, '%Y-%m-%dT%H:%M:%SZ'), try_strptime({v.format(k)}, '%Y-%m-%dT%H:%M:%S'), try_strptime({v.format(k)}, '%Y-%m-%d %H:%M:%S'))) end"
     )
     return f"select doc_id, round(case when t is null then 0 else 1 / (1 + greatest(({now} - t) / 86400, 0) / 30) end, 9) freshness from (select doc_id, coalesce({', '.join(one(k) for k in L.DATE_KEYS)}) t from documents)"
+
+
+def corrected() -> str:
+    """CTE qa from q0: tokens that no passage of cb holds become the nearest one that does."""
+    return (
+        "vt as (select distinct term from (select unnest(tokens) term from cb) where term <> ''), qk as (select query_id, unnest(tokens) term, generate_subscripts(tokens, 1) pos from q0),"
+        " un as (select distinct term from qk where term not in (select term from vt) and strlen(term) >= 3),"
+        " cc as (select un.term, vt.term cand, levenshtein(un.term, vt.term) d from un join vt on substr(vt.term, 1, 1) = substr(un.term, 1, 1) and abs(strlen(vt.term) - strlen(un.term)) <= 1 where levenshtein(un.term, vt.term) <= 2),"
+        " nb as (select term, cand from (select *, row_number() over (partition by term order by d, length(cand), cand) rn from cc) where rn = 1),"
+        " qf as (select query_id, list(coalesce(cand, qk.term) order by pos) fixed from qk left join nb using (term) group by query_id),"
+        " qa as (select q0.* exclude (tokens), coalesce(fixed, tokens) tokens from q0 left join qf using (query_id))"
+    )
+
+
+def snippet(text: str, tokens: str, n: int = 180) -> str:
+    """The stretch around the first token found, its tokens in brackets."""
+    at = f"list_filter(list_transform({tokens}, lambda t: instr(lower({text}), t)), lambda p: p > 0)[1]"
+    cut = f"case when length({text}) <= {n} then {text} else {S.strip(f'substr({text}, greatest(coalesce({at}, 1) - 40, 1), {n})')} end"
+    return f"array_to_string(list_transform({S.words_ws(cut)}, lambda w: case when list_contains({tokens}, regexp_replace(lower(w), '[^a-z0-9]', '', 'g')) then '[' || w || ']' else w end), ' ')"
