@@ -53,7 +53,7 @@ PRIOR_LINE = (
     r"all rights reserved|subscribe to|abonnez-vous|suscríbase|newsletter abonnieren|follow us|suivez-nous|síganos|folgen sie uns|share this|partager|compartir|teilen|back to top|haut de page|volver arriba|nach oben|"
     r"skip to content|print this page|last updated|updated on|mis à jour le|dernière mise à jour|actualizado el|última actualización|aktualisiert am|zuletzt geändert|ok, got it|accept all|advertisement|publicité|publicidad|anzeige)(?!\w)"
 )
-PRIOR_SIDE = r"(?i)^(?:related reading|you may also like|in this series|tags|recent posts|most read|see also|popular posts|latest news|à lire aussi|articles récents|te puede interesar|entradas recientes|mehr zum thema|neueste beiträge)$"
+PRIOR_SIDE = r"(?i)^(?:related reading|you may also like|in this series|tags|recent posts|editor'?s picks|most read(?: this week)?|more from this section|see also|popular posts|latest news|à lire aussi|articles récents|les plus lus|dans cette série|mots-clés|te puede interesar|lo más leído|entradas recientes|en esta serie|etiquetas|mehr zum thema|neueste beiträge|meistgelesen|in dieser reihe|schlagwörter|das könnte sie auch interessieren)$"
 
 #: A leaf on at least this share of a host's pages, and on so many of them, is template there.
 HOST_SHARE, HOST_PAGES = 0.12, 3
@@ -68,7 +68,7 @@ WINDOW, STALE_PAGE, STALE = 30, 0.6, 0.5
 #: Share of a line's phrases from which on it is stitched of stuffing phrases.
 STITCHED = 0.1
 #: So many lines without sentences, and as many links, are a list of links.
-LIST_LINES = 8
+LIST_LINES = 15
 
 SENT, ENDS, BULLET, TAB, CRUMB, MENU, LINKED, HEAD, TEASER, FOLLOWED, P_LINE, P_SIDE, SHORT, TITLE = (1 << k for k in range(14))
 #: The length of the run of titles below a line stands above the flags; what the field holds is the longest counted.
@@ -161,7 +161,7 @@ class Lines:
             if not ends and not f & (BULLET | TAB) and not _MARK.match(t) and not t[0].islower() and not _TAG.search(t):
                 f |= TITLE
         if self.prior and n <= 25:
-            f |= (P_LINE if self.prior[0].search(t) else 0) | (P_SIDE if n <= 4 and self.prior[1].search(t) else 0)
+            f |= (P_LINE if self.prior[0].search(t) else 0) | (P_SIDE if n <= 6 and self.prior[1].search(t) else 0)
         out = (path_hash(masked), path_hash(" ".join(parts[:2])), path_hash(" ".join(parts[-2:])), n, f, " ".join(ws), labels, last)
         if n <= 25:
             if len(self.memo) >= self.CAPACITY:

@@ -126,8 +126,8 @@ def test_phrases_do_not_cross_lines():
 
 
 def test_a_list_of_links_needs_its_links(spark):
-    names = iter("ash birch cedar elm fir gorse holly ivy juniper kelp larch maple nettle oak pine quince rowan sedge thyme umber vetch willow yarrow zinnia".split())
+    names = iter("ash birch cedar elm fir gorse holly ivy juniper kelp larch maple nettle oak pine quince rowan sedge thyme umber vetch willow yarrow zinnia aster basil chervil dill endive fennel garlic hyssop iris jasmine lemon mint".split())
     titles = "\n".join(f"{a.title()} {b}" for a, b in zip(names, names))
-    links = [f"https://x.test/{k}" for k in range(15)]
+    links = [f"https://x.test/{k}" for k in range(19)]
     rows = [(1, "a", "https://l1.test/q", None, titles, links, "", 1), (2, "b", "https://l2.test/q", None, titles.upper(), links[:3] * 5, "", 1), (3, "c", "https://l3.test/q", None, titles.lower(), None, "", 1)]
     assert {r.crawl_id for r in Pages(spark.createDataFrame(rows, SCHEMA)).spam().collect()} == {1}
