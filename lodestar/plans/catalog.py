@@ -350,7 +350,7 @@ def flt_exact_dup(s, d):
     return dedup.exact_dedup(_docs(s, d), "text", "doc_id").select("doc_id")
 
 
-@query()
+@query(R.greedy())
 def flt_near_dup(s, d):
     return dedup.near_dedup(dedup.simhash(_docs(s, d), "doc_id", "text"), "doc_id").select("doc_id")
 
@@ -673,6 +673,13 @@ def vec_ivf(s, d):
     return vectors.search(_layout(s, d, quantized=False), _emb_queries(s, d), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
+@query(_SQL["vec_i8"])
+def vec_ivf_all(s, d):
+    """The inverted file over 8-bit codes with every list probed finds what a scan of the codes finds."""
+    every = Config(ivf_probe=Config().ivf_lists)
+    return vectors.search(_layout(s, d), _emb_queries(s, d), 10, every).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
 @query()
 def vec_pq(s, d):
     return vectors.search(_layout(s, d, pq=True), _emb_queries(s, d), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
@@ -700,7 +707,7 @@ def vec_embed_values(s, d):
     return v.select("chunk_id", "dim", F.round("value", 6).alias("value"))
 
 
-@query()
+@query(f"with {S.chunks()} select chunk_id, cast(384 as int) dims, case when {S.norm('text')} = '' then 0.0 else 1.0 end::double norm from ck")
 def vec_embed(s, d):
     v = vectors.embed(_chunks(s, d), "chunk_id", "text")
     return v.select("chunk_id", F.size("v").alias("dims"), F.round(vectors.dot("v", "v"), 5).alias("norm"))
@@ -984,7 +991,7 @@ def src_robots(s, d):
     return crawl.allowed(u, rules).filter("not contains(url, '.html')")
 
 
-@query()
+@query(r"select 'web:' || md5(url) id, trim(regexp_replace(regexp_replace(regexp_replace(case when title is null or trim(title, ' ') = '' then '' else title || ' ' end || text, '<[^>]*>', '', 'g'), '&amp;', '&', 'g'), '[\s]+', ' ', 'g')) as text from raw_pages where text is not null and url is not null and trim(regexp_replace(coalesce(title, '') || text, '[\s]+', ' ', 'g')) <> ''")
 def src_html_doc(s, d):
     from lodestar.sources import readers
 
@@ -1001,7 +1008,7 @@ def src_crawl_seeded(s, d):
     return crawl.crawl(p, p.select("url"), limit=None).select(T.normalize_url("url").alias("url"), "depth")
 
 
-@query()
+@query("select distinct url, 0 depth from raw_pages where trim(coalesce(text, ''), ' ') <> '' and url is not null")
 def src_crawl(s, d):
     from lodestar.sources import crawl
 

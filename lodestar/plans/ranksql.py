@@ -195,3 +195,14 @@ def snippet(text: str, tokens: str, n: int = 180) -> str:
     at = f"list_filter(list_transform({tokens}, lambda t: instr(lower({text}), t)), lambda p: p > 0)[1]"
     cut = f"case when length({text}) <= {n} then {text} else {S.strip(f'substr({text}, greatest(coalesce({at}, 1) - 40, 1), {n})')} end"
     return f"array_to_string(list_transform({S.words_ws(cut)}, lambda w: case when list_contains({tokens}, regexp_replace(lower(w), '[^a-z0-9]', '', 'g')) then '[' || w || ']' else w end), ' ')"
+
+
+def greedy(bits: int = 16, radius: int = 3) -> str:
+    """Query of the documents kept when each bucket of the fingerprints sg is gone through in order."""
+    return (
+        f"with recursive {fingerprints()}, fs as (select sig, min(doc_id) doc_id from sg group by sig), b0 as (select *, (sig >> {64 - bits}) & {(1 << bits) - 1} bucket from fs),"
+        " b as (select *, row_number() over (partition by bucket order by doc_id) rn from b0),"
+        f" g as (select bucket, rn, [sig] kept from b where rn = 1 union all select b.bucket, b.rn, case when len(list_filter(kept, lambda k: bit_count(xor(k, b.sig)) <= {radius})) = 0 then list_append(kept, b.sig) else kept end from g join b on b.bucket = g.bucket and b.rn = g.rn + 1),"
+        " last as (select bucket, kept from (select *, row_number() over (partition by bucket order by rn desc) r from g) where r = 1)"
+        " select doc_id from b join last using (bucket) where list_contains(kept, sig)"
+    )
