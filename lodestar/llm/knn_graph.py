@@ -1,17 +1,14 @@
-"""The k most similar vectors of every vector, by robust-pruned directed graphs.
-
-1. Pivots are fitted on a bounded sample (``SAMPLE`` vectors by hash order); every vector is indexed
-   in its ``overlap`` nearest pivots' cells, and also asks its question there.
-2. Equal vectors are one node.  A cell with more members than ``shard_rows`` is split again by pivots of its own,
-   fitted on a bounded sample of its members, each of which goes to its ``SPLIT`` nearest; and so on, level by
-   level.  The number of cells therefore grows with the vectors, while the cells a vector is in do not.  What
-   ``LEVELS`` levels cannot split is salted into sub-shards by hash, which every query of the cell visits.
-3. In each cell a directed graph is built, once: greedy beam searches propose neighbours, relaxed distance
-   pruning (``alpha``) keeps diverse edges, reverse edges are added and pruned alike.
-4. Beam search over the finished graph answers the cell's queries; the candidates are scored exactly
-   on the int8 vectors and the best k per query over all its cells are kept.
-
-The searches of a whole block of points run in lock step on NumPy arrays.
+"""The k most similar vectors of every vector, by a tree of pivots and exact products within its cells.
+
+1. First pivots are fitted on a bounded sample (``SAMPLE`` vectors by hash order).  A cell that would hold more than ``shard_rows``
+   vectors is split by pivots of its own, and so on, level by level.  The tree is grown on a sample that stays in proportion
+   to the cells (``DRAWN`` vectors a cell), so the vectors themselves are read once for it and are not moved.
+2. Equal vectors are one node.  Every node goes down the tree, at each level to the ``BEAM`` nearest cells below those it has come to,
+   and is sent once to each of the ``overlap`` nearest cells it ends in.  The number of cells grows with the vectors, while the cells a
+   vector is in and the members a cell has do not.  What the tree cannot split is salted into sub-shards by hash, which every
+   vector of the cell visits.
+3. In each cell every member is compared with every other by one matrix product.  Products of int8 values are whole numbers that
+   the floats hold exactly, so the cosines are exact and no member of a cell is passed over.
 """
 
 from __future__ import annotations
@@ -20,21 +17,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.llm.neardup import _small
 from lodestar.runtime import materialize
 
-#: Documented bound of the sample the pivots are fitted on.
+#: Documented bound of the sample the pivots of one cell are fitted on.
 SAMPLE = 20_000
 SHARD_ROWS = 2048
-DEGREE, BEAM, ALPHA = 32, 32, 1.2
-#: Cells of a split cell that a member goes to, and how often cells are split.
+#: Cells are made for ``shard_rows / SPLIT`` members; how often cells are split.
 SPLIT, LEVELS = 2, 4
-#: Bits of a cell's number for each level.
-_BITS = 12
-_BLOCK = 512
+#: Cells a vector keeps on its way down the tree; it is sent only to the nearest ``overlap`` at the end.
+BEAM = 8
+#: Vectors a cell that the tree is grown on.
+DRAWN = 32
+#: Pivots a tree has at most, that it can be broadcast; beyond, cells grow, and those above four shards are salted.
+TREE = 400_000
+#: Copies of equal vectors up to which they are broadcast.
+_COPIES = 2_000_000
+_BLOCK = 1024
 
 
 def unit(q: np.ndarray) -> np.ndarray:
@@ -55,302 +59,223 @@ def fit_pivots(x: np.ndarray, k: int, rounds: int = 6, seed: int = 11) -> np.nda
     return c
 
 
-class Graph:
-    """A robust-pruned directed graph over unit vectors."""
-
-    def __init__(self, x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 5, passes: tuple[float, ...] = (ALPHA,)):
-        self.x, self.degree, self.beam = x, degree, beam
-        n = len(x)
-        rng = np.random.default_rng(seed)
-        start_deg = min(8, n - 1)
-        self.nbr = np.full((n, degree), -1, dtype=np.int32)
-        if n > 1:
-            step = rng.integers(1, n, size=(n, start_deg))
-            self.nbr[:, :start_deg] = (np.arange(n)[:, None] + step) % n
-        self.entries = np.unique(np.concatenate([[int((x @ x.mean(0)).argmax())], rng.choice(n, min(n, 8), replace=False)]))
-        if n <= degree + 1:
-            everyone = np.tile(np.arange(n, dtype=np.int32), (n, 1))
-            self.nbr = everyone
-            return
-        for a in passes:
-            order = rng.permutation(n)
-            for i in range(0, n, _BLOCK):
-                pts = order[i : i + _BLOCK]
-                found, sims = self.search(x[pts], beam)
-                self._connect(pts, found, sims, a)
-
-    def _prune(self, pts: np.ndarray, cand: np.ndarray, sims: np.ndarray, alpha: float) -> np.ndarray:
-        """Of each point's candidates (sorted, best first, -1 none) keep those no kept one is alpha times closer to."""
-        m, c = cand.shape
-        dist = np.maximum(1 - sims, 0)
-        alive = (cand >= 0) & (cand != pts[:, None])
-        out = np.full((m, self.degree), -1, dtype=np.int32)
-        vec = self.x[np.maximum(cand, 0)]
-        apart = 1 - np.matmul(vec, vec.transpose(0, 2, 1))
-        count = np.zeros(m, dtype=np.int32)
-        rows = np.arange(m)
-        for _ in range(self.degree):
-            has = alive.any(1)
-            if not has.any():
-                break
-            first = alive.argmax(1)
-            r = rows[has]
-            f = first[has]
-            out[r, count[r]] = cand[r, f]
-            count[r] += 1
-            alive[r, f] = False
-            alive[r] &= ~(alpha * apart[r, f] <= dist[r])
-        return out
-
-    def _connect(self, pts: np.ndarray, found: np.ndarray, sims: np.ndarray, alpha: float) -> None:
-        old = self.nbr[pts]
-        cand, s = self._merge(pts, found, sims, old)
-        self.nbr[pts] = self._prune(pts, cand, s, alpha)
-        src = np.repeat(pts, self.degree)
-        dst = self.nbr[pts].ravel()
-        ok = dst >= 0
-        src, dst = src[ok], dst[ok]
-        order = np.argsort(dst, kind="stable")
-        src, dst = src[order], dst[order]
-        heads, starts, counts = np.unique(dst, return_index=True, return_counts=True)
-        width = int(counts.max()) if len(counts) else 0
-        if not width:
-            return
-        slot = np.arange(len(dst)) - np.repeat(starts, counts)
-        keep = slot < width
-        back = np.full((len(heads), width), -1, dtype=np.int32)
-        back[np.repeat(np.arange(len(heads)), counts)[keep], slot[keep]] = src[keep]
-        now = self.nbr[heads]
-        free = (now < 0).sum(1)
-        fits = counts <= free
-        # those with room simply take the reverse edges, the others are pruned
-        for i in np.flatnonzero(fits):
-            row = now[i]
-            new = [v for v in back[i] if v >= 0 and v not in row]
-            empty = np.flatnonzero(row < 0)[: len(new)]
-            row[empty] = new[: len(empty)]
-            self.nbr[heads[i]] = row
-        full = np.flatnonzero(~fits)
-        for i in range(0, len(full), _BLOCK):
-            part = full[i : i + _BLOCK]
-            p = heads[part]
-            cand, s = self._merge(p, back[part], None, now[part])
-            self.nbr[p] = self._prune(p, cand, s, alpha)
-
-    def _merge(self, pts: np.ndarray, a: np.ndarray, a_sims: np.ndarray | None, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Both candidate lists without repeats, best first."""
-        cand = np.concatenate([a, b], axis=1)
-        s = np.matmul(self.x[np.maximum(cand, 0)], self.x[pts][:, :, None])[:, :, 0]
-        by_id = np.argsort(cand, axis=1, kind="stable")
-        ids = np.take_along_axis(cand, by_id, 1)
-        rep = np.zeros_like(ids, dtype=bool)
-        rep[:, 1:] = ids[:, 1:] == ids[:, :-1]
-        s = np.take_along_axis(s, by_id, 1)
-        s[rep | (ids < 0)] = -np.inf
-        ids[rep] = -1
-        best = np.argsort(-s, axis=1, kind="stable")
-        return np.take_along_axis(ids, best, 1), np.maximum(np.take_along_axis(s, best, 1), -2)
-
-    def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``beam`` best nodes found for each query, best first (-1: none)."""
-        m, n = len(q), len(self.x)
-        ids = np.full((m, beam), -1, dtype=np.int32)
-        sims = np.full((m, beam), -np.inf, dtype=np.float32)
-        seen = np.zeros((m, n), dtype=bool)
-        e = self.entries[:beam]
-        ids[:, : len(e)] = e
-        sims[:, : len(e)] = q @ self.x[e].T
-        seen[:, e] = True
-        done = np.ones((m, beam), dtype=bool)
-        done[:, : len(e)] = False
-        live = np.arange(m)
-        while len(live):
-            s = np.where(done[live], -np.inf, sims[live])
-            pick = s.argmax(1)
-            go = s[np.arange(len(live)), pick] > -np.inf
-            live, pick = live[go], pick[go]
-            if not len(live):
-                break
-            done[live, pick] = True
-            nb = self.nbr[ids[live, pick]]
-            fresh = (nb >= 0) & ~seen[live[:, None], np.maximum(nb, 0)]
-            r, c = np.nonzero(fresh)
+class Tree:
+    """Pivots, one a cell: the first ``roots`` are the top; the children of cell ``c`` are the rows ``lo[c]`` to ``hi[c]``, none if equal."""
+
+    def __init__(self, roots: np.ndarray):
+        self.roots = len(roots)
+        self.pivots = roots.astype(np.float16)
+        self.lo = self.hi = np.zeros(len(roots), dtype=np.int64)
+
+    def split(self, parts: dict[int, np.ndarray]) -> None:
+        at, n = len(self.pivots), sum(map(len, parts.values()))
+        self.lo, self.hi = (np.concatenate([v, np.zeros(n, dtype=np.int64)]) for v in (self.lo, self.hi))
+        for cell, c in parts.items():
+            self.lo[cell], self.hi[cell] = at, at + len(c)
+            at += len(c)
+        self.pivots = np.concatenate([self.pivots, *(c.astype(np.float16) for c in parts.values())])
+
+    def route(self, x: np.ndarray, take: int) -> np.ndarray:
+        """The ``take`` nearest leaves found for each row, of ``BEAM`` cells a level; -1 where there are fewer."""
+        beam = max(BEAM, take)
+        cells, sims = _best(x @ self.pivots[: self.roots].astype(np.float32).T, beam)
+        while True:
+            r, c = np.nonzero((cells >= 0) & (self.hi[cells] > 0))
             if not len(r):
-                continue
-            node = nb[r, c]
-            seen[live[r], node] = True
-            val = np.full(nb.shape, -np.inf, dtype=np.float32)
-            val[r, c] = np.einsum("ij,ij->i", self.x[node], q[live[r]])
-            all_s = np.concatenate([sims[live], val], axis=1)
-            all_i = np.concatenate([ids[live], nb], axis=1)
-            all_d = np.concatenate([done[live], np.zeros(nb.shape, dtype=bool)], axis=1)
-            top = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
-            sims[live] = np.take_along_axis(all_s, top, 1)
-            ids[live] = np.take_along_axis(all_i, top, 1)
-            d = np.take_along_axis(all_d, top, 1)
-            done[live] = d | (sims[live] == -np.inf)
-        order = np.argsort(-sims, axis=1, kind="stable")
-        ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-        ids[sims == -np.inf] = -1
-        return ids, sims
-
-
-def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of int8 rows (m x d) with candidates (m x c x d), rounded to 9 decimals."""
-    a64, b64 = a.astype(np.float64), b.astype(np.float64)
-    dot = np.einsum("md,mcd->mc", a64, b64, optimize=True)
-    return np.round(dot / np.sqrt((a64**2).sum(-1)[:, None] * (b64**2).sum(-1)), 9)
-
-
-def _answer(k: int, beam: int, degree: int, alpha: float):
-    def run(shard: pa.Table) -> pa.Table:
-        ids = shard.column("id").to_numpy()
-        q8 = np.frombuffer(b"".join(shard.column("v").to_pylist()), dtype=np.int8).reshape(len(ids), -1)
-        own = shard.column("owned").to_numpy(zero_copy_only=False)
-        asks = shard.column("asks").to_numpy(zero_copy_only=False)
-        order = np.lexsort((ids, ~own))
-        ids, q8, own, asks = ids[order], q8[order], own[order], asks[order]
-        n = int(own.sum())
-        out_q, out_i, out_s = [], [], []
-        if n:
-            g = Graph(unit(q8[:n]), degree, beam, alpha)
-            at = np.flatnonzero(asks)
-            for i in range(0, len(at), _BLOCK):
-                rows = at[i : i + _BLOCK]
-                part = q8[rows]
-                found, _ = g.search(unit(part), min(beam, n))
-                s = exact_cosine(part, q8[np.maximum(found, 0)])
-                other = ids[np.maximum(found, 0)]
-                s[(found < 0) | (other == ids[rows, None])] = -np.inf
-                best = np.lexsort((other, -s), axis=1)[:, :k]
-                out_q.append(np.repeat(ids[rows], best.shape[1]))
-                out_i.append(np.take_along_axis(other, best, 1).ravel())
-                out_s.append(np.take_along_axis(s, best, 1).ravel())
-        cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-        q, i, s = cat(out_q, np.int64), cat(out_i, np.int64), cat(out_s, np.float64)
-        ok = s > -np.inf
-        return pa.table({"q": q[ok], "nb": i[ok], "cos": s[ok]})
+                return np.take_along_axis(cells, _best(sims, take)[0], 1)
+            wide = np.full((len(x), cells.shape[1], beam), -1, dtype=np.int64)
+            near = np.full(wide.shape, -np.inf, dtype=np.float32)
+            wide[:, :, 0], near[:, :, 0] = cells, sims
+            order = np.argsort(cells[r, c], kind="stable")
+            r, c = r[order], c[order]
+            for part in np.split(np.arange(len(r)), np.flatnonzero(np.diff(cells[r, c])) + 1):
+                i, j = r[part], c[part]
+                lo, hi = (int(v[cells[i[0], j[0]]]) for v in (self.lo, self.hi))
+                kids, s = _best(x[i] @ self.pivots[lo:hi].astype(np.float32).T, beam)
+                wide[i, j, : kids.shape[1]], near[i, j, : kids.shape[1]] = kids + lo, s
+            at, sims = _best(near.reshape(len(x), -1), beam)
+            cells = np.where(sims > -np.inf, np.take_along_axis(wide.reshape(len(x), -1), at, 1), -1)
+
+
+def _best(s: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
+    take = min(take, s.shape[1])
+    at = np.argpartition(-s, take - 1, axis=1)[:, :take]
+    return at.astype(np.int64), np.take_along_axis(s, at, 1)
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return np.frombuffer(b"".join(v for c in chunks for v in c.to_pylist()), dtype=np.int8).reshape(-1, dims)
+
+
+def _pack(dims: int, vectors: bool):
+    """(id, v, h) or (id, h) of the usable rows: a vector's bytes and their 128-bit hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = b.column(1).flatten()
+            whole = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, dims).all(1) if flat.null_count else True
+            raw = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int8).reshape(-1, dims)
+            ok = raw.any(1) & whole
+            rows = [r.tobytes() for r in raw[ok]]
+            cols = {"id": b.column(0).filter(pa.array(ok)), "v": pa.array(rows, pa.binary()), "h": pa.array([xxhash.xxh3_128_digest(r) for r in rows], pa.binary())}
+            yield pa.RecordBatch.from_pydict(cols if vectors else {k: cols[k] for k in ("id", "h")})
+
+    return run
+
+
+def _answer(k: int, dims: int, least: float | None):
+    kind = np.float32 if dims * 128 * 128 < 1 << 24 else np.float64  # sums of products stay whole numbers
+
+    def run(cell: pa.Table) -> pa.Table:
+        ids, x = cell["id"].to_numpy(), _matrix(cell["v"], dims).astype(kind)
+        salted = "owned" in cell.column_names
+        own, asks = (np.flatnonzero(cell[c].to_numpy()) if salted else np.arange(len(ids)) for c in ("owned", "asks"))
+        sq = np.einsum("ij,ij->i", x, x, dtype=np.float64)
+        members, by = x[own], (1 / np.sqrt(sq[own])).astype(kind)
+        here = np.full(len(ids), -1)
+        here[own] = np.arange(len(own))
+        out: list[tuple[np.ndarray, ...]] = []
+        for i in range(0, len(asks) if len(own) else 0, _BLOCK):
+            rows = asks[i : i + _BLOCK]
+            dot = x[rows] @ members.T
+            s = dot * by
+            self_at = here[rows]
+            s[np.flatnonzero(self_at >= 0), self_at[self_at >= 0]] = -np.inf
+            # what may be among the best, with room for the rounding of s; the exact cosines decide
+            norm = np.sqrt(sq[rows])
+            may = s >= ((-2 if least is None else least - 1e-6) * norm).astype(kind)[:, None]
+            many = np.flatnonzero(may.sum(1) > 4 * k)
+            if len(many):
+                t = s[many]
+                may[many] &= t >= (np.partition(t, -k, axis=1)[:, -k] - 1e-6 * norm[many]).astype(kind)[:, None]
+            r, c = np.nonzero(may)
+            cos = np.round(dot[r, c].astype(np.float64) / np.sqrt(sq[rows[r]] * sq[own[c]]), 9)
+            if least is not None:
+                r, c, cos = (v[cos >= least] for v in (r, c, cos))
+            q, nb = ids[rows[r]], ids[own[c]]
+            order = np.lexsort((nb, -cos, r))
+            r = r[order]
+            order = order[np.arange(len(r)) - np.searchsorted(r, r) < k]
+            out.append((q[order], nb[order], cos[order]))
+        q, nb, cos = (np.concatenate(v) for v in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"q": q, "nb": nb, "cos": cos})
 
     return run
 
 
-def nearest(
-    df: DataFrame, key: str, vector: str, dims: int, k: int = 5, overlap: int = 3, shard_rows: int = SHARD_ROWS, beam: int = BEAM, degree: int = DEGREE, alpha: float = ALPHA, sample: int = SAMPLE
-) -> DataFrame:
-    """(key, neighbour, cos): for every usable vector its k most similar other vectors, ties to the smaller key.
+def nearest(df: DataFrame, key: str, vector: str, dims: int, k: int = 5, overlap: int = 3, shard_rows: int = SHARD_ROWS, sample: int = SAMPLE, least: float | None = None) -> DataFrame:
+    """(key, neighbour, cos): for every usable vector its k most similar other vectors, ties to the smaller key; with ``least``, those of at least that cosine.
 
     Defined results: null, wrongly long and all-zero vectors and null elements or keys are left out;
     equal vectors are each other's neighbours; of rows with one key the first by content counts; a
-    single vector has no neighbours; other columns are not read.  Approximate: a true neighbour may be
-    missing (measured recall is in the README); every returned cosine is exact.
-    """
-    usable = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).filter(
-        F.col("id").isNotNull() & (F.size("v") == dims) & F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull())
-    )
+    single vector has no neighbours; other columns are not read.  Approximate: a true neighbour that shares
+    no cell may be missing (measured recall is in the README); every returned cosine is exact.
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int8)
-            raw = flat.reshape(-1, dims)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in raw], pa.binary())], names=["id", "v"])
-
-    every = materialize(usable.mapInArrow(pack, "id bigint, v binary").groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    # equal vectors are one node, named by its smallest id; the first k + 1 ids are all that ties can ask for
-    first = every.withColumn("rn", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("rn") <= k + 1)
-    nodes = materialize(first.groupBy("v").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("ids")), "nodes")
-    packed = nodes.select("id", "v")
-    n = packed.count()
-    routed = cells_of(packed, n, dims, overlap, shard_rows, sample)
-    load = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
-    left = materialize(load.filter(F.col("m") > 4 * shard_rows).select("cell", F.ceil(F.col("m") / shard_rows).cast("int").alias("parts")), "left")
-    placed = routed.join(left, "cell", "left").join(packed, "id").select("id", "v", "cell", F.coalesce("parts", F.lit(1)).alias("parts"))
-    # what cannot be split is salted: a member belongs to one sub-shard and asks in each
-    visits = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), (p == F.pmod(F.xxhash64("id", "cell"), "parts")).alias("owned")))
-    asked = placed.select("id", "v", "cell", F.explode(visits).alias("x"), "parts").select("id", "v", "cell", "x.part", "x.owned", F.lit(True).alias("asks"), "parts")
-    # a sub-shard answers in blocks of questions, each with the sub-shard's members
-    blocks = F.ceil(F.col("parts") / 8).cast("int")
-    block = F.when(F.col("owned"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("cell", "id"), blocks).cast("int")))
-    asked = asked.select("id", "v", "cell", "part", "owned", F.pmod(F.xxhash64("cell", "id"), blocks).cast("int").alias("ask"), F.explode(block).alias("block"))
-    asked = asked.select("id", "v", "cell", "part", "block", "owned", (F.col("ask") == F.col("block")).alias("asks"))
-    found = asked.groupBy("cell", "part", "block").applyInArrow(_answer(k, beam, degree, alpha), "q bigint, nb bigint, cos double")
-    between = top_neighbours(found.groupBy("q", "nb").agg(F.max("cos").alias("cos")), k)
-    # back to rows: a member's neighbours are its own copies and the first copies of the neighbouring nodes
-    ids = nodes.select(F.col("id").alias("node"), "ids")
-    near = between.join(ids, between.nb == ids.node).select(F.col("q").alias("node"), "cos", F.explode("ids").alias("nb"))
-    near = near.unionByName(nodes.filter(F.size("ids") > 1).select(F.col("id").alias("node"), F.lit(1.0).alias("cos"), F.explode("ids").alias("nb")))
-    members = every.join(nodes.select("v", F.col("id").alias("node")), "v").select(F.col("id").alias("q"), "node")
-    # lists are cut to k + 1 a node before they meet its members
-    short = top_neighbours(near.withColumnRenamed("node", "q"), k + 1).withColumnRenamed("q", "node")
-    best = top_neighbours(members.join(short, "node").filter(F.col("q") != F.col("nb")).select("q", "nb", "cos"), k)
-    return best.select(F.col("q").alias(key), F.col("nb").alias("neighbour"), "cos")
+    The vectors are read from ``df`` in each of three passes (keys, sample, cells) and moved once, to their cells.
+    """
+    usable = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).filter(F.col("id").isNotNull() & (F.size("v") == dims))
+    keys = materialize(usable.mapInArrow(_pack(dims, False), "id bigint, h binary"), "keys")
+    vectors = usable.mapInArrow(_pack(dims, True), "id bigint, v binary, h binary")
+    twice = materialize(keys.groupBy("id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("id"), "twice")
+    if not twice.isEmpty():
+        first = vectors.join(_small(twice, _COPIES), "id").groupBy("id").agg(F.min(F.struct("v", "h")).alias("x")).select("id", "x.v", "x.h")
+        first = materialize(first, "first")
+        keys = keys.join(_small(twice, _COPIES), "id", "left_anti").unionByName(first.select("id", "h"))
+        vectors = vectors.join(_small(twice, _COPIES), "id", "left_anti").unionByName(first)
+    # equal vectors are one node, named by its smallest id
+    equal = keys.groupBy("h").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("h", "node")
+    equal = materialize(equal, "equal")
+    copies = materialize(keys.join(_small(equal, _COPIES), "h").select("id", "node"), "copies")
+    later = copies.filter("id <> node").select("id")
+    n, extra = keys.count(), later.count()
+    packed = vectors.select("id", "v")
+    if extra:
+        packed = packed.join(_small(later, _COPIES), "id", "left_anti")
+    tree, crowded = grow(packed, n - extra, dims, overlap, shard_rows, sample)
+    placed = _placed(packed, tree, overlap, dims)
+    left = {c: -(-m // shard_rows) for c, m in crowded.items() if m > 4 * shard_rows}
+    if left:
+        asked = _salted(placed, left)
+        found = asked.groupBy("cell", "part", "block").applyInArrow(_answer(k, dims, least), "q bigint, nb bigint, cos double")
+    else:
+        found = placed.groupBy("cell").applyInArrow(_answer(k, dims, least), "q bigint, nb bigint, cos double")
+    if extra:
+        # back to rows: the neighbours of a node are the first copies of the neighbouring nodes and its own (k + 1 are all that ties can ask for)
+        w = Window.partitionBy("node").orderBy("id")
+        firsts = copies.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k + 1).groupBy("node").agg(F.collect_list("id").alias("ids"))
+        firsts = materialize(firsts, "firsts")
+        near = found.join(_small(firsts.withColumnRenamed("node", "nb"), _COPIES), "nb", "left").select("q", F.explode(F.coalesce("ids", F.array("nb"))).alias("nb"), "cos")
+        near = near.unionByName(firsts.select(F.col("node").alias("q"), F.explode("ids").alias("nb"), F.lit(1.0).alias("cos")))
+        members = copies.select(F.col("node").alias("q"), "id")
+        found = near.join(_small(members, _COPIES), "q", "left").select(F.coalesce("id", "q").alias("q"), "nb", "cos").filter("q <> nb")
+    return top_neighbours(found, k).select(F.col("q").alias(key), F.col("nb").alias("neighbour"), "cos")
 
 
 def cells_of(packed: DataFrame, n: int, dims: int, overlap: int, shard_rows: int, sample: int) -> DataFrame:
-    """(id, cell): the cells each of ``n`` vectors (id, v) is in."""
-    cells = max(1, min(-(-2 * n * overlap // shard_rows), sample // 8))
-    if cells == 1:
-        pivots = np.zeros((1, dims), dtype=np.float32)
-    else:
-        rows = packed.orderBy(F.xxhash64("id")).limit(sample).collect()
-        pivots = fit_pivots(unit(np.frombuffer(b"".join(bytes(r.v) for r in rows), dtype=np.int8).reshape(len(rows), dims)), cells)
-    shared = packed.sparkSession.sparkContext.broadcast(pivots)  # at most sample / 8 rows of dims floats
-    take = min(overlap, cells)
+    """(cell, id, v): the cells each of ``n`` vectors (id, v) is in."""
+    return _placed(packed, grow(packed, n, dims, overlap, shard_rows, sample)[0], overlap, dims)
+
+
+def grow(packed: DataFrame, n: int, dims: int, overlap: int, shard_rows: int, sample: int) -> tuple[Tree, dict[int, int]]:
+    """The tree for ``n`` vectors (id, v), and the cells that it leaves with more than ``shard_rows`` members: how many, by the sample."""
+    cells = max(1, min(-(-SPLIT * n * overlap // shard_rows), sample // 8))
+    if n * overlap <= shard_rows:
+        return Tree(np.zeros((1, dims))), {}
+    rate = min(1.0, max(sample, -(-DRAWN * SPLIT * n // shard_rows)) / n)
+    drawn = materialize(packed.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rate * (1 << 20)), "sample")
+    rate = max(1, drawn.count()) / n
+    rows = drawn.orderBy(F.xxhash64("id", F.lit(1))).limit(sample).collect()
+    tree = Tree(fit_pivots(unit(np.frombuffer(b"".join(bytes(r.v) for r in rows), dtype=np.int8).reshape(len(rows), dims)), min(cells, len(rows))))
+    for level in range(LEVELS + 1):
+        routed = _placed(drawn, tree, overlap, dims)
+        load = {r.cell: r.m for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > shard_rows * rate).collect()}
+        subs = {c: -(-int(SPLIT * m / rate) // shard_rows) for c, m in load.items()}
+        subs = {c: min(s, load[c]) for c, s in subs.items() if s <= sample // 8}  # a cell that the sample has too few pivots for stays whole
+        room = min(1.0, (TREE - len(tree.pivots)) / max(1, sum(subs.values())))
+        subs = {c: int(s * room) for c, s in subs.items() if s * room >= 2}
+        if not subs or level == LEVELS:
+            return tree, {c: int(m / rate) for c, m in load.items()}
+        spark = packed.sparkSession
+        # a cell's pivots are fitted in one task on at most ``sample`` of its members
+        share = spark.createDataFrame([(c, s, min(1.0, min(sample, DRAWN * s) / load[c])) for c, s in subs.items()], "cell bigint, subs int, share double")
+        some = routed.join(F.broadcast(share), "cell").filter(F.pmod(F.xxhash64("id", "cell"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+
+        def fit(table):
+            x = unit(_matrix(table["v"], dims))
+            c = fit_pivots(x, min(table["subs"][0].as_py(), len(x)))
+            return pa.table({"cell": table["cell"][:1], "pivots": pa.array([c.astype(np.float16).tobytes()], pa.binary())})
+
+        fitted = some.groupBy("cell").applyInArrow(fit, "cell bigint, pivots binary").collect()
+        tree.split({r.cell: np.frombuffer(bytes(r.pivots), dtype=np.float16).reshape(-1, dims) for r in fitted})
+
+
+def _placed(packed: DataFrame, tree: Tree, overlap: int, dims: int) -> DataFrame:
+    """(cell, id, v): each vector (id, v) in the cells it ends in."""
+    shared = packed.sparkSession.sparkContext.broadcast(tree)  # at most TREE rows of dims half floats
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = unit(np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.int8).reshape(-1, dims))
-            near = _nearest_pivots(x, shared.value, take)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), take)), pa.array(near.ravel().astype(np.int64) + 1)], names=["id", "cell"])
+            if b.num_rows:
+                cells = shared.value.route(unit(_matrix(b.column(1), dims)), overlap)
+                r, c = np.nonzero(cells >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(cells[r, c]), b.column(0).take(pa.array(r)), b.column(1).take(pa.array(r))], names=["cell", "id", "v"])
 
-    routed = materialize(packed.mapInArrow(route, "id bigint, cell bigint"), "cells")
-    for level in range(LEVELS):
-        crowded = materialize(routed.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > shard_rows), "crowded")
-        if crowded.isEmpty():
-            break
-        routed = materialize(routed.join(crowded, "cell", "left_anti").unionByName(_split(packed, routed.join(crowded, "cell"), dims, shard_rows, sample)), "cells")
-    return routed
+    return packed.mapInArrow(route, "cell bigint, id bigint, v binary")
 
 
-def _nearest_pivots(x: np.ndarray, pivots: np.ndarray, take: int) -> np.ndarray:
-    s = x @ pivots.T
-    return np.argpartition(-s, take - 1, axis=1)[:, :take]
-
-
-def _split(packed: DataFrame, crowded: DataFrame, dims: int, shard_rows: int, sample: int) -> DataFrame:
-    """(id, cell): the members (id, cell, m) of crowded cells in the cells below them.
-
-    A cell's pivots are fitted in one task on at most ``sample`` members; the members meet them in pieces of
-    about four shards, so no task holds a cell.
-    """
-    rows = crowded.join(packed, "id")
-    subs = F.least(F.ceil(F.col("m") * 2 * SPLIT / shard_rows), F.lit(max(2, min(sample // 8, (1 << _BITS) - 1)))).cast("int")
-    w = Window.partitionBy("cell").orderBy(F.xxhash64("id"))
-    drawn = rows.withColumn("subs", subs).withColumn("rn", F.row_number().over(w)).filter((F.col("rn") <= sample) & (F.col("rn") <= 32 * F.col("subs"))).drop("rn")
-
-    def fit(table):
-        x = unit(np.frombuffer(b"".join(table.column("v").to_pylist()), dtype=np.int8).reshape(-1, dims))
-        c = fit_pivots(x, min(table["subs"][0].as_py(), len(x)))
-        return pa.table({"cell": table["cell"][:1], "pieces": pa.array([-(-table["m"][0].as_py() // (4 * shard_rows))], pa.int32()), "pivots": pa.array([c.astype(np.float32).tobytes()], pa.binary())})
-
-    fitted = materialize(drawn.groupBy("cell").applyInArrow(fit, "cell bigint, pieces int, pivots binary"), "pivots")
-    pieces = F.ceil(F.col("m") / (4 * shard_rows)).cast("int")
-    left = rows.select("id", "v", "cell", F.pmod(F.xxhash64("id"), pieces).cast("int").alias("piece"))
-    right = fitted.select("cell", "pivots", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-
-    def down(members, pivots):
-        if not members.num_rows or not pivots.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "cell": pa.array([], pa.int64())})
-        c = np.frombuffer(pivots["pivots"][0].as_py(), dtype=np.float32).reshape(-1, dims)
-        x = unit(np.frombuffer(b"".join(members.column("v").to_pylist()), dtype=np.int8).reshape(-1, dims))
-        take = min(SPLIT, len(c))
-        near = _nearest_pivots(x, c, take).astype(np.int64)
-        return pa.table({"id": np.repeat(members["id"].to_numpy(), take), "cell": (np.repeat(members["cell"].to_numpy(), take) << _BITS) + near.ravel() + 1})
-
-    # two ways to the same cell do not occur: a cell's number holds the way to it
-    return left.groupBy("cell", "piece").cogroup(right.groupBy("cell", "piece")).applyInArrow(down, "id bigint, cell bigint")
+def _salted(placed: DataFrame, left: dict[int, int]) -> DataFrame:
+    """What cannot be split, in sub-shards: a member belongs to one of its cell's ``parts`` and asks in each, in blocks of questions."""
+    parts = F.broadcast(placed.sparkSession.createDataFrame(list(left.items()), "cell bigint, parts int"))
+    placed = placed.join(parts, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    visits = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), (p == F.pmod(F.xxhash64("id", "cell"), "parts")).alias("owned")))
+    asked = placed.select("id", "v", "cell", F.explode(visits).alias("x"), F.ceil(F.col("parts") / 8).cast("int").alias("blocks"))
+    ask = F.pmod(F.xxhash64("cell", "id"), F.col("blocks")).cast("int")
+    asked = asked.select("id", "v", "cell", "x.part", "x.owned", ask.alias("ask"), F.explode(F.when(F.col("x.owned"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(ask))).alias("block"))
+    return asked.select("id", "v", "cell", "part", "block", "owned", (F.col("ask") == F.col("block")).alias("asks"))
 
 
 def top_neighbours(df: DataFrame, k: int) -> DataFrame:
-    """The k rows of the largest ``cos`` per ``q``, ties to the smaller ``nb``."""
+    """The k neighbours of the largest ``cos`` per ``q``, ties to the smaller ``nb``; equal rows count once."""
     w = Window.partitionBy("q").orderBy(F.col("cos").desc(), "nb")
-    return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
+    return df.withColumn("rn", F.dense_rank().over(w)).filter(F.col("rn") <= k).drop("rn").dropDuplicates(["q", "nb"])

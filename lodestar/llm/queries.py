@@ -126,7 +126,7 @@ def p4_members(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from lodestar.llm.knn_graph import nearest
 
-    near = nearest(load(spark, d, "vector_persist"), "vec_id", "vectors_i8", 384, 5).filter("cos >= 0.6")
+    near = nearest(load(spark, d, "vector_persist"), "vec_id", "vectors_i8", 384, 5, least=0.6)
     return near.select(F.least("vec_id", "neighbour").alias("vec_a"), F.greatest("vec_id", "neighbour").alias("vec_b")).distinct()
 
 

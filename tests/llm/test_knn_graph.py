@@ -82,3 +82,22 @@ def test_cells_of_a_vector_stay_as_many_when_the_collection_grows(spark):
 def test_split_cells_keep_recall(spark):
     r, n, m = recall(spark, vectors(2500, centres=60), shard_rows=100, sample=64, overlap=2)
     assert r >= 0.9 and n == m
+
+
+def test_a_cell_is_answered_exactly_and_least_is_kept(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.integers(-127, 128, (500, 24)))]  # no clusters at all
+    df = spark.createDataFrame([(i, v, 0, 0) for i, v in rows], SCHEMA)
+    want = {(i, j): round(c, 9) for i, v in brute(rows, 24, 5).items() for j, c in v}
+    for least in (None, 0.6):
+        got = {(r.vec_id, r.neighbour): r.cos for r in nearest(df, "vec_id", "v", 24, 5, shard_rows=4096, least=least).collect()}
+        assert got == {p: c for p, c in want.items() if least is None or c >= least}
+
+
+def test_a_vector_is_sent_to_overlap_cells_however_often_they_are_split(spark):
+    from lodestar.llm.knn_graph import cells_of
+
+    x = np.array([v for _, v in vectors(6000, centres=150)], dtype=np.int8)
+    packed = spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate(x)], "id bigint, v binary")
+    cells = cells_of(packed, 6000, 24, 2, 100, 400).select("id", "cell").distinct().collect()
+    assert len(cells) == 2 * 6000 and len({r.cell for r in cells}) > 50
