@@ -9,10 +9,10 @@
 3. ``rows`` bins at a time form a band; equal bands share a bucket.
 4. A bucket yields star-shaped edges only: every member to the bucket's smallest and largest key.
    Edges are linear in the bucket's size; both centres are streaming aggregates over the exchange
-   that also feeds the join.  A bucket that is hot within a batch of rows (``HOT`` classes) gets its star
-   there, before the exchange, and sends on its two centres only: a bucket that holds a third of all
-   texts reaches its task as two rows a batch.
-5. Edges are verified on the exact shingle sets.  Verified stars are then closed over two hops:
+   that also feeds the join.  Of a bucket that is hot within a batch of rows (``HOT`` classes) only the batch's smallest
+   and largest key are exchanged; its other members are held back and get the whole bucket's centres by a join of their own,
+   so a bucket that holds a third of all texts reaches its task as two rows a batch, and none of its members is lost.
+5. Edges are verified on the exact shingle sets.  Stars, however weak, are then closed over two hops, so any two members of a bucket are compared:
    leaves of one centre are compared if what is known of them allows it: Jaccard distance is a
    metric, so |d(x) - d(y)| bounds d(x, y) from below, and the sizes of the sets and of what they share with the
    centre bound what they can share.  The pairs of a centre's leaves are dealt out to many tasks.
@@ -36,11 +36,9 @@ from lodestar.llm.words import _M1, hash_words, mix, shingle_hashes, words
 from lodestar.runtime import materialize
 
 BINS, ROWS = 84, 3
-#: Star edges below this similarity are not expanded to two hops.
-HOP = 0.2
 #: Classes a task remembers to send their bands once; only a saving.
 _SEEN = 500_000
-#: A bucket of so many classes in one batch of rows is joined there and sends on only its centres.
+#: A bucket of so many classes in one batch of rows sends on only the batch's centres; the others meet the bucket's centres where they are.
 HOT = 64
 #: Leaves of a centre that a task meets at once.
 _LEAVES = 256
@@ -128,20 +126,18 @@ def _featurise(shingle: int, bins: int, rows: int):
             if not keep:
                 continue
             taken = pa.array(keep, pa.int64())
-            size = np.zeros(len(keep), dtype=np.int64)
-            flat, edges = np.empty(0, dtype=np.uint64), np.empty((0, 2), dtype=np.int64)
+            size, held = np.zeros((2, len(keep)), dtype=np.int64)
+            hot = np.empty(0, dtype=np.uint64)
+            flat = np.empty(0, dtype=np.uint64)
             if hs:
                 salts = {k: np.uint64(xxhash.xxh3_64_intdigest(k.encode())) for k in {k for k, _ in hs}}
                 sig = signatures(np.concatenate([x for _, x in hs]), np.repeat(np.arange(len(hs)), [len(x) for _, x in hs]), len(hs), bins)
                 flat = bands(sig, np.array([salts[k] for k, _ in hs], dtype=np.uint64), rows)
-                sent, edges = _thin(flat, np.array(nodes, dtype=np.int64)[np.array(fresh)])
-                size[np.array(fresh)] = sent.sum(1)
-                flat = flat[sent]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat.view(np.int64)))
-            # the batch's edges ride on its first row
-            pairs = pa.StructArray.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
-            stars = pa.ListArray.from_arrays(pa.array([0] + [len(edges)] * len(keep), pa.int32()), pairs)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(taken), b.column(1).take(taken), pa.array(nodes, pa.int64()), lists, stars], names=["kind", "key", "node", "bands", "stars"])
+                sent, _ = _thin(flat, np.array(nodes, dtype=np.int64)[np.array(fresh)])
+                size[np.array(fresh)], held[np.array(fresh)] = sent.sum(1), (~sent).sum(1)
+                flat, hot = flat[sent], flat[~sent]
+            lists, rest = (pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(v.view(np.int64))) for n, v in ((size, flat), (held, hot)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(taken), b.column(1).take(taken), pa.array(nodes, pa.int64()), lists, rest], names=["kind", "key", "node", "bands", "hot"])
 
     return run
 
@@ -180,24 +176,28 @@ class NearDuplicates:
 
     def __init__(self, texts: DataFrame, shingle: int = 5, least: float = 0.8, bins: int = BINS, rows: int = ROWS):
         texts = texts.select(F.col("kind").cast("string").alias("kind"), F.col("key").cast("bigint").alias("key"), F.col("text").cast("string").alias("text")).filter("key is not null and kind is not null and text is not null")
-        feats = materialize(texts.mapInArrow(_featurise(shingle, bins, rows), "kind string, key bigint, node bigint, bands array<bigint>, stars array<struct<a:bigint,b:bigint>>"), "oph")
+        feats = materialize(texts.mapInArrow(_featurise(shingle, bins, rows), "kind string, key bigint, node bigint, bands array<bigint>, hot array<bigint>"), "oph")
         self.rows = feats.select("kind", "key", "node").distinct()
         # one exchange on the bucket serves the centres and the join with them
         in_bucket = feats.select(F.explode("bands").alias("h"), "node").repartition("h")
         stars = in_bucket.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+        met = in_bucket.join(stars, "h").select("lo", "node", "hi")
+        # the members of hot buckets that stayed behind get the centres of the whole bucket where they are
+        hot = materialize(feats.select(F.explode("hot").alias("h")).distinct(), "hot")
+        if not hot.isEmpty():
+            ends = feats.select(F.explode("bands").alias("h"), "node").join(_small(hot), "h").groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+            met = met.unionByName(feats.select(F.explode("hot").alias("h"), "node").join(_small(materialize(ends, "hot-centres")), "h").select("lo", "node", "hi"))
         edges = (
-            in_bucket.join(stars, "h")
-            .select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("e"))
+            met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("e"))
             .select("e.a", "e.b")
             .filter("a < b")
-            .unionByName(feats.select(F.explode("stars").alias("e")).select("e.a", "e.b"))
             .distinct()
         )
         edges = materialize(edges, "stars")
         ends = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
         asked = materialize(feats.select("kind", "key", "node").join(_small(ends), "node").groupBy("kind", "node").agg(F.min("key").alias("key")), "asked")
         self.sets = materialize(texts.join(_small(asked), ["kind", "key"]).select("kind", "node", "text").mapInArrow(_sets(shingle), "node bigint, s array<bigint>"), "sets")
-        near = materialize(self._verify(edges, HOP), "verified")
+        near = materialize(self._verify(edges, 0.0), "verified")
         side = lambda u, x, n: near.select(F.col(u).alias("u"), F.col(x).alias("x"), "j", "c", F.col(n).alias("n"))
         both = side("a", "b", "nb").unionByName(side("b", "a", "na"))
         # a centre of many leaves is met in pieces: every leaf of a piece with every leaf of another, each such couple of pieces a task's work

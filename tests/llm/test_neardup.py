@@ -87,3 +87,25 @@ def test_texts_of_one_boilerplate(spark):
     got = {(r.kind, r.a, r.b) for r in NearDuplicates(spark.createDataFrame(rows, "kind string, key bigint, text string"), 3, 0.6).pairs().collect()}
     want = brute_force(rows, 3, 0.6)
     assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_members_of_a_hot_bucket_meet_across_batches(spark):
+    """One band, a bucket that is hot in each of two batches: every like pair of its members comes out, whichever batches they are in."""
+    from lodestar.llm.neardup import bands
+    from lodestar.llm.words import hash_words, shingle_hashes, words
+
+    rnd = np.random.default_rng(6)
+    rows = []
+    for i in range(300):
+        w = [f"b{k}" for k in range(60)]
+        for k in rnd.choice(60, int(rnd.integers(1, 5)), replace=False):
+            w[k] = f"x{i}_{k}"
+        rows.append(("d", i, " ".join(w)))
+    sets = [shingle_hashes(hash_words(words(t)), 3) for _, _, t in rows]
+    sig = signatures(np.concatenate(sets), np.repeat(np.arange(300), [len(s) for s in sets]), 300, 3)
+    bucket = bands(sig, np.zeros(300, dtype=np.uint64))[:, 0]
+    assert np.unique(bucket, return_counts=True)[1].max() > 128
+    df = spark.createDataFrame(rows, "kind string, key bigint, text string").coalesce(2)
+    got = {(r.kind, r.a, r.b) for r in NearDuplicates(df, 3, 0.6, bins=3, rows=3).pairs().collect()}
+    want = brute_force(rows, 3, 0.6)
+    assert got <= want and {p for p in want if bucket[p[1]] == bucket[p[2]]} <= got
